@@ -360,14 +360,14 @@ WHERE v IS NOT NULL GROUP BY job_id""",
 view(
     "named",
     f"""
-SELECT job_id, pos, at, s, language, nullif(regexp_extract(s, {text(rules.LEVEL)}, 1), '')
+SELECT job_id, pos, nth, s, language, nullif(regexp_extract(s, {text(rules.LEVEL)}, 1), '')
     AS level,
   CASE WHEN {says(rules.NOT_NEEDED)} THEN 'not_required'
     WHEN {says(rules.OPTIONAL)} THEN 'good_to_have'
     WHEN {says(rules.MANDATORY)} OR {says('(?i)\\b(?:fluent|native)\\b')} THEN 'required'
     ELSE 'mentioned' END AS requirement
 FROM (
-  SELECT job_id, pos, s, language, min(i) AS at FROM (
+  SELECT job_id, pos, s, language, min(i) AS nth FROM (
     SELECT job_id, pos, s, unnest(found) AS language, generate_subscripts(found, 1) AS i
     FROM (SELECT job_id, pos, s, regexp_extract_all(s, {text(rules.LANGUAGE)}, 1) AS found
       FROM sentences WHERE {says(rules.LANGUAGE)}))
@@ -378,7 +378,7 @@ view(
     "english",
     """
 SELECT job_id, bool_and(lower(language) = 'english') AS requires_only_english,
-  string_agg(s, ' | ' ORDER BY pos, at) AS language_requirement_text
+  string_agg(s, ' | ' ORDER BY pos, nth) AS language_requirement_text
 FROM named WHERE requirement = 'required' GROUP BY job_id""",
     "named",
 )
@@ -1239,7 +1239,7 @@ FROM ads LEFT JOIN modes USING (job_id)""",
 oracle(
     "extract_languages",
     """
-SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY pos, at) - 1 AS position,
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY pos, nth) - 1 AS position,
   language, level, requirement, s AS evidence
 FROM named""",
     "named",

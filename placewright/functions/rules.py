@@ -53,7 +53,7 @@ ONSITE = r"(?i)\bon-?site\b|\bin-office\b"
 def sentences(text: Column) -> Column:
     """The text cut at sentence ends and line breaks, pieces left verbatim."""
     pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(pieces, F.trim), lambda s: s != "")
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _numbers(sentence: Column) -> Column:
