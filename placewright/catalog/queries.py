@@ -14,6 +14,7 @@ from placewright import schemas
 from placewright.catalog import stubs
 from placewright.catalog.views import Views
 from placewright.functions import rules
+from placewright.functions.core import computed_once
 from placewright.functions.metadata import language_evidence, only_english
 from placewright.functions.predicates import compatibility, literal_preferences
 from placewright.functions.prompts import build_prompt
@@ -133,7 +134,7 @@ def append_vectors(v: Views) -> DataFrame:
     """Stored vectors, then those of postings that had none."""
     table = shared_folder(v.spark, "vectors")
     tables.write_batch(v.vectors, table, 0)
-    stored = run_embed_batch(v.spark, v.texts, table, 1, stubs.encoder)
+    stored = run_embed_batch(v.spark, v.spread_texts, table, 1, stubs.encoder)
     return stored.select(
         "job_id",
         F.size("embedding").alias("dimensions"),
@@ -404,7 +405,7 @@ def stamp(ts: Column) -> Column:
 
 @query
 def clean_text_query(v: Views) -> DataFrame:
-    return v.texts.select("job_id", clean_text(F.col("description")).alias("cleaned"))
+    return v.spread_texts.select("job_id", clean_text(F.col("description")).alias("cleaned"))
 
 
 QUERIES["clean_text"] = QUERIES.pop("clean_text_query")
@@ -598,12 +599,9 @@ def extract_languages(v: Views) -> DataFrame:
     return _rule_metadata(v).select("job_id", listed).select("job_id", "position", "item.*")
 
 
-def _cut(v: Views) -> DataFrame:
-    return v.ads.select("job_id", rules.sentences(F.col("description")).alias("parts"))
-
-
 def _benefit(v: Views, rule: Callable[[Column], Column], name: str) -> DataFrame:
-    found = _cut(v).select("job_id", rule(F.col("parts")).alias("found"))
+    cut = enrich.cut_sentences(v.ads)
+    found = computed_once(cut, "found", rule(F.col("parts")))
     return found.select(
         "job_id",
         F.col("found.value").alias(name),
@@ -668,7 +666,7 @@ def extraction_accuracy(v: Views) -> DataFrame:
 
 @query
 def embed_documents(v: Views) -> DataFrame:
-    vectors = inference.embed_postings(v.texts, stubs.encoder)
+    vectors = inference.embed_postings(v.spread_texts, stubs.encoder)
     return vectors.select(
         "job_id", F.posexplode("embedding").alias("dimension", "x")
     ).select("job_id", "dimension", F.round(F.col("x").cast("double"), 5).alias("x"))
@@ -676,7 +674,7 @@ def embed_documents(v: Views) -> DataFrame:
 
 @query
 def extract_with_retry(v: Views) -> DataFrame:
-    prompts = v.texts.select(
+    prompts = v.spread_texts.select(
         "job_id", build_prompt(F.col("description"), stubs.PROMPT).alias("prompt")
     )
     return inference.extract_with_retry(prompts, stubs.shy_model, stubs.must_be_object)
@@ -728,7 +726,7 @@ QUERIES["incremental_ingest"] = QUERIES.pop("incremental_ingest_query")
 def incremental_status_query(v: Views) -> DataFrame:
     folder = shared_folder(v.spark, "status")
     streaming = Views(v.spark, v.sf_dir)
-    streaming.table = lambda name: _file_stream(v, name)
+    streaming.table = lambda name, spread=False: _file_stream(v, name)
     for _ in range(2):
         incremental_status(
             streaming.status_events, f"{folder}/status", f"{folder}/progress"

@@ -16,6 +16,7 @@ from placewright.functions.metadata import rebuild
 from placewright.operators.compatibility import with_metadata
 from placewright.operators.keyed import hydrate
 from placewright.session import ship_package
+from placewright.sources.tables import spread_few_files
 
 FIRST_LISTING_MS = 1_704_067_200_000
 TOP_K = 10
@@ -105,14 +106,18 @@ class Views:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+    def table(self, name: str, spread: bool = False) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_few_files(rows) if spread else rows
 
     # ---- postings and their requirements -------------------------------
 
     @cached_property
     def postings(self) -> DataFrame:
-        doc, part = self.table("documents"), self.table("part")
+        return self._postings(self.table("documents"))
+
+    def _postings(self, doc: DataFrame) -> DataFrame:
+        part = self.table("part")
         nation, region = self.table("nation"), self.table("region")
         place = nation.join(region, nation.n_regionkey == region.r_regionkey)
         return (
@@ -137,7 +142,16 @@ class Views:
     @cached_property
     def texts(self) -> DataFrame:
         """``job_id, description, n_chars, lang`` without any join."""
-        return self.table("documents").select(
+        return self._texts(self.table("documents"))
+
+    @cached_property
+    def spread_texts(self) -> DataFrame:
+        """The same rows for work that is heavy on each text."""
+        return self._texts(self.table("documents", spread=True))
+
+    @staticmethod
+    def _texts(documents: DataFrame) -> DataFrame:
+        return documents.select(
             F.col("doc_id").cast("string").alias("job_id"),
             F.col("text").alias("description"),
             "n_chars",
@@ -192,7 +206,7 @@ class Views:
     def ads(self) -> DataFrame:
         """Whole texts followed by requirement sentences, with the truth."""
         n = F.col("n_chars")
-        return self.texts.select(
+        return self.spread_texts.select(
             "job_id",
             F.concat_ws(
                 "\n",
@@ -240,7 +254,7 @@ class Views:
 
     @cached_property
     def detail_payloads(self) -> DataFrame:
-        n, p = F.col("n_chars"), self.postings
+        n, p = F.col("n_chars"), self._postings(self.table("documents", spread=True))
         apply = F.struct(
             by_case(
                 n % 3, [F.lit(""), F.lit(None).cast("string"), F.col("application_url")]
@@ -348,7 +362,7 @@ class Views:
             ),
             F.concat(F.lit("Sorry, nothing found for "), job),
         ]
-        return self.texts.select("job_id", by_case(n % 10, kinds).alias("reply"))
+        return self.spread_texts.select("job_id", by_case(n % 10, kinds).alias("reply"))
 
     # ---- candidates' events ---------------------------------------------
 

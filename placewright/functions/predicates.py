@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placewright.functions.core import let
 from placewright.functions.text import blank_trim
 
 
@@ -35,14 +36,17 @@ def language_ok(requires_only_english: Column) -> Column:
     return F.coalesce(requires_only_english, F.lit(True))
 
 
-def skill_in(description: Column):
-    text = F.lower(F.coalesce(description, F.lit("")))
-    return lambda skill: F.contains(text, F.lower(skill))
+def lower_text(description: Column) -> Column:
+    return F.lower(F.coalesce(description, F.lit("")))
 
 
 def skills_ok(description: Column, skills: Column) -> Column:
     """Every skill is a substring of the text, ignoring case."""
-    return F.coalesce(F.forall(skills, skill_in(description)), F.lit(True))
+    found = let(
+        lower_text(description),
+        lambda text: F.forall(skills, lambda skill: F.contains(text, F.lower(skill))),
+    )
+    return F.when(F.size(skills) > 0, F.coalesce(found, F.lit(True))).otherwise(True)
 
 
 def place_text(location: Column, country: Column) -> Column:

@@ -48,12 +48,26 @@ HYBRID = r"(?i)\bhybrid\b"
 REMOTE = r"(?i)\bremote\b|\bwork from anywhere\b|\bwork from home\b"
 NOT_REMOTE = r"(?i)\b(?:no|not) remote\b"
 ONSITE = r"(?i)\bon-?site\b|\bin-office\b"
+#: Any sentence a rule can have an opinion on contains one of these.
+#: (lower case; all but "years" can only start where no letter precedes)
+MENTION = (
+    r"year|yr|(?<![a-z])(?:master|msc|phd|doctorate|bachelor|bsc|sponsor|visa support"
+    r"|relocation|hybrid|remote|work from|on-?site|in-office|"
+    + "|".join(name.lower() for name in LANGUAGE_NAMES)
+    + ")"
+)
 
 
 def sentences(text: Column) -> Column:
-    """The text cut at sentence ends and line breaks, pieces left verbatim."""
+    """The sentences any rule could use, verbatim, in text order.
+
+    A text is cut at sentence ends and line breaks. Most sentences mention
+    nothing of interest; one pattern drops them here, so that the rules see
+    a handful of sentences and not the whole text again and again.
+    """
     pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
+    telling = F.filter(pieces, lambda s: F.rlike(F.lower(s), F.lit(MENTION)))
+    return F.transform(telling, lambda s: F.trim(s))
 
 
 def _numbers(sentence: Column) -> Column:

@@ -14,6 +14,10 @@ BLANK = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+#: A run of white space other than one plain space. Leaving single spaces alone
+#: keeps the number of replacements small.
+BLANK_RUN = f" {BLANK}+|(?! ){BLANK}+"
+
 TIME_ZONE = "Asia/Kolkata"
 
 
@@ -24,7 +28,7 @@ def blank_trim(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """One space for every run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
+    return F.trim(F.regexp_replace(text, BLANK_RUN, " "))
 
 
 def local_time(epoch_ms: Column) -> Column:

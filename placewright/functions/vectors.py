@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placewright.functions.core import let
+
 #: Decimal places kept in a similarity. Sums of products differ in the last
 #: bits with the order of addition; rounding makes equal vectors score equal,
 #: so that a task that runs again on other batches ranks them the same.
@@ -24,7 +26,9 @@ def similarity(left: Column, right: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit-length float32 vector; a zero vector stays zero."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.when(norm == 0, vector.cast("array<float>")).otherwise(
-        F.transform(vector, lambda x: (x.cast("double") / norm).cast("float"))
-    )
+
+    def scaled(norm: Column) -> Column:
+        divisor = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+        return F.transform(vector, lambda x: (x.cast("double") / divisor).cast("float"))
+
+    return let(F.sqrt(dot(vector, vector)), scaled)

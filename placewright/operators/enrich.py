@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions import metadata as meta
 from placewright.functions import rules, validation
+from placewright.functions.core import computed_once
 from placewright.functions.text import has_text, strip_fences
 
 #: (job_id, description) -> (job_id, metadata, error); one row per input row.
@@ -17,21 +18,16 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 def extract_requirements(postings: DataFrame) -> DataFrame:
     """Rule extraction: ``job_id, metadata, error`` (error always NULL)."""
-    cut = postings.select("job_id", rules.sentences(F.col("description")).alias("parts"))
-    return cut.select(
-        "job_id",
-        rules.requirements(F.col("parts")).alias("metadata"),
-        F.lit(None).cast("string").alias("error"),
-    )
-
+    ruled = computed_once(cut_sentences(postings), "metadata", rules.requirements(F.col("parts")))
+    return ruled.select("job_id", "metadata", F.lit(None).cast("string").alias("error"))
 
-def computed_once(frame: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that later filters and projections will not repeat.
 
-    The optimizer writes a projected expression out again in every filter
-    pushed below it. A one-element ``explode`` is a border it does not cross.
-    """
-    return frame.select("*", F.explode(F.array(value)).alias(name))
+def cut_sentences(postings: DataFrame) -> DataFrame:
+    """``job_id, parts``: what the rules read of each posting."""
+    parts = rules.sentences(F.col("description"))
+    return computed_once(postings.select("job_id", "description"), "parts", parts).select(
+        "job_id", "parts"
+    )
 
 
 def validate_replies(replies: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ class WordHashEncoder:
         counts = np.zeros((len(texts), self.dimensions))
         for row, text in enumerate(texts):
             places = [self._place(word) for word in text.split()]
-            np.add.at(counts[row], places, 1.0)
+            if places:
+                counts[row] = np.bincount(places, minlength=self.dimensions)
         return counts
 
 

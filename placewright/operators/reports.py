@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright import wording as w
-from placewright.functions.predicates import skill_in
+from placewright.functions.predicates import lower_text
+from placewright.functions.core import let
 from placewright.functions.text import has_text
 
 PAIR = ["candidate_id", "job_id"]
@@ -32,8 +33,11 @@ def fit_facts(matches: DataFrame) -> DataFrame:
     candidate's preference columns.
     """
     required = F.col("metadata.experience_requirement.min_years_experience")
-    has_skill = skill_in(F.col("description"))
-    skills = F.col("must_have_skills")
+    skills, text = F.col("must_have_skills"), lower_text(F.col("description"))
+    present = let(
+        text,
+        lambda t: F.filter(skills, lambda skill: F.contains(t, F.lower(skill))),
+    )
     return matches.select(
         "*",
         required.alias("required_years"),
@@ -42,8 +46,11 @@ def fit_facts(matches: DataFrame) -> DataFrame:
             "degree_required"
         ),
         F.col("metadata.relocation_requirement").alias("relocation"),
-        F.filter(skills, has_skill).alias("skills_present"),
-        F.filter(skills, lambda s: ~has_skill(s)).alias("skills_missing"),
+        present.alias("skills_present"),
+        let(
+            text,
+            lambda t: F.filter(skills, lambda skill: ~F.contains(t, F.lower(skill))),
+        ).alias("skills_missing"),
     )
 
 

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewright.functions.core import computed_once
 from placewright.functions.text import (
     clean_text,
     has_text,
@@ -48,7 +49,7 @@ def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_search_pages(pages: DataFrame) -> DataFrame:
     """``page_no, payload`` -> ``page_no, total, job_id`` of the posting cards."""
-    parsed = pages.select("page_no", F.from_json("payload", SEARCH_PAGE).alias("page"))
+    parsed = computed_once(pages, "page", F.from_json("payload", SEARCH_PAGE))
     cards = parsed.select(
         "page_no",
         F.col("page.data.paging.total").alias("total"),
@@ -86,8 +87,8 @@ def country_names(spark: SparkSession) -> DataFrame:
 
 def parse_posting_details(payloads: DataFrame, countries: list[str]) -> Parsed:
     """``job_id, payload`` -> posting rows, and rows that cannot be used."""
-    parsed = payloads.select(
-        "job_id", F.from_json("payload", DETAIL).alias("doc"), F.col("payload")
+    parsed = computed_once(
+        payloads.select("job_id", "payload"), "doc", F.from_json("payload", DETAIL)
     )
     data = F.col("doc.data")
     named = F.filter(
@@ -126,7 +127,6 @@ def parse_posting_details(payloads: DataFrame, countries: list[str]) -> Parsed:
 
 def posting_states(payloads: DataFrame) -> DataFrame:
     """``job_id, seq, payload`` -> ``job_id, seq, state`` of landed details."""
-    state = F.from_json("payload", "data STRUCT<jobState: STRING>")["data"]["jobState"]
-    return payloads.select("job_id", "seq", state.alias("state")).where(
-        has_text(F.col("state"))
-    )
+    state = F.get_json_object("payload", "$.data.jobState")
+    landed = computed_once(payloads, "state", state)
+    return landed.select("job_id", "seq", "state").where(has_text(F.col("state")))
