@@ -8,9 +8,11 @@ have (years, work mode, answers ...) are computed from columns they do have.
 from __future__ import annotations
 
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placewright.functions.metadata import rebuild
 from placewright.operators.compatibility import with_metadata
@@ -101,13 +103,19 @@ MODE_TEXT = [
 
 
 class Views:
+    #: Schemas seen in this process, by path.
+    schemas: ClassVar[dict[str, T.StructType]] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir
 
     def table(self, name: str, spread: bool = False) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in self.schemas:  # reading footers is a job of its own
+            self.schemas[path] = self.spark.read.parquet(path).schema
+        rows = self.spark.read.schema(self.schemas[path]).parquet(path)
         return spread_few_files(rows) if spread else rows
 
     # ---- postings and their requirements -------------------------------

@@ -53,7 +53,8 @@ def embed(texts: Column, loader: Callable[[], Encoder]) -> Column:
             vectors = unit_rows(encoder(batch.fillna("").tolist()))
             yield pd.Series(list(vectors))
 
-    return encode(texts)
+    # never computed again for a filter that is pushed below it
+    return encode.asNondeterministic()(texts)
 
 
 def embed_postings(postings: DataFrame, loader: Callable[[], Encoder]) -> DataFrame:

@@ -9,6 +9,7 @@ from placewright.functions.metadata import bad_work_mode, rebuild
 from placewright.operators.compatibility import compatible_jobs, with_metadata
 from placewright.operators.keyed import hydrate, metadata_lookup
 from placewright.operators.similarity import Hits, search
+from placewright.sources.tables import materialized
 
 PROFILE = (
     "experience_years",
@@ -19,6 +20,10 @@ PROFILE = (
 )
 
 
+#: A hit with its facts takes about this many times the room of a bare key.
+FACT_WIDTH = 4
+
+
 def search_width(top_k: int) -> int:
     """Twice the wanted number, so that the filter has something to drop."""
     return 2 * top_k
@@ -39,7 +44,10 @@ def match_resumes(
     candidate is not compatible with then free no place for others. Fewer
     than ``top_k`` rows may remain.
     """
-    hits = search(candidates, vectors, search_width(top_k))
+    found = search(candidates, vectors, search_width(top_k))
+    # Read three times below, and the costliest step by far: written once. The
+    # rows are few, and a lost executor does not bring the search back.
+    hits = Hits(materialized(found.rows, "hits"), found.at_most)
     return rank_hits(hits, candidates, postings, metadata, top_k, apply_metadata_filtering)
 
 
@@ -51,15 +59,19 @@ def rank_hits(
     top_k: int,
     apply_metadata_filtering: bool = True,
 ) -> DataFrame:
-    """Hydrate, filter and re-rank the hits of a similarity search."""
+    """Hydrate, filter and re-rank the hits of a similarity search.
+
+    Requirement rows and profiles are joined to the narrow hits first; the
+    wide posting columns come last, by sending the hits to the postings.
+    """
     found = hits.rows.select("candidate_id", "job_id", "score")
-    jobs = with_metadata(
-        hydrate(found, postings, hits.at_most),
-        metadata_lookup(found, metadata, hits.at_most),
-    )
+    facts = with_metadata(found, metadata_lookup(found, metadata, hits.at_most))
+    if apply_metadata_filtering:
+        facts = facts.join(candidates.select("candidate_id", *PROFILE), "candidate_id")
+    wide = None if hits.at_most is None else FACT_WIDTH * hits.at_most
+    jobs = hydrate(facts, postings, wide)
     if apply_metadata_filtering:
-        profile = candidates.select("candidate_id", *PROFILE)
-        jobs = compatible_jobs(jobs.join(profile, "candidate_id"))
+        jobs = compatible_jobs(jobs)
     window = Window.partitionBy("candidate_id").orderBy(
         F.col("score").desc(), F.col("job_id").asc()
     )

@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewright.session import shared_folder
+
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
@@ -33,6 +35,14 @@ def read_table(
     return rows
 
 
+def materialized(rows: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, computed now and read back from the shared folder."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark, purpose)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def spread_few_files(table: DataFrame) -> DataFrame:
     """A table in fewer files than there are cores, dealt out to all cores.
 
@@ -53,13 +63,14 @@ def write_artifacts(files: DataFrame, path: str) -> None:
 
 
 def write_artifact_folders(files: DataFrame, path: str) -> None:
-    """A folder per job and document with the bare text in it, for
-    consumers that want files. Rows of one job are brought together first so
-    that a job gets one file per document."""
+    """A folder per candidate, job and document with the bare text in it, for
+    consumers that want files. There is one row per folder, so the rows of a
+    sought-after job still spread over all tasks."""
+    keys = ["candidate_id", "job_id", "file_name"]
     (
-        files.select("job_id", "file_name", F.col("content").alias("value"))
-        .repartition("job_id", "file_name")
+        files.select(*keys, F.col("content").alias("value"))
+        .repartition(*keys)
         .write.mode("overwrite")
-        .partitionBy("job_id", "file_name")
+        .partitionBy(*keys)
         .text(path)
     )
