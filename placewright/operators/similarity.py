@@ -170,15 +170,15 @@ def _local_best_blocked(
     blocks = max(1, math.ceil(candidates.count() / BLOCK_CANDIDATES))
     cells = max(1, math.ceil(vectors.count() / BLOCK_VECTORS))
     left = candidates.select(
-        F.pmod(F.xxhash64(F.col("candidate_id").cast("string")), F.lit(blocks)).alias(
-            "block"
-        ),
+        F.pmod(F.xxhash64(F.col("candidate_id").cast("string")), F.lit(blocks))
+        .cast("int")
+        .alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
         "candidate_id",
         "resume_embedding",
     )
     right = vectors.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
         F.pmod(F.xxhash64("job_id"), F.lit(cells)).cast("int").alias("cell"),
         "job_id",
         "embedding",
