@@ -101,14 +101,20 @@ def exclude_titles(
     return Cleaned(postings.where(~hit), postings.where(hit))
 
 
-def drop_closed(postings: DataFrame, states: DataFrame) -> DataFrame:
-    """Postings whose latest landed state (``job_id, seq, state``) is not closed."""
-    closed = (
+def closed_ids(states: DataFrame) -> DataFrame:
+    """Ids whose latest landed state (``job_id, seq, state``) is closed, with
+    the ``seq`` of that state."""
+    return (
         states.groupBy("job_id")
-        .agg(F.max_by("state", "seq").alias("state"))
+        .agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
         .where(F.col("state") == CLOSED)
+        .select("job_id", "seq")
     )
-    return postings.join(closed.select("job_id"), "job_id", "left_anti")
+
+
+def drop_closed(postings: DataFrame, states: DataFrame) -> DataFrame:
+    """Postings whose latest landed state is not closed."""
+    return postings.join(closed_ids(states).select("job_id"), "job_id", "left_anti")
 
 
 def _rule(table: str, rule: str, rows: DataFrame) -> DataFrame:

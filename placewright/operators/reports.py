@@ -221,3 +221,21 @@ def handoff_text(
         w.HANDOFF_HEADER,
         w.HANDOFF_EMPTY,
     )
+
+
+def decision_report(decisions: DataFrame) -> DataFrame:
+    """One line per decision, in job order within each candidate."""
+    verdict = F.when(F.col("pursue"), "pursue").otherwise("skip")
+    return decisions.select(
+        *PAIR, F.format_string(w.DECISION_LINE, "job_id", verdict, "reason").alias("line")
+    ).orderBy(*PAIR)
+
+
+def status_report(statuses: DataFrame) -> DataFrame:
+    """One line per status with its note, in job order within each candidate."""
+    line = F.concat_ws(
+        w.DASH,
+        F.format_string(w.STATUS_LINE, "job_id", "status"),
+        F.nullif(F.col("notes"), F.lit("")),
+    )
+    return statuses.select(*PAIR, line.alias("line")).orderBy(*PAIR)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placewright import schemas, wording
 from placewright.functions.text import as_bool, has_text, is_approval
+from placewright.operators.ingest import closed_ids
 
 PAIR = ["candidate_id", "job_id"]
 
@@ -96,6 +97,52 @@ def artifact_files(artifacts: DataFrame, statuses: DataFrame) -> DataFrame:
     )
 
 
+class Prepared(NamedTuple):
+    artifacts: DataFrame
+    statuses: DataFrame
+    notes: DataFrame
+
+
+def prepared_documents(drafts: DataFrame, field: str) -> Prepared:
+    """What finished drafts of one kind add to the round.
+
+    drafts: ``candidate_id, job_id, seq, draft, approved, issues, rejected``.
+    ``field`` is the artifact field the draft fills. A draft counts whether
+    its last review approved it or not; the note says which.
+    """
+    done = drafts.where(~F.col("rejected"))
+    fields = [
+        (F.col("draft") if name == field else F.lit(None).cast("string")).alias(name)
+        for name in schemas.ARTIFACT_FIELDS
+    ]
+    return Prepared(
+        artifacts=done.select(*PAIR, "seq", *fields),
+        statuses=done.select(
+            *PAIR,
+            "seq",
+            F.lit("tailored").alias("status"),
+            F.lit(None).cast("string").alias("notes"),
+        ),
+        notes=done.select(
+            *PAIR, review_note(F.col("approved"), F.col("issues")).alias("note")
+        ),
+    )
+
+
+def expired_statuses(matches: DataFrame, states: DataFrame) -> DataFrame:
+    """Shortlisted jobs whose latest landed state is closed.
+
+    states: ``job_id, seq, state``. The removal of the posting itself is
+    :func:`placewright.operators.ingest.drop_closed`.
+    """
+    return matches.select(*PAIR).join(closed_ids(states), "job_id").select(
+        *PAIR,
+        "seq",
+        F.lit("expired").alias("status"),
+        F.lit(wording.POSTING_CLOSED).alias("notes"),
+    )
+
+
 def review_note(approved: Column, issues: Column) -> Column:
     """One line on how a draft fared."""
     stated = F.when(

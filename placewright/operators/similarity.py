@@ -33,8 +33,10 @@ from placewright.functions.vectors import SCORE_PLACES, similarity
 BROADCAST_ROWS = 16_384
 #: ... if their float32 matrix also stays below this size.
 BROADCAST_BYTES = 256 * 1024 * 1024
-#: Rows per side of a pair of blocks on the way without broadcasting.
-BLOCK_CANDIDATES = 4_096
+#: Rows per side of a pair of blocks on the way without broadcasting. Each row
+#: is sent once per block of the other side, so large blocks mean little
+#: traffic; at 384 dimensions a block takes 100 MB in its task.
+BLOCK_CANDIDATES = 65_536
 BLOCK_VECTORS = 65_536
 #: Scores held at once while scanning (8 bytes each).
 SCORES_AT_ONCE = 4_000_000
@@ -43,10 +45,10 @@ MERGE_ROWS = 200_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column as a float64 matrix."""
+    """Rows of a list column as a float32 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = np.asarray(column.flatten(), dtype=np.float64)
+    flat = np.asarray(column.flatten(), dtype=np.float32)
     if len(column) == 0:
         return flat.reshape(0, 0)
     if len(flat) % len(column):
@@ -107,6 +109,7 @@ def _scan(
     queries: np.ndarray, blocks: Iterable[tuple[np.ndarray, np.ndarray]], k: int
 ) -> _Best:
     best = _Best(len(queries), k)
+    queries = queries.astype(np.float64)
     step = max(k, SCORES_AT_ONCE // max(1, len(queries)))
     for jobs, vectors in blocks:
         if len(vectors) and len(queries) and vectors.shape[1] != queries.shape[1]:
@@ -116,7 +119,7 @@ def _scan(
             )
         for start in range(0, len(vectors), step):
             part = slice(start, start + step)
-            best.add(queries @ vectors[part].T, jobs[part])
+            best.add(queries @ vectors[part].astype(np.float64).T, jobs[part])
     best.settle()
     return best
 
@@ -148,7 +151,7 @@ def _local_best_shipped(
     """Every task scores its vectors against the shipped candidates."""
     sc = vectors.sparkSession.sparkContext
     ids = shipped.column("candidate_id").combine_chunks()
-    matrix = _matrix(shipped.column("resume_embedding")).astype(np.float32)
+    matrix = _matrix(shipped.column("resume_embedding"))
     handle = sc.broadcast((ids, matrix))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,7 @@ def _local_best_shipped(
             for b in batches
             if b.num_rows
         )
-        yield _result(_scan(queries.astype(np.float64), blocks, k), candidate_ids)
+        yield _result(_scan(queries, blocks, k), candidate_ids)
 
     return vectors.mapInArrow(scan, schema)
 

@@ -34,6 +34,7 @@ def incremental_ingest(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch.persist()  # read for its keys, its new rows and its rejects
         stored = read_table(spark, table, schema, before_batch=batch_id)
         # A batch is small beside the table: its keys go to the table and only
         # the ones found there come back, so the table is never shuffled.
@@ -42,6 +43,7 @@ def incremental_ingest(
         result = ingest_postings(known, batch, order)
         write_batch(result.inserted, table, batch_id)
         write_batch(result.rejected, rejects, batch_id)
+        batch.unpersist()
 
     run_available(
         stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)

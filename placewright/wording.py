@@ -47,6 +47,9 @@ HANDOFF_NO_DETAILS = "(job details missing)"
 SCREENED_OUT = "screened out: %s"
 REVIEW_APPROVED = "approved at human review"
 REVIEW_SKIPPED = "skipped at human review"
+POSTING_CLOSED = "Posting reported CLOSED by LinkedIn; removed from DB."
+DECISION_LINE = "%s: %s — %s"
+STATUS_LINE = "%s: %s"
 DRAFT_PASSED = "passed the truthfulness review"
 DRAFT_ISSUES = "review still flags issues after revision: %s"
 DRAFT_ISSUE_UNSPECIFIED = "unspecified"

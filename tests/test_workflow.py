@@ -280,3 +280,32 @@ def test_drafting_gives_up(spark):
     rows = spark.createDataFrame([(1, "42", "jd", "r")], JOBS)
     row = inference.reviewed_drafts(rows, "k", stubborn_drafter, picky_judge).first()
     assert (row.draft, row.approved, row.rounds, row.issues) == ("still bad", False, 2, ["invented a PhD"])
+
+
+def test_drafts_become_events(spark):
+    rows = spark.createDataFrame([(1, "42", "jd", "r"), (1, "43", "", "r")], JOBS)
+    drafts = inference.reviewed_drafts(rows, "k", stubborn_drafter, picky_judge).withColumn("seq", F.lit(5))
+    out = review.prepared_documents(drafts, "cover_letter")
+    row = out.artifacts.first()
+    assert (row.job_id, row.tailored_resume, row.cover_letter) == ("42", None, "still bad")
+    assert [(r.job_id, r.status) for r in out.statuses.collect()] == [("42", "tailored")]
+    assert out.notes.first().note == "review still flags issues after revision: invented a PhD"
+
+
+def test_expired_statuses(spark):
+    states = spark.createDataFrame(
+        [("42", 1, "LISTED"), ("42", 2, "CLOSED"), ("9", 1, "CLOSED")], "job_id string, seq int, state string"
+    )
+    got = review.expired_statuses(matches(spark, match("42"), match("43")), states).collect()
+    assert [(r.job_id, r.seq, r.status) for r in got] == [("42", 2, "expired")]
+
+
+def test_ordered_lines(spark):
+    decisions = spark.createDataFrame(
+        [(1, "9", False, "no"), (1, "42", True, "fit")], "candidate_id int, job_id string, pursue boolean, reason string"
+    )
+    assert [r.line for r in reports.decision_report(decisions).collect()] == ["42: pursue — fit", "9: skip — no"]
+    statuses = spark.createDataFrame(
+        [(1, "9", "applied", None), (1, "42", "skipped", "why")], "candidate_id int, job_id string, status string, notes string"
+    )
+    assert [r.line for r in reports.status_report(statuses).collect()] == ["42: skipped — why", "9: applied"]
