@@ -19,6 +19,7 @@ from placewright.functions.metadata import language_evidence, only_english
 from placewright.functions.predicates import compatibility, literal_preferences
 from placewright.functions.prompts import build_prompt
 from placewright.functions.text import (
+    EPOCH,
     as_bool,
     clean_text,
     csv_list,
@@ -201,8 +202,9 @@ for _rule in ("experience", "degree", "language", "skills", "location", "visa"):
 
 
 def _pairs_with_facts(v: Views) -> DataFrame:
-    jobs = keyed.hydrate(v.pairs.select("candidate_id", "job_id"), v.postings)
-    return compat.with_metadata(jobs, v.metadata).join(v.people, "candidate_id")
+    """Narrow facts first, posting texts last."""
+    pairs = v.pairs.select("candidate_id", "job_id").join(v.people, "candidate_id")
+    return keyed.hydrate(compat.with_metadata(pairs, v.metadata), v.postings)
 
 
 @query
@@ -413,7 +415,8 @@ QUERIES["clean_text"] = QUERIES.pop("clean_text_query")
 
 @query
 def posted_local_time(v: Views) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    epoch = F.lit(EPOCH).cast("timestamp_ntz")
+    ms = F.timestamp_diff("MILLISECOND", epoch, F.col("ts"))
     return v.table("events").select("event_id", stamp(local_time(ms)).alias("posted_at"))
 
 

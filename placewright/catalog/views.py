@@ -416,7 +416,7 @@ class Views:
             .where(F.col("rank") <= TOP_K)
             .drop("rank")
         )
-        return with_metadata(hydrate(top, self.postings), self.metadata).select(
+        return hydrate(with_metadata(top, self.metadata), self.postings).select(
             "candidate_id",
             "job_id",
             "title",

@@ -31,9 +31,16 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANK_RUN, " "))
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
 def local_time(epoch_ms: Column) -> Column:
-    """Wall-clock time in the posting time zone (session time zone UTC)."""
-    return F.from_utc_timestamp(F.timestamp_millis(epoch_ms), TIME_ZONE)
+    """Wall-clock time in the posting time zone, as TIMESTAMP_NTZ: the result
+    does not depend on the time zone of the session."""
+    seconds = (epoch_ms / 1000).cast("decimal(18, 6)")
+    zero = F.lit(0)
+    utc = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(TIME_ZONE), utc)
 
 
 def urn_id(urn: Column) -> Column:

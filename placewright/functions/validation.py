@@ -39,21 +39,28 @@ FIELDS = {
 LANGUAGE_FIELDS = ("language", "level", "requirement", "evidence")
 
 
+def _type_of(node: Column) -> Column:
+    """VOID (JSON null), OBJECT, ARRAY, STRING, BOOLEAN or a number type; NULL
+    when absent. Details such as the fields of an object are cut off."""
+    return F.regexp_extract(F.schema_of_variant(node), "^[A-Z]+", 0)
+
+
 def _probe(node: Column, path: str) -> Column:
-    """Type name (NULL when absent, VOID for null) and text of one field."""
+    """Type and text of one field."""
     return F.struct(
-        F.schema_of_variant(F.try_variant_get(node, path, "variant")).alias("type"),
+        _type_of(F.try_variant_get(node, path, "variant")).alias("type"),
         F.try_variant_get(node, path, "string").alias("text"),
     )
 
 
 def probes(root: Column) -> Column:
     """Everything the rules look at, as one struct."""
-    columns = [F.schema_of_variant(root).alias("root")]
+    columns = [_type_of(root).alias("root")]
     for part, fields in FIELDS.items():
-        columns.append(_probe(root, f"$.{part}")["type"].alias(part))
+        columns.append(_type_of(F.try_variant_get(root, f"$.{part}", "variant")).alias(part))
         columns += [_probe(root, f"$.{part}.{field}").alias(field) for field in fields]
-    columns.append(_probe(root, f"$.{LANGUAGES}")["type"].alias(LANGUAGES))
+    listed = F.try_variant_get(root, f"$.{LANGUAGES}", "variant")
+    columns.append(_type_of(listed).alias(LANGUAGES))
     items = F.try_variant_get(root, f"$.{LANGUAGES}", "array<variant>")
     columns.append(
         F.transform(
@@ -72,11 +79,11 @@ def missing(type_name: Column) -> Column:
 
 
 def is_object(type_name: Column) -> Column:
-    return F.coalesce(F.startswith(type_name, F.lit("OBJECT")), F.lit(False))
+    return type_name.eqNullSafe("OBJECT")
 
 
 def is_array(type_name: Column) -> Column:
-    return F.coalesce(F.startswith(type_name, F.lit("ARRAY")), F.lit(False))
+    return type_name.eqNullSafe("ARRAY")
 
 
 def is_string(type_name: Column) -> Column:
@@ -88,13 +95,7 @@ def is_boolean(type_name: Column) -> Column:
 
 
 def is_number(type_name: Column) -> Column:
-    return ~(
-        missing(type_name)
-        | is_string(type_name)
-        | is_boolean(type_name)
-        | is_object(type_name)
-        | is_array(type_name)
-    )
+    return F.coalesce(type_name.isin("BIGINT", "DECIMAL", "DOUBLE"), F.lit(False))
 
 
 def bad_integer(p: Column) -> Column:

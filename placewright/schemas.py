@@ -21,7 +21,7 @@ ID_STATUS = "job_id STRING, is_scraped BOOLEAN"
 
 POSTINGS = (
     "job_id STRING, title STRING, company STRING, description STRING, "
-    "location STRING, posted_at TIMESTAMP, application_url STRING, country STRING"
+    "location STRING, posted_at TIMESTAMP_NTZ, application_url STRING, country STRING"
 )
 POSTINGS_NOT_NULL = ("job_id", "title", "company", "description")
 
