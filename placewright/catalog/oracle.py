@@ -517,10 +517,11 @@ WHERE t.description <> '' AND t.job_id NOT IN (SELECT job_id FROM vectors)""",
 oracle(
     "load_candidates",
     """
-SELECT CAST(conv_id AS VARCHAR) AS candidate_id, text AS resume_text, 3 AS experience_years,
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS candidate_id,
+  text AS resume_text, 3 AS experience_years,
   0 AS skills, 0 AS locations, false AS open_to_relocation,
   false AS requires_visa_sponsorship
-FROM conversations WHERE turn = 0""",
+FROM conversations""",
 )
 oracle(
     "artifact_files",

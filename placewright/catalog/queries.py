@@ -67,9 +67,19 @@ ONE_CANDIDATE = {
 TITLE_PATTERNS = ["%intern%", "%part%", "%ring%", "%bolt%"]
 
 
+def named(name: str) -> Callable:
+    """Register a query under ``name``."""
+
+    def register(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: build(Views(spark, sf_dir))
+        return build
+
+    return register
+
+
 def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(Views(spark, sf_dir))
-    return build
+    """Register a query under the name of its function."""
+    return named(build.__name__)(build)
 
 
 # ---- sources, sinks, table state -------------------------------------------
@@ -145,13 +155,12 @@ def append_vectors(v: Views) -> DataFrame:
 
 @query
 def load_candidates(v: Views) -> DataFrame:
-    """Opening message of every conversation as a resume file."""
+    """Every message as a resume file of its own, read back whole."""
     folder = shared_folder(v.spark, "resumes")
-    opening = v.messages.where(F.col("turn") == 0)
-    opening.select("thread_id", F.col("text").alias("value")).repartition(
-        "thread_id"
-    ).write.partitionBy("thread_id").text(folder)
-    people = resumes.load_candidates(v.spark, folder, r"thread_id=([^/]+)/")
+    key = F.concat("thread_id", F.lit("-"), "turn").alias("message")
+    files = v.messages.select(key, F.col("text").alias("value"))
+    files.repartition("message").write.partitionBy("message").text(folder)
+    people = resumes.load_candidates(v.spark, folder, r"message=([^/]+)/")
     return people.select(
         "candidate_id",
         F.regexp_replace("resume_text", r"\n$", "").alias("resume_text"),
@@ -189,12 +198,12 @@ def _jobs_with_facts(v: Views) -> DataFrame:
 
 
 def _single_rule(rule: str) -> Callable[[Views], DataFrame]:
+    @named(f"filter_{rule}")
     def build(v: Views) -> DataFrame:
         keep = compatibility(literal_preferences(**ONE_CANDIDATE))[rule]
         return _jobs_with_facts(v).where(keep).select("job_id", "title")
 
-    build.__name__ = f"filter_{rule}"
-    return query(build)
+    return build
 
 
 for _rule in ("experience", "degree", "language", "skills", "location", "visa"):
@@ -238,16 +247,9 @@ def hydrate_after_topk(v: Views) -> DataFrame:
     ).select("candidate_id", "job_id", "score", "title", "company")
 
 
-@query
-def match_resumes_nested(v: Views) -> DataFrame:
-    return match_resumes(v.candidates, v.vectors, v.postings, v.metadata, top_k=10)
-
-
-del QUERIES["match_resumes_nested"]
-
-
-def _flagship(v: Views) -> DataFrame:
-    m = match_resumes_nested(v)
+@named("match_resumes")
+def best_postings(v: Views) -> DataFrame:
+    m = match_resumes(v.candidates, v.vectors, v.postings, v.metadata, top_k=10)
     exp = F.col("metadata.experience_requirement")
     rel = F.col("metadata.relocation_requirement")
     return m.select(
@@ -266,10 +268,6 @@ def _flagship(v: Views) -> DataFrame:
     )
 
 
-_flagship.__name__ = "match_resumes"
-query(_flagship)
-
-
 @query
 def first_three(v: Views) -> DataFrame:
     lines = F.split("description", "\n")
@@ -405,14 +403,11 @@ def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS")
 
 
-@query
+@named("clean_text")
 def clean_text_query(v: Views) -> DataFrame:
     return v.spread_texts.select("job_id", clean_text(F.col("description")).alias("cleaned"))
 
 
-QUERIES["clean_text"] = QUERIES.pop("clean_text_query")
-
-
 @query
 def posted_local_time(v: Views) -> DataFrame:
     epoch = F.lit(EPOCH).cast("timestamp_ntz")
@@ -427,14 +422,11 @@ def country_from_location(v: Views) -> DataFrame:
     return v.postings.select("job_id", names_in_text(place, names).alias("countries"))
 
 
-@query
+@named("strip_fences")
 def strip_fences_query(v: Views) -> DataFrame:
     return v.replies.select("job_id", strip_fences(F.col("reply")).alias("bare"))
 
 
-QUERIES["strip_fences"] = QUERIES.pop("strip_fences_query")
-
-
 @query
 def build_prompts(v: Views) -> DataFrame:
     return v.texts.select("job_id", build_prompt(F.col("description")).alias("prompt"))
@@ -481,7 +473,7 @@ def _rule_metadata(v: Views) -> DataFrame:
     return enrich.extract_requirements(v.ads)
 
 
-@query
+@named("only_english")
 def only_english_query(v: Views) -> DataFrame:
     languages = F.col("metadata.language_requirements")
     return _rule_metadata(v).select(
@@ -491,9 +483,6 @@ def only_english_query(v: Views) -> DataFrame:
     )
 
 
-QUERIES["only_english"] = QUERIES.pop("only_english_query")
-
-
 @query
 def flatten_metadata(v: Views) -> DataFrame:
     valid = enrich.validate_replies(v.replies).where("metadata IS NOT NULL")
@@ -698,7 +687,7 @@ def _file_stream(v: Views, name: str) -> DataFrame:
     return v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/{name}.parquet*")
 
 
-@query
+@named("incremental_ingest")
 def incremental_ingest_query(v: Views) -> DataFrame:
     """Two runs over the same landed files; the second adds nothing."""
     folder = shared_folder(v.spark, "ingest")
@@ -722,10 +711,7 @@ def incremental_ingest_query(v: Views) -> DataFrame:
     return stored.select("job_id", "title", "company", "description")
 
 
-QUERIES["incremental_ingest"] = QUERIES.pop("incremental_ingest_query")
-
-
-@query
+@named("incremental_status")
 def incremental_status_query(v: Views) -> DataFrame:
     folder = shared_folder(v.spark, "status")
     streaming = Views(v.spark, v.sf_dir)
@@ -736,5 +722,3 @@ def incremental_status_query(v: Views) -> DataFrame:
         )
     return current_status(v.spark, f"{folder}/status")
 
-
-QUERIES["incremental_status"] = QUERIES.pop("incremental_status_query")

@@ -179,10 +179,6 @@ def test_extract_batch_retries_only_failures(spark, tmp_path):
     assert seen == [["1", "2"], ["1", "2"], ["2"]]
 
 
-def small_encoder():
-    return WordHashEncoder(8)
-
-
 def test_embed_batch_appends_and_skips_blanks(spark, tmp_path):
     posts = spark.createDataFrame([("1", "a b"), ("2", ""), ("3", None)], "job_id string, description string")
     table = str(tmp_path / "vectors")
