@@ -40,8 +40,9 @@ BLOCK_CANDIDATES = 65_536
 BLOCK_VECTORS = 65_536
 #: Scores held at once while scanning (8 bytes each).
 SCORES_AT_ONCE = 4_000_000
-#: Rows of one candidate that one merge task may have to rank.
-MERGE_ROWS = 200_000
+#: Pieces in which the partial results of one candidate are ranked first. With
+#: 100,000 scan tasks and k = 20 a piece still has only 125,000 short rows.
+MERGE_PIECES = 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -207,9 +208,9 @@ def _local_best_blocked(
     )
 
 
-def best_rows(hits: DataFrame, k: int, pieces: int = 1) -> DataFrame:
-    """Rank 1..k per candidate. With many partial results per candidate a
-    first ranking by (candidate, piece) keeps any one task small."""
+def best_rows(hits: DataFrame, k: int, pieces: int = MERGE_PIECES) -> DataFrame:
+    """Rank 1..k per candidate. A first ranking by (candidate, piece) keeps
+    any one task small however many partial results a candidate has."""
     order = [F.col("score").desc(), F.col("job_id").asc()]
     if pieces > 1:
         salted = hits.withColumn(
@@ -265,13 +266,11 @@ def search(
         if not shipped.num_rows:
             return Hits(best_rows(people.sparkSession.createDataFrame([], schema), k), 0)
         local = _local_best_shipped(stored, shipped, k, schema)
-        partials = stored.rdd.getNumPartitions()
         at_most = shipped.num_rows * k
     else:
         local = _local_best_blocked(people, stored, k, schema)
-        partials = max(1, math.ceil(stored.count() / BLOCK_VECTORS))
         at_most = None
-    return Hits(best_rows(local, k, pieces=math.ceil(partials * k / MERGE_ROWS)), at_most)
+    return Hits(best_rows(local, k), at_most)
 
 
 def pair_scores(pairs: DataFrame, candidates: DataFrame, vectors: DataFrame) -> DataFrame:
