@@ -68,7 +68,24 @@ def _powers(base: int, count: int) -> np.ndarray:
         return np.multiply.accumulate(steps)
 
 
-_UP, _DOWN = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
+_TABLES = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for ``length`` places at least."""
+    if len(_TABLES[0]) < length:
+        size = max(PIECE, 1 << (length - 1).bit_length())
+        _TABLES[:] = _powers(_BASE, size), _powers(_INVERSE, size)
+    return _TABLES[0], _TABLES[1]
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]`` of all ranges."""
+    up, down = power_tables(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((_LETTER_LOW if fold else _LETTER)[data] * up[: len(data)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def _hash_piece(piece: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,12 +98,7 @@ def _hash_piece(piece: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.nda
     first[inner] |= solid[inner]
     last[inner - 1] |= solid[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = (_UP, _DOWN) if len(piece) <= PIECE else (_powers(_BASE, len(piece)), _powers(_INVERSE, len(piece)))
-    sums = np.zeros(len(piece) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((_LETTER_LOW if fold else _LETTER)[piece] * up[: len(piece)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, starts, ends
+    return range_hashes(piece, starts, ends, fold), starts, ends
 
 
 def hashed_words(texts: pa.Array, fold: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import near_dup
+from placewright.llm import bpe, near_dup, quality, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,31 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def rank_file(name: str = "byte_bpe_50k.tiktoken") -> bytes:
+    """The ranks of a public vocabulary, read where the driver runs."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), rank_file(), ["doc_id"])
+
+
+def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_byte_bpe": byte_pairs,
     "op2_order_minhash": near_duplicates,
+    "op4_weak_labels": weak_labels,
+    "op7_randomness_battery": secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
