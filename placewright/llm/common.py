@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from placewright.session import shared_folder
 
@@ -172,6 +173,20 @@ def labelled(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values[start:start + length]`` of all pairs, put together."""
+    total = int(lengths.sum())
+    if not total:
+        return values[:0]
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A schema with further fields, given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of equal ``keys`` in rows sorted by them, whatever the batches.
 

@@ -32,19 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import Stored, components, hashed_words, labelled, mixed, runs, shingles
+from placewright.llm.common import Stored, components, hashed_words, labelled, mixed, ragged, runs, shingles
 
 WIDTH = 5
 SIMILAR = 0.8
 #: Hash functions of the sketch and shingles taken by each: a pair at 0.8 shares a
-#: band with 0.41, and none of 20 with 3 in 100,000.
-BANDS = 20
+#: band with 0.41, and none of 16 with 2 in 10,000.
+BANDS = 16
 TAKEN = 4
 #: MinHash bytes per text; below the floor a pair at 0.8 falls by chance 3 times in 10,000.
 SIGNATURE = 128
 FLOOR = 0.68
 #: Classes of a bucket side in one block comparison.
-BLOCK = 256
+BLOCK = 1024
 
 _RANDOM = np.random.default_rng(20)
 _ODD = (_RANDOM.integers(0, 1 << 32, SIGNATURE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -164,30 +164,82 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a cell in different components whose signatures are alike enough."""
-    for cell in runs(batches, ["bucket", "i", "j"]):
-        minor = np.asarray(cell.column("minor").to_numpy())
-        if not minor.any() or minor.all():
+def _candidates(cell: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a cell in different components that are alike enough to be aligned.
+
+    A pair that shares several buckets is taken in that of its first shared band only.
+    """
+    minor = cell.column("minor").to_numpy()
+    names = cell.column("cls").to_numpy()
+    roots = cell.column("root").to_numpy()
+    sizes = cell.column("n_shingles").to_numpy().astype(float)
+    bucket = cell.column("bucket")[0].as_py()
+    bits = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    rest = np.flatnonzero(~minor)
+    for k in np.flatnonzero(minor).tolist():
+        near = rest[(roots[rest] != roots[k]) & (names[rest] != names[k])]
+        near = near[np.minimum(sizes[near], sizes[k]) >= SIMILAR * np.maximum(sizes[near], sizes[k])]
+        if not len(near):
             continue
-        names = np.asarray(cell.column("cls").to_numpy())
-        roots = np.asarray(cell.column("root").to_numpy())
-        sizes = np.asarray(cell.column("n_shingles").to_numpy()).astype(float)
-        bits = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-        rest = np.flatnonzero(~minor)
-        found_a, found_b = [], []
-        for k in np.flatnonzero(minor):
-            near = rest[(roots[rest] != roots[k]) & (names[rest] != names[k])]
-            near = near[np.minimum(sizes[near], sizes[k]) >= SIMILAR * np.maximum(sizes[near], sizes[k])]
-            near = near[(bits[near] == bits[k]).mean(axis=1) >= FLOOR]
-            found_a.append(np.minimum(names[near], names[k]))
-            found_b.append(np.maximum(names[near], names[k]))
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        alike = (bits[near] == bits[k]).mean(axis=1)
+        near, alike = near[alike >= FLOOR], alike[alike >= FLOOR]
+        first = (bands[near] == bands[k]).argmax(axis=1)
+        mine = bands[k][first] == bucket
+        near, alike = near[mine], alike[mine]
+        if len(near):
+            yield k, near[np.argsort(-alike, kind="stable")]
+
 
+CELL = "bucket bigint, i int, j int, cls bigint, root bigint, minor boolean, n_shingles int, bands array<bigint>, signature binary"
 
 
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of cells that are in some candidate pair."""
+    for cell in runs(batches, ["bucket", "i", "j"]):
+        used = np.zeros(cell.num_rows, bool)
+        for k, near in _candidates(cell):
+            used[k] = True
+            used[near] = True
+        if used.any():
+            yield from cell.filter(pa.array(used)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a cell that join components; at most one less than it has rows."""
+    for cell in runs(batches, ["bucket", "i", "j"]):
+        values = [found for _, _, found in text_shingles(cell.column("text").combine_chunks())]
+        count = np.array([len(v) for v in values])
+        starts = np.cumsum(count) - count
+        _, number = np.unique(np.concatenate(values), return_inverse=True)
+        own = np.zeros(number.max() + 1, bool)
+        roots = cell.column("root").to_pylist()
+        names = cell.column("cls").to_pylist()
+        parent: dict[int, int] = {}
+
+        def top(node: int) -> int:
+            while parent.get(node, node) != node:
+                parent[node] = parent.get(parent[node], parent[node])
+                node = parent[node]
+            return node
+
+        links = []
+        for k, near in _candidates(cell):
+            mine = number[starts[k] : starts[k] + count[k]]
+            own[mine] = True
+            held = own[ragged(number, starts[near], count[near])]
+            own[mine] = False
+            shared = np.add.reduceat(held, np.cumsum(count[near]) - count[near], dtype=np.int64)
+            near = near[shared >= SIMILAR * (count[near] + count[k]) / (1 + SIMILAR) - 1e-9]
+            for other in near.tolist():
+                one, two = top(roots[k]), top(roots[other])
+                if one != two and similarity(values[k], values[other]):
+                    parent[max(one, two)] = min(one, two)
+                    links.append((min(names[k], names[other]), max(names[k], names[other])))
+        if links:
+            a, b = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, class_id, group_id, class_size, kept``.
@@ -215,32 +267,33 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .dropDuplicates(["cls"]),
         "heads",
     )
-    rows = heads.select(
-        F.explode("bands").alias("bucket"), "cls", "copies", "n_shingles"
-    )
-    leaders = (
-        rows.groupBy("bucket")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.struct("copies", (-F.col("cls")).alias("m"), "n_shingles")).alias("lead"),
-        )
-        .where("n > 1")
-        .select(F.col("bucket").alias("b"), (-F.col("lead.m")).alias("leader"), F.col("lead.n_shingles").alias("n_leader"))
+    rows = heads.select(F.explode("bands").alias("bucket"), "cls")
+    # most buckets hold one class: bare keys tell which do not, before anything else is moved
+    full = stored.table(
+        rows.groupBy("bucket").agg(F.min("cls").alias("m"), F.max("cls").alias("n")).where("m <> n").select(F.col("bucket").alias("k")),
+        "full",
     )
     shared = stored.table(
-        rows.join(stored.table(leaders, "leaders"), F.col("bucket") == F.col("b")).drop("b", "copies"), "shared"
+        rows.join(full, F.col("bucket") == F.col("k"), "left_semi").join(heads.select("cls", "copies", "n_shingles"), "cls"),
+        "shared",
+    )
+    leaders = stored.table(
+        shared.groupBy("bucket")
+        .agg(F.max(F.struct("copies", (-F.col("cls")).alias("m"), "n_shingles")).alias("lead"))
+        .select(F.col("bucket").alias("k"), (-F.col("lead.m")).alias("leader"), F.col("lead.n_shingles").alias("n_leader")),
+        "leaders",
     )
     alike = F.least("n_shingles", "n_leader") >= SIMILAR * F.greatest("n_shingles", "n_leader")
-    first = shared.where(F.col("cls") != F.col("leader")).where(alike).select(
-        F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")
+    first = (
+        shared.join(leaders, F.col("bucket") == F.col("k"))
+        .where(F.col("cls") != F.col("leader"))
+        .where(alike)
+        .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
     )
     links = stored.table(_verified(first.distinct(), texts, stored), "links-first")
     roots = stored.table(components(links, stored), "roots-first")
-    second = _open(shared, heads, roots, stored)
-    more = stored.table(_verified(second, texts, stored), "links-second")
-    groups = stored.table(
-        components(links.select("a", "b").unionByName(more.select("a", "b")), stored), "groups"
-    )
+    more = stored.table(_open(shared, heads, roots, texts, stored), "links-second")
+    groups = stored.table(components(links.select("a", "b").unionByName(more), stored), "groups")
     named = classes.join(groups, F.col("cls") == F.col("node"), "left").select(
         F.col("text_key").alias("k"), "cls", F.coalesce("root", "cls").alias("group_id"), "copies"
     )
@@ -272,11 +325,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, stored: Stored) -> DataFrame:
     )
 
 
-def _open(shared: DataFrame, heads: DataFrame, roots: DataFrame, stored: Stored) -> DataFrame:
-    """Candidate pairs of buckets that hold more than one component.
+def _open(shared: DataFrame, heads: DataFrame, roots: DataFrame, texts: DataFrame, stored: Stored) -> DataFrame:
+    """Links within buckets that hold more than one component.
 
-    Classes outside a bucket's main component are compared with all of the bucket, in cells of at
-    most about ``BLOCK`` classes a side.
+    Classes outside a bucket's main component are compared with all of the bucket, in cells of
+    about ``BLOCK`` classes a side at most. Cells first go through on signatures; texts follow for
+    the classes that then have a candidate.
     """
     placed = stored.table(
         shared.select("bucket", "cls")
@@ -299,7 +353,6 @@ def _open(shared: DataFrame, heads: DataFrame, roots: DataFrame, stored: Stored)
         "mixed",
     )
     inside = placed.join(mixed_buckets, F.col("bucket") == F.col("k")).drop("k")
-    # whole classes of one component in one bucket do not need one another
     spot = F.xxhash64("cls")
     as_all = inside.select(
         "bucket", "cls", "root", F.pmod(spot, "all_blocks").cast("int").alias("i"),
@@ -309,11 +362,18 @@ def _open(shared: DataFrame, heads: DataFrame, roots: DataFrame, stored: Stored)
         "bucket", "cls", "root", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"),
         F.pmod(spot, "minor_blocks").cast("int").alias("j"), F.lit(True).alias("minor"),
     )
-    cells = as_all.unionByName(as_minor).join(heads.select("cls", "n_shingles", "signature"), "cls")
+    cells = as_all.unionByName(as_minor).join(heads.select("cls", "n_shingles", "bands", "signature"), "cls")
+    wanted = stored.table(_by_cell(cells).mapInArrow(_wanted, CELL), "wanted")
+    held = texts.join(wanted.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").where(
+        F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    )
+    with_text = wanted.join(held.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "d"), F.col("cls") == F.col("d"))
+    return _by_cell(with_text, "text").mapInArrow(_linked, "a bigint, b bigint").distinct()
+
+
+def _by_cell(rows: DataFrame, *more: str) -> DataFrame:
     return (
-        cells.select("bucket", "i", "j", "cls", "root", "minor", "n_shingles", "signature")
+        rows.select("bucket", "i", "j", "cls", "root", "minor", "n_shingles", "bands", "signature", *more)
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(_open_pairs, "a bigint, b bigint")
-        .distinct()
     )
