@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import range_hashes
+from placewright.llm.common import extended, ragged, range_hashes
 
 #: Bytes of text per block, and distinct pieces a task keeps (memory only).
 BLOCK_BYTES = 4 << 20
@@ -216,16 +216,6 @@ class Merges:
         return symbol[left], np.bincount(word[left], minlength=len(lengths))
 
 
-def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """``values[start:start + length]`` of all pairs, put together."""
-    total = int(lengths.sum())
-    if not total:
-        return values[:0]
-    ends = np.cumsum(lengths)
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return values[shift + np.arange(total)]
-
-
 class Encoder:
     """Encodes blocks of texts; keeps the pieces it has met."""
 
@@ -299,7 +289,7 @@ def encode(documents: DataFrame, rank_file: bytes, keep: list[str], text: str =
     """The ``keep`` columns and ``ids array<int>``, the token ids of each text."""
     rows = documents.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     ranks = documents.sparkSession.sparkContext.broadcast(rank_file)  # one vocabulary file, under 1 MB
-    fields = rows.select(*keep).schema.add("ids", "array<int>")
+    fields = extended(rows.select(*keep).schema, "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(merges_of(ranks.value))
@@ -322,7 +312,7 @@ def decode(encoded: DataFrame, rank_file: bytes, keep: list[str]) -> DataFrame:
     """
     ranks = encoded.sparkSession.sparkContext.broadcast(rank_file)
     rows = encoded.select(*keep, "ids")
-    fields = rows.select(*keep).schema.add("decoded", "binary")
+    fields = extended(rows.select(*keep).schema, "decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = merges_of(ranks.value).tokens.__getitem__
@@ -342,9 +332,7 @@ def round_trip(documents: DataFrame, rank_file: bytes, keep: list[str]) -> DataF
     """
     rows = documents.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     ranks = documents.sparkSession.sparkContext.broadcast(rank_file)
-    fields = (
-        rows.select(*keep).schema.add("n_tokens", "bigint").add("ids_sha256", "string").add("decoded_sha256", "string")
-    )
+    fields = extended(rows.select(*keep).schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(merges_of(ranks.value))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewright.llm.common import extended
+
 ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
     r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -146,7 +148,7 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 def find_secrets(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``spans``, an array of kind, start and end."""
     rows = documents.select(*keep, F.col(text).cast("string").alias("__text"))
-    fields = rows.select(*keep).schema.add("spans", SPANS)
+    fields = extended(rows.select(*keep).schema, f"spans {SPANS}")
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +172,11 @@ def listed(found: Column) -> Column:
 def secret_report(documents: DataFrame) -> DataFrame:
     """One row per document: counts of the fixed kinds, their digest, all spans."""
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]
-    ]
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [of(kind) for kind in KINDS[:3]]
     return find_secrets(documents, ["doc_id"]).select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )
