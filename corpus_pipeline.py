@@ -5,21 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placewright.llm import near_dup
+from placewright.llm import bpe, mixing, near_dup, quality, queries, secret_scan
 from placewright.llm.common import Stored
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier finds junk or abusive go."""
+    return quality.keep_clean(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the least id."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "k"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each near-duplicate group stays, that of the least id.
+
+    Rows that repeat a kept id all stay, and so do rows without an id.
+    """
+    dropped = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; ``n_chars`` follows the new text."""
+    clean = secret_scan.redact(docs)
+    if "n_chars" in clean.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the mix: files and rows follow its slots.
+
+    A reader that stops anywhere before a source runs out has every source's target share.
+    """
+    slots = (
+        mixing.mix(docs)
+        .groupBy(F.col("doc_id").alias("mixed_id"))
+        .agg(F.min(F.struct("slot", "place")).alias("mixed_at"))
+    )
+    return (
+        docs.join(slots, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
+        .repartitionByRange(F.col("mixed_at"), F.col("doc_id"))
+        .sortWithinPartitions("mixed_at", "doc_id")
+        .select(*(docs[c] for c in docs.columns))
+    )
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of ids and of what they decode to."""
+    return bpe.round_trip(docs, queries.rank_file(), ["doc_id", "source"], with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_clean),
     ("near duplicates", deduplicate),
+    ("secrets", hide_secrets),
+    ("mix", mix_sources),
+    ("tokens", tokenize),
 ]
 
 #: Weak labels, sketches and merges are not expressible in SQL.

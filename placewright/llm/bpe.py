@@ -325,33 +325,29 @@ def decode(encoded: DataFrame, rank_file: bytes, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, fields)
 
 
-def round_trip(documents: DataFrame, rank_file: bytes, keep: list[str]) -> DataFrame:
+def round_trip(documents: DataFrame, rank_file: bytes, keep: list[str], with_ids: bool = False) -> DataFrame:
     """Encode and decode in one pass: ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
-    Ids are hashed as little-endian unsigned 32-bit integers. The id arrays stay in the task.
+    Ids are hashed as little-endian unsigned 32-bit integers. Without ``with_ids`` the id arrays stay in the task.
     """
     rows = documents.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     ranks = documents.sparkSession.sparkContext.broadcast(rank_file)
-    fields = extended(rows.select(*keep).schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    added = ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * with_ids]
+    fields = extended(rows.select(*keep).schema, ", ".join(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(merges_of(ranks.value))
         token = coder.merges.tokens.__getitem__
         for batch in batches:
             for start, texts in _blocks(batch.column("__text").to_pylist()):
-                out = []
-                for ids in coder.block(texts):
-                    back = b"".join(map(token, ids.tolist()))
-                    out.append(
-                        (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest())
-                    )
-                n, one, two = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(start, len(texts)) for k in keep),
-                        pa.array(n, pa.int64()), pa.array(one), pa.array(two),
-                    ],
-                    [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                coded = coder.block(texts)
+                counts = np.array([len(ids) for ids in coded])
+                one = [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in coded]
+                two = [hashlib.sha256(b"".join(map(token, ids.tolist()))).hexdigest() for ids in coded]
+                arrays = [*(batch.column(k).slice(start, len(texts)) for k in keep), pa.array(counts), pa.array(one), pa.array(two)]
+                if with_ids:
+                    cuts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(cuts, np.concatenate(coded).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(arrays, fields.names)
 
     return rows.mapInArrow(run, fields)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import Stored, hashed_words, mixed, range_hashes, shingles
+from placewright.llm.common import Stored, extended, hashed_words, mixed, range_hashes, shingles
 
 CLASSES = ["clean", "junk", "abusive"]
 CLEAN, JUNK, ABUSIVE = range(3)
@@ -305,9 +305,19 @@ def classify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ``weak_clean`` is the label model's own posterior; ``kept`` says that clean is the
     scorer's likeliest class.
     """
+    return _scored(documents, ["doc_id"], sample).select(F.col("row.doc_id").cast("long").alias("doc_id"), "verdict.*")
+
+
+def keep_clean(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows, with all columns, whose likeliest class is clean."""
+    return _scored(documents, documents.columns, sample).where("verdict.kept").select("row.*")
+
+
+def _scored(documents: DataFrame, columns: list[str], sample: int) -> DataFrame:
+    """``row``, the given columns, and ``verdict`` of every document."""
     spark = documents.sparkSession
     stored = Stored(spark, "quality")
-    patterns = stored.table(vote_patterns(documents), "patterns")
+    patterns = stored.table(vote_patterns(documents).select("pattern"), "patterns")
     # at most 4 ** 10 rows, whatever the number of documents
     counted = patterns.where("pattern is not null").groupBy("pattern").count().orderBy("pattern").collect()
     if counted:
@@ -317,6 +327,12 @@ def classify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     else:
         by_pattern, weights, bias = {}, np.zeros((SHAPES + BUCKETS, 3)), np.zeros(3)
     model = spark.sparkContext.broadcast((weights.astype(np.float32), bias, by_pattern))  # 3 MB at any size of the input
+    rows = documents.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
+    fields = extended(
+        rows.select("row").schema,
+        "verdict struct<p_clean:double,p_junk:double,p_abusive:double,weak_clean:double,kept:boolean>",
+    )
+    names = ["p_clean", "p_junk", "p_abusive", "weak_clean", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, weak = model.value
@@ -329,17 +345,16 @@ def classify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 belief[row] = float(weak["".join(map(str, votes(block.text(k))))][CLEAN])
             scores = np.exp(scores - scores.max(axis=1, keepdims=True))
             scores /= scores.sum(axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays(
+            verdict = pa.StructArray.from_arrays(
                 [
-                    batch.column("doc_id"), *(pa.array(scores[:, c]) for c in range(3)), pa.array(belief, pa.float64()),
+                    *(pa.array(scores[:, c]) for c in range(3)), pa.array(belief, pa.float64()),
                     pa.array(scores[:, CLEAN] >= scores[:, 1:].max(axis=1)),
                 ],
-                ["doc_id", "p_clean", "p_junk", "p_abusive", "weak_clean", "kept"],
+                names,
             )
+            yield pa.RecordBatch.from_arrays([batch.column("row"), verdict], ["row", "verdict"])
 
-    return _plain(documents).mapInArrow(
-        run, "doc_id bigint, p_clean double, p_junk double, p_abusive double, weak_clean double, kept boolean"
-    )
+    return rows.mapInArrow(run, fields)
 
 
 def _training_rows(documents: DataFrame, by_pattern: dict, sample: int) -> list:

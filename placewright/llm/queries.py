@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, near_dup, quality, secret_scan
+from placewright.llm import bpe, mixing, near_dup, quality, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,15 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_pairs,
     "op2_order_minhash": near_duplicates,
     "op4_weak_labels": weak_labels,
+    "op5_pfair_mix": pfair_mix,
     "op7_randomness_battery": secrets,
 }
 
