@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, mixing, near_dup, quality, secret_scan
+from placewright.llm import bpe, cascade, mixing, near_dup, ngram, quality, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,23 @@ def pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # which rule stops a document depends on the order and so on timings; the verdict does not
+    return cascade.apply_rules(_table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_pairs,
     "op2_order_minhash": near_duplicates,
     "op4_weak_labels": weak_labels,
     "op5_pfair_mix": pfair_mix,
     "op7_randomness_battery": secrets,
+    "op8_rule_cascade": rule_cascade,
+    "op9_log_frequency_bloom": ngram_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
