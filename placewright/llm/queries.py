@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, cascade, mixing, near_dup, ngram, quality, secret_scan
+from placewright.llm import bpe, cascade, mixing, near_dup, ngram, quality, secret_scan, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,14 +48,26 @@ def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_histories(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at"
+    )
+
+
+def projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_pairs,
     "op2_order_minhash": near_duplicates,
+    "op3_index_merge": index_merge,
     "op4_weak_labels": weak_labels,
     "op5_pfair_mix": pfair_mix,
     "op7_randomness_battery": secrets,
     "op8_rule_cascade": rule_cascade,
     "op9_log_frequency_bloom": ngram_scores,
+    "op10_projection_passes": projection_passes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
