@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -214,6 +215,59 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+#: Bits of the map that tells which rows can be wanted: 8 MB, whatever the input.
+WANTED_BITS = 1 << 26
+
+
+def key_map(keys: DataFrame) -> Broadcast:
+    """A map of hashed keys (one column), of a fixed size, on every worker."""
+    spot = F.pmod(F.xxhash64(keys.columns[0]), F.lit(WANTED_BITS)) + 1
+    parts = (
+        keys.where(F.col(keys.columns[0]).isNotNull())
+        .select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("position"))
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("position").alias("bits"))
+        .collect()  # WANTED_BITS in all
+    )
+    held = np.zeros(WANTED_BITS // 8, np.uint8)
+    for part in parts:
+        piece = np.frombuffer(bytes(part["bits"]), np.uint8)
+        start = (part["bucket"] - 1) * len(piece)
+        held[start : start + len(piece)] = piece
+    return keys.sparkSession.sparkContext.broadcast(held)
+
+
+def in_map(rows: DataFrame, key: str, held: Broadcast, inside: bool = True) -> DataFrame:
+    """Rows whose key is in the map, or those whose key is not; a null key is not.
+
+    Rows that are in it by chance are for a join to tell, which then moves little else.
+    """
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(columns)).to_numpy()
+            found = (at >= 0) & ((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+            kept = batch.filter(pa.array(found if inside else ~found))
+            if kept.num_rows:
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], columns)
+
+    spot = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(WANTED_BITS)))
+    return rows.withColumn("__spot", spot).mapInArrow(run, rows.schema)
+
+
+def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is in ``wanted`` (one column of another name), the others left where they are."""
+    return in_map(rows, key, key_map(wanted)).join(wanted, F.col(key) == F.col(wanted.columns[0]), "left_semi")
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``dropped``; most of them are not moved."""
+    held = key_map(dropped)
+    unsure = in_map(rows, key, held).join(dropped, F.col(key) == F.col(dropped.columns[0]), "left_anti")
+    return in_map(rows, key, held, inside=False).unionByName(unsure)
+
+
 def components(edges: DataFrame, stored: Stored) -> DataFrame:
     """``node, root`` for every node of ``edges (a, b)``; root is the smallest node.
 

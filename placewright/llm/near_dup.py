@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import Stored, components, hashed_words, labelled, mixed, ragged, runs, shingles
+from placewright.llm.common import Stored, components, hashed_words, labelled, mixed, only, ragged, runs, shingles
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -313,9 +313,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, stored: Stored) -> DataFrame:
     """Pairs that the alignment accepts. Texts of paired classes only are moved."""
     pairs = stored.table(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted_id")).distinct()
     held = stored.table(
-        texts.join(wanted, "doc_id", "left_semi").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["doc_id"]),
+        only(texts, "doc_id", wanted).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["doc_id"]),
         "texts",
     )
     with_b = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -364,7 +364,7 @@ def _open(shared: DataFrame, heads: DataFrame, roots: DataFrame, texts: DataFram
     )
     cells = as_all.unionByName(as_minor).join(heads.select("cls", "n_shingles", "bands", "signature"), "cls")
     wanted = stored.table(_by_cell(cells).mapInArrow(_wanted, CELL), "wanted")
-    held = texts.join(wanted.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").where(
+    held = only(texts, "doc_id", wanted.select(F.col("cls").alias("wanted_id")).distinct()).where(
         F.col("text").rlike(r"[^\x20\x09-\x0D]")
     )
     with_text = wanted.join(held.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "d"), F.col("cls") == F.col("d"))
