@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, cascade, mixing, near_dup, ngram, quality, secret_scan, vectors, warc
+from placewright.llm import bpe, cascade, main_text, mixing, near_dup, ngram, quality, secret_scan, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,16 +58,78 @@ def projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_pairs,
     "op2_order_minhash": near_duplicates,
     "op3_index_merge": index_merge,
     "op4_weak_labels": weak_labels,
     "op5_pfair_mix": pfair_mix,
+    "op6_tag_ratio": page_text,
     "op7_randomness_battery": secrets,
     "op8_rule_cascade": rule_cascade,
     "op9_log_frequency_bloom": ngram_scores,
     "op10_projection_passes": projection_passes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators have no SQL form; they are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op3_index_merge": r"""
+        WITH captured AS (
+            SELECT page_id, coalesce(html, '') AS body, regexp_replace(url, '[\x00-\x20]', '%20', 'g') AS url FROM pages
+        ), sized AS (
+            SELECT *, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest,
+                   regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+            FROM captured
+        ), headed AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS head,
+                   regexp_replace(lower(regexp_extract(bare, '^([^/?#]*)', 1)), '^www\.', '') AS host
+            FROM sized
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN head <> page_id THEN head END AS refers_to,
+               array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || regexp_replace(bare, '^[^/?#]*', '') AS url_key,
+               strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+        FROM headed
+    """,
+    "op8_rule_cascade": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                   coalesce(text, '') AS text
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS five
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+        ), twice AS (
+            SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1
+        ), repeated AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS step(k) GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words
+        ), counted AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+            FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+        ), facts AS (
+            SELECT doc_id, len(w)::BIGINT AS n_words,
+                   coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0)::BIGINT AS n_lines,
+                   coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
+                   len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_capital,
+                   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter
+            FROM words LEFT JOIN counted USING (doc_id) LEFT JOIN repeated USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
+                    OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+                    OR 5 * n_symbols > n_words OR 10 * n_dup_lines > 4 * n_lines
+                    OR (n_words >= 20 AND 10 * n_capital > 4 * n_words)
+                    OR 10 * n_stutter > 3 * n_words) AS kept
+        FROM facts
+    """,
+}
