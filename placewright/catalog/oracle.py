@@ -136,7 +136,10 @@ view(
 view(
     "ev",
     """
-SELECT user_id AS candidate_id, json_extract_string(props, '$.k') AS job_id,
+SELECT user_id AS candidate_id,
+  CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 5 THEN json_extract_string(props, '$.k')
+    ELSE CAST((user_id * 7919 + CAST(json_extract_string(props, '$.k') AS BIGINT) * 101)
+      % (SELECT count(*) FROM documents) AS VARCHAR) END AS job_id,
   event_id AS seq, event_type, value, props
 FROM events""",
 )

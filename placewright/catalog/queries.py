@@ -145,7 +145,7 @@ def append_vectors(v: Views) -> DataFrame:
     """Stored vectors, then those of postings that had none."""
     table = shared_folder(v.spark, "vectors")
     tables.write_batch(v.vectors, table, 0)
-    stored = run_embed_batch(v.spark, v.spread_texts, table, 1, stubs.encoder)
+    stored = run_embed_batch(v.spark, v.texts, table, 1, stubs.encoder)
     return stored.select(
         "job_id",
         F.size("embedding").alias("dimensions"),
@@ -241,10 +241,10 @@ def topk_similar(v: Views) -> DataFrame:
 
 @query
 def hydrate_after_topk(v: Views) -> DataFrame:
-    found = similarity.search(v.candidates, v.vectors, search_width(10))
-    return keyed.hydrate(
-        found.rows.select("candidate_id", "job_id", "score"), v.postings, found.at_most
-    ).select("candidate_id", "job_id", "score", "title", "company")
+    found = similarity.topk_similar(v.candidates, v.vectors, search_width(10))
+    return keyed.hydrate(found.select("candidate_id", "job_id", "score"), v.postings).select(
+        "candidate_id", "job_id", "score", "title", "company"
+    )
 
 
 @named("match_resumes")
@@ -405,7 +405,7 @@ def stamp(ts: Column) -> Column:
 
 @named("clean_text")
 def clean_text_query(v: Views) -> DataFrame:
-    return v.spread_texts.select("job_id", clean_text(F.col("description")).alias("cleaned"))
+    return v.texts.select("job_id", clean_text(F.col("description")).alias("cleaned"))
 
 
 @query
@@ -658,7 +658,7 @@ def extraction_accuracy(v: Views) -> DataFrame:
 
 @query
 def embed_documents(v: Views) -> DataFrame:
-    vectors = inference.embed_postings(v.spread_texts, stubs.encoder)
+    vectors = inference.embed_postings(v.texts, stubs.encoder)
     return vectors.select(
         "job_id", F.posexplode("embedding").alias("dimension", "x")
     ).select("job_id", "dimension", F.round(F.col("x").cast("double"), 5).alias("x"))
@@ -666,7 +666,7 @@ def embed_documents(v: Views) -> DataFrame:
 
 @query
 def extract_with_retry(v: Views) -> DataFrame:
-    prompts = v.spread_texts.select(
+    prompts = v.texts.select(
         "job_id", build_prompt(F.col("description"), stubs.PROMPT).alias("prompt")
     )
     return inference.extract_with_retry(prompts, stubs.shy_model, stubs.must_be_object)
@@ -715,7 +715,8 @@ def incremental_ingest_query(v: Views) -> DataFrame:
 def incremental_status_query(v: Views) -> DataFrame:
     folder = shared_folder(v.spark, "status")
     streaming = Views(v.spark, v.sf_dir)
-    streaming.table = lambda name, spread=False: _file_stream(v, name)
+    streaming.table = lambda name: _file_stream(v, name)
+    streaming.n_documents = v.n_documents  # a stream cannot be counted
     for _ in range(2):
         incremental_status(
             streaming.status_events, f"{folder}/status", f"{folder}/progress"

@@ -18,7 +18,6 @@ from placewright.functions.metadata import rebuild
 from placewright.operators.compatibility import with_metadata
 from placewright.operators.keyed import hydrate
 from placewright.session import ship_package
-from placewright.sources.tables import spread_few_files
 
 FIRST_LISTING_MS = 1_704_067_200_000
 TOP_K = 10
@@ -111,12 +110,11 @@ class Views:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def table(self, name: str, spread: bool = False) -> DataFrame:
+    def table(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
         if path not in self.schemas:  # reading footers is a job of its own
             self.schemas[path] = self.spark.read.parquet(path).schema
-        rows = self.spark.read.schema(self.schemas[path]).parquet(path)
-        return spread_few_files(rows) if spread else rows
+        return self.spark.read.schema(self.schemas[path]).parquet(path)
 
     # ---- postings and their requirements -------------------------------
 
@@ -152,11 +150,6 @@ class Views:
         """``job_id, description, n_chars, lang`` without any join."""
         return self._texts(self.table("documents"))
 
-    @cached_property
-    def spread_texts(self) -> DataFrame:
-        """The same rows for work that is heavy on each text."""
-        return self._texts(self.table("documents", spread=True))
-
     @staticmethod
     def _texts(documents: DataFrame) -> DataFrame:
         return documents.select(
@@ -214,7 +207,7 @@ class Views:
     def ads(self) -> DataFrame:
         """Whole texts followed by requirement sentences, with the truth."""
         n = F.col("n_chars")
-        return self.spread_texts.select(
+        return self.texts.select(
             "job_id",
             F.concat_ws(
                 "\n",
@@ -262,7 +255,7 @@ class Views:
 
     @cached_property
     def detail_payloads(self) -> DataFrame:
-        n, p = F.col("n_chars"), self._postings(self.table("documents", spread=True))
+        n, p = F.col("n_chars"), self.postings
         apply = F.struct(
             by_case(
                 n % 3, [F.lit(""), F.lit(None).cast("string"), F.col("application_url")]
@@ -370,14 +363,24 @@ class Views:
             ),
             F.concat(F.lit("Sorry, nothing found for "), job),
         ]
-        return self.spread_texts.select("job_id", by_case(n % 10, kinds).alias("reply"))
+        return self.texts.select("job_id", by_case(n % 10, kinds).alias("reply"))
 
     # ---- candidates' events ---------------------------------------------
 
+    @cached_property
+    def n_documents(self) -> int:
+        """Read from the file footers."""
+        return self.table("documents").count()
+
+    def _job_of(self, user: Column, k: Column) -> Column:
+        """A user's hundred jobs lie anywhere in the corpus; five jobs are everybody's."""
+        anywhere = F.pmod(user * 7919 + k * 101, F.lit(self.n_documents))
+        return F.when(k < 5, k).otherwise(anywhere).cast("string")
+
     def _events(self) -> DataFrame:
         return self.table("events").select(
             F.col("user_id").alias("candidate_id"),
-            F.get_json_object("props", "$.k").alias("job_id"),
+            self._job_of(F.col("user_id"), F.get_json_object("props", "$.k").cast("bigint")).alias("job_id"),
             F.col("event_id").alias("seq"),
             "event_type",
             "value",

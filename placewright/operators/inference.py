@@ -9,6 +9,7 @@ another row.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,18 +23,30 @@ from placewright.functions.text import has_text
 EXTRACTION_ATTEMPTS = 3
 REVISION_ROUNDS = 2
 DIMENSIONS = 384
+#: Results of loaders that a worker keeps at a time.
+KEPT_MODELS = 4
 
 Encoder = Callable[[list[str]], np.ndarray]
 
-_loaded: dict[object, object] = {}
+_loaded: dict[str, object] = {}
 
 
-def load_once(loader: Callable[[], object]) -> object:
-    """Result of ``loader()``, kept for the life of this Python worker."""
-    key = (getattr(loader, "__module__", ""), getattr(loader, "__qualname__", repr(loader)))
-    if key not in _loaded:
-        _loaded[key] = loader()
-    return _loaded[key]
+class Loaded:
+    """A loader and the token under which its result is kept by a Python worker.
+
+    The token is made once per use of an operator, so two loaders never share a result, however
+    alike they look, and one loader runs once per worker and use.
+    """
+
+    def __init__(self, loader: Callable[[], object]) -> None:
+        self.loader, self.token = loader, uuid.uuid4().hex
+
+    def get(self) -> object:
+        if self.token not in _loaded:
+            while len(_loaded) >= KEPT_MODELS:  # of earlier queries of a long-lived worker
+                _loaded.pop(next(iter(_loaded)))
+            _loaded[self.token] = self.loader()
+        return _loaded[self.token]
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -46,9 +59,11 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 def embed(texts: Column, loader: Callable[[], Encoder]) -> Column:
     """Unit vectors of a text column through an injected encoder."""
 
+    held = Loaded(loader)
+
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = load_once(loader)
+        encoder = held.get()
         for batch in batches:
             vectors = unit_rows(encoder(batch.fillna("").tolist()))
             yield pd.Series(list(vectors))
@@ -116,8 +131,10 @@ def extract_with_retry(
     error``; after the last attempt the row stays, with the last error.
     """
 
+    held = Loaded(model_loader)
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load_once(model_loader)
+        model = held.get()
         for batch in batches:
             rows = []
             for job_id, prompt in zip(batch["job_id"], batch["prompt"]):
@@ -160,26 +177,31 @@ def reviewed_drafts(
 
     jobs: ``candidate_id, job_id, description, resume_text``. The last draft
     is returned with its verdict whether approved or not. Rows without a
-    description get no draft and ``rejected`` set.
+    description get no draft and ``rejected`` set. A drafter or judge that
+    fails leaves the last draft, not approved, with the error among the issues.
     """
 
+    drafters, judges = Loaded(drafter_loader), Loaded(judge_loader)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        drafter, judge = load_once(drafter_loader), load_once(judge_loader)
+        drafter, judge = drafters.get(), judges.get()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 if not row.description:
                     out.append((row.candidate_id, row.job_id, None, None, [], 0, True))
                     continue
-                draft = drafter(kind, row.description, row.resume_text, None, [])
-                approved, issues = judge(kind, draft, row.description, row.resume_text)
-                done = 0
-                while not approved and done < rounds:
-                    draft = drafter(kind, row.description, row.resume_text, draft, issues)
-                    approved, issues = judge(
-                        kind, draft, row.description, row.resume_text
-                    )
-                    done += 1
+                draft, approved, issues, done = None, None, [], 0
+                try:
+                    draft = drafter(kind, row.description, row.resume_text, None, [])
+                    approved, issues = judge(kind, draft, row.description, row.resume_text)
+                    while not approved and done < rounds:
+                        draft = drafter(kind, row.description, row.resume_text, draft, issues)
+                        approved, issues = judge(kind, draft, row.description, row.resume_text)
+                        done += 1
+                except Exception as problem:  # one failing call does not end the job
+                    approved = False
+                    issues = [*issues, f"failed: {problem or type(problem).__name__}"]
                 out.append(
                     (row.candidate_id, row.job_id, draft, approved, issues, done, False)
                 )

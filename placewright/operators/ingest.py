@@ -24,7 +24,7 @@ CLOSED = "CLOSED"
 def new_ids(known: DataFrame, incoming: DataFrame) -> DataFrame:
     """Rows to append to the id table: ids not seen before, once each."""
     fresh = incoming.select("job_id").where(F.col("job_id").isNotNull()).distinct()
-    return fresh.join(known.select("job_id"), "job_id", "left_anti").withColumn(
+    return fresh.join(known.select("job_id").distinct(), "job_id", "left_anti").withColumn(
         "is_scraped", F.lit(False)
     )
 
@@ -50,15 +50,10 @@ def ingest_postings(
     gap = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required])
     checked = arrivals.withColumn("missing", gap)
     complete = checked.where(F.col("missing").isNull()).drop("missing")
-    window = Window.partitionBy("job_id").orderBy(*order)
-    first = (
-        complete.withColumn("place", F.row_number().over(window))
-        .where(F.col("place") == 1)
-        .drop("place")
-    )
-    inserted = first.join(known.select("job_id"), "job_id", "left_anti")
+    # known keys go first: a repeated run then has nothing to rank
+    unknown = complete.join(known.select("job_id").distinct(), "job_id", "left_anti")
     return Ingest(
-        inserted=inserted,
+        inserted=latest_rows(unknown, ["job_id"], order),
         rejected=checked.where(F.col("missing").isNotNull()),
         scraped_ids=complete.select("job_id").distinct(),
     )
@@ -75,9 +70,15 @@ def latest_rows(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
-    """Table content after "insert or replace": the highest ``seq`` wins."""
-    return latest_rows(
-        existing.unionByName(incoming), ["job_id"], [F.col(seq).desc()]
+    """Table content after "insert or replace": the highest ``seq`` wins.
+
+    Only rows whose key arrives again are ranked; the rest of the table, which
+    holds each key once, is passed on.
+    """
+    keys = incoming.select("job_id").distinct()
+    again = existing.join(keys, "job_id", "left_semi").unionByName(incoming)
+    return existing.join(keys, "job_id", "left_anti").unionByName(
+        latest_rows(again, ["job_id"], [F.col(seq).desc()])
     )
 
 
@@ -140,8 +141,11 @@ def constraint_audit(
     def where(table: DataFrame, broken: Column) -> DataFrame:
         return table.agg(F.count_if(broken).alias("violations"))
 
+    # each key once: the right side of an anti join is never split
+    keys = postings.select("job_id").distinct()
+
     def orphans(table: DataFrame) -> DataFrame:
-        return table.join(postings.select("job_id"), "job_id", "left_anti").agg(
+        return table.join(keys, "job_id", "left_anti").agg(
             F.count("*").alias("violations")
         )
 

@@ -1,8 +1,9 @@
 """Keyed reads and pending sets.
 
-Key sets are DataFrames. A key set is broadcast when its size is measured to
-be small; otherwise the join is left to the adaptive optimizer, which picks
-the strategy from the sizes it sees at run time and splits skewed keys.
+Key sets are DataFrames. How they are joined is left to the adaptive optimizer,
+which picks the strategy from the bytes it sees at run time. The big table is
+reduced to the wanted keys before it meets wide rows, so that a text is moved
+at most once, not once per hit.
 """
 
 from __future__ import annotations
@@ -34,36 +35,23 @@ METADATA_READ = (
 )
 
 
-#: Key rows (an id and a score or two, under 100 bytes each) up to this number
-#: are sent to the big table instead of moving the big table to them.
-BROADCAST_KEYS = 400_000
-
-
-def sized(keys: DataFrame, at_most: int | None) -> DataFrame:
-    """Broadcast hint for keys known to be few; no hint otherwise."""
-    if at_most is not None and at_most <= BROADCAST_KEYS:
-        return F.broadcast(keys)
-    return keys
-
-
-def hydrate(hits: DataFrame, postings: DataFrame, at_most: int | None = None) -> DataFrame:
+def hydrate(hits: DataFrame, postings: DataFrame) -> DataFrame:
     """Posting columns for every hit; hits without a posting vanish."""
     wanted = [c for c in POSTING_READ if c in postings.columns]
-    return postings.select(*wanted).join(sized(hits, at_most), "job_id")
+    named = postings.select(*wanted).join(hits.select("job_id").distinct(), "job_id", "left_semi")
+    return named.join(hits, "job_id")
 
 
-def metadata_lookup(
-    keys: DataFrame, metadata: DataFrame, at_most: int | None = None
-) -> DataFrame:
+def metadata_lookup(keys: DataFrame, metadata: DataFrame) -> DataFrame:
     """Requirement rows of the given keys; unknown keys are absent."""
     return metadata.select(*METADATA_READ).join(
-        sized(keys.select("job_id"), at_most), "job_id", "left_semi"
+        keys.select("job_id").distinct(), "job_id", "left_semi"
     )
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str = "job_id") -> DataFrame:
     """Rows whose key is not in ``done`` yet."""
-    return rows.join(done.select(key), key, "left_anti")
+    return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
 def processing_state(

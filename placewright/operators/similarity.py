@@ -2,23 +2,21 @@
 
 The score is the inner product of unit vectors. Every candidate meets every
 vector, so the work is candidates x vectors x dimensions whatever the plan;
-what the plan decides is what moves:
+what the plan decides is what moves. Both sides are cut into hashed blocks of
+bounded bytes, and each pair of blocks meets in one task (``cogroup``): nothing
+goes through the driver and no task holds more than one pair of blocks.
 
-* few candidates (a measured number of rows): their matrix is shipped to the
-  tasks, each task scans its own vectors once in blocks and keeps the best
-  ``k`` per candidate. Only those rows are shuffled, never a vector.
-* many candidates: both sides are cut into hashed blocks of bounded size, and
-  each pair of blocks meets in one task (``cogroup``). Nothing goes through
-  the driver and no task holds more than one pair of blocks.
+The first block of vectors is searched first. The ``k``-th score a candidate
+finds there is a floor for its final ``k``-th score; it travels with the
+candidate, so that the other blocks hand on only what reaches it.
 
-Both give the same rows. Equal scores are ordered by ``job_id`` as text.
+Equal scores are ordered by ``job_id`` as text.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +27,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from placewright.functions.vectors import SCORE_PLACES, similarity
 
-#: Candidates up to this number are shipped to every task ...
-BROADCAST_ROWS = 16_384
-#: ... if their float32 matrix also stays below this size.
-BROADCAST_BYTES = 256 * 1024 * 1024
-#: Rows per side of a pair of blocks on the way without broadcasting. Each row
-#: is sent once per block of the other side, so large blocks mean little
-#: traffic; at 384 dimensions a block takes 100 MB in its task.
-BLOCK_CANDIDATES = 65_536
-BLOCK_VECTORS = 65_536
+#: Bytes (float32) of a block of either side. A row is sent once per block of the
+#: other side, so larger blocks mean less traffic; a task holds two blocks as doubles.
+BLOCK_BYTES = 32 * 1024 * 1024
 #: Scores held at once while scanning (8 bytes each).
 SCORES_AT_ONCE = 4_000_000
-#: Pieces in which the partial results of one candidate are ranked first. With
-#: 100,000 scan tasks and k = 20 a piece still has only 125,000 short rows.
-MERGE_PIECES = 16
+#: Partial results of one candidate that are ranked in one piece.
+MERGE_ROWS = 100_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -64,9 +55,9 @@ class _Best:
     must reach the ``k``-th score its candidate already has.
     """
 
-    def __init__(self, candidates: int, k: int) -> None:
+    def __init__(self, floor: np.ndarray, k: int) -> None:
         self.k = k
-        self.floor = np.full(candidates, -np.inf)
+        self.floor = floor
         self.who = np.empty(0, dtype=np.int64)
         self.score = np.empty(0, dtype=np.float64)
         self.job = np.empty(0, dtype=object)
@@ -107,9 +98,12 @@ class _Best:
 
 
 def _scan(
-    queries: np.ndarray, blocks: Iterable[tuple[np.ndarray, np.ndarray]], k: int
+    queries: np.ndarray,
+    blocks: Iterable[tuple[np.ndarray, np.ndarray]],
+    k: int,
+    floor: np.ndarray | None = None,
 ) -> _Best:
-    best = _Best(len(queries), k)
+    best = _Best(np.full(len(queries), -np.inf) if floor is None else floor, k)
     queries = queries.astype(np.float64)
     step = max(k, SCORES_AT_ONCE // max(1, len(queries)))
     for jobs, vectors in blocks:
@@ -146,56 +140,25 @@ def _hit_schema(candidates: DataFrame) -> T.StructType:
     )
 
 
-def _local_best_shipped(
-    vectors: DataFrame, shipped: pa.Table, k: int, schema: T.StructType
-) -> DataFrame:
-    """Every task scores its vectors against the shipped candidates."""
-    sc = vectors.sparkSession.sparkContext
-    ids = shipped.column("candidate_id").combine_chunks()
-    matrix = _matrix(shipped.column("resume_embedding"))
-    handle = sc.broadcast((ids, matrix))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidate_ids, queries = handle.value
-        blocks = (
-            (np.asarray(b.column(0).to_pylist(), dtype=object), _matrix(b.column(1)))
-            for b in batches
-            if b.num_rows
-        )
-        yield _result(_scan(queries, blocks, k), candidate_ids)
-
-    return vectors.mapInArrow(scan, schema)
-
-
-def _local_best_blocked(
-    candidates: DataFrame, vectors: DataFrame, k: int, schema: T.StructType
-) -> DataFrame:
-    """Hashed blocks of both sides, each pair of blocks in one task."""
-    blocks = max(1, math.ceil(candidates.count() / BLOCK_CANDIDATES))
-    cells = max(1, math.ceil(vectors.count() / BLOCK_VECTORS))
-    left = candidates.select(
-        F.pmod(F.xxhash64(F.col("candidate_id").cast("string")), F.lit(blocks))
-        .cast("int")
-        .alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
-        "candidate_id",
-        "resume_embedding",
-    )
-    right = vectors.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64("job_id"), F.lit(cells)).cast("int").alias("cell"),
-        "job_id",
-        "embedding",
-    )
+def _blocks_of(rows: DataFrame, vector: str, least: int = 1) -> int:
+    """Number of blocks that keeps each below ``BLOCK_BYTES``."""
+    held = rows.agg(F.sum(4 * F.size(vector).cast("bigint"))).first()[0] or 0
+    return max(least, math.ceil(held / BLOCK_BYTES))
+
+
+def _meeting(left: DataFrame, right: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    """Best ``k`` of each candidate in each cell of (block, cell)."""
 
     def meet(some: pa.Table, others: pa.Table) -> pa.Table:
         if not some.num_rows or not others.num_rows:
             return pa.Table.from_batches([], schema=out_schema)
         jobs = np.asarray(others.column("job_id").to_pylist(), dtype=object)
+        floor = some.column("floor").to_numpy().astype(np.float64)
         best = _scan(
             _matrix(some.column("resume_embedding")),
             [(jobs, _matrix(others.column("embedding")))],
             k,
+            np.where(np.isnan(floor), -np.inf, floor),
         )
         ids = some.column("candidate_id").combine_chunks()
         return pa.Table.from_batches([_result(best, ids)])
@@ -208,7 +171,7 @@ def _local_best_blocked(
     )
 
 
-def best_rows(hits: DataFrame, k: int, pieces: int = MERGE_PIECES) -> DataFrame:
+def best_rows(hits: DataFrame, k: int, pieces: int = 1) -> DataFrame:
     """Rank 1..k per candidate. A first ranking by (candidate, piece) keeps
     any one task small however many partial results a candidate has."""
     order = [F.col("score").desc(), F.col("job_id").asc()]
@@ -226,13 +189,6 @@ def best_rows(hits: DataFrame, k: int, pieces: int = MERGE_PIECES) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-class Hits(NamedTuple):
-    """Rows of a search and, where it was measured, how many there can be."""
-
-    rows: DataFrame
-    at_most: int | None
-
-
 def topk_similar(candidates: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The ``k`` most similar vectors of each candidate, exact.
 
@@ -240,37 +196,49 @@ def topk_similar(candidates: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     vectors:    ``job_id, embedding``
     returns:    ``candidate_id, job_id, score, rank``
     """
-    return search(candidates, vectors, k).rows
-
-
-def search(
-    candidates: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    broadcast_rows: int = BROADCAST_ROWS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> Hits:
-    """:func:`topk_similar` that also reports the measured size bound."""
     people = candidates.select("candidate_id", "resume_embedding").where(
         F.col("resume_embedding").isNotNull()
     )
     stored = vectors.select("job_id", "embedding").where(F.col("embedding").isNotNull())
     schema = _hit_schema(candidates)
-
-    shipped = people.limit(broadcast_rows + 1).toArrow()
-    fits = (
-        shipped.num_rows <= broadcast_rows
-        and shipped.column("resume_embedding").nbytes <= broadcast_bytes
+    blocks = _blocks_of(people, "resume_embedding")
+    # enough cells to use all cores where bytes alone would make fewer
+    cores = people.sparkSession.sparkContext.defaultParallelism
+    cells = _blocks_of(stored, "embedding", max(2, math.ceil(cores / blocks)))
+    placed = people.withColumn(
+        "block", F.pmod(F.xxhash64(F.col("candidate_id").cast("string")), F.lit(blocks)).cast("int")
+    )
+    spread = stored.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64("job_id"), F.lit(cells)).cast("int").alias("cell"),
+        "job_id",
+        "embedding",
+    )
+    first = _meeting(
+        placed.select("block", F.lit(0).alias("cell"), "candidate_id", "resume_embedding", F.lit(None).cast("double").alias("floor")),
+        spread.where("cell = 0"),
+        k,
+        schema,
+    )
+    floors = (
+        first.groupBy(F.col("candidate_id").alias("c"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+        .where(F.col("n") >= k)
+        .select("c", "floor")
+    )
+    rest = _meeting(
+        placed.join(floors, F.col("candidate_id") == F.col("c"), "left").select(
+            "block",
+            F.explode(F.sequence(F.lit(1), F.lit(cells - 1))).alias("cell"),
+            "candidate_id",
+            "resume_embedding",
+            "floor",
+        ),
+        spread.where("cell > 0"),
+        k,
+        schema,
     )
-    if fits:
-        if not shipped.num_rows:
-            return Hits(best_rows(people.sparkSession.createDataFrame([], schema), k), 0)
-        local = _local_best_shipped(stored, shipped, k, schema)
-        at_most = shipped.num_rows * k
-    else:
-        local = _local_best_blocked(people, stored, k, schema)
-        at_most = None
-    return Hits(best_rows(local, k), at_most)
+    return best_rows(first.unionByName(rest), k, math.ceil(cells * k / MERGE_ROWS))
 
 
 def pair_scores(pairs: DataFrame, candidates: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placewright.functions.metadata import bad_work_mode, rebuild
 from placewright.operators.compatibility import compatible_jobs, with_metadata
 from placewright.operators.keyed import hydrate, metadata_lookup
-from placewright.operators.similarity import Hits, search
+from placewright.operators.similarity import topk_similar
 from placewright.sources.tables import materialized
 
 PROFILE = (
@@ -20,10 +20,6 @@ PROFILE = (
 )
 
 
-#: A hit with its facts takes about this many times the room of a bare key.
-FACT_WIDTH = 4
-
-
 def search_width(top_k: int) -> int:
     """Twice the wanted number, so that the filter has something to drop."""
     return 2 * top_k
@@ -44,15 +40,14 @@ def match_resumes(
     candidate is not compatible with then free no place for others. Fewer
     than ``top_k`` rows may remain.
     """
-    found = search(candidates, vectors, search_width(top_k))
     # Read three times below, and the costliest step by far: written once. The
     # rows are few, and a lost executor does not bring the search back.
-    hits = Hits(materialized(found.rows, "hits"), found.at_most)
+    hits = materialized(topk_similar(candidates, vectors, search_width(top_k)), "hits")
     return rank_hits(hits, candidates, postings, metadata, top_k, apply_metadata_filtering)
 
 
 def rank_hits(
-    hits: Hits,
+    hits: DataFrame,
     candidates: DataFrame,
     postings: DataFrame,
     metadata: DataFrame,
@@ -64,12 +59,11 @@ def rank_hits(
     Requirement rows and profiles are joined to the narrow hits first; the
     wide posting columns come last, by sending the hits to the postings.
     """
-    found = hits.rows.select("candidate_id", "job_id", "score")
-    facts = with_metadata(found, metadata_lookup(found, metadata, hits.at_most))
+    found = hits.select("candidate_id", "job_id", "score")
+    facts = with_metadata(found, metadata_lookup(found, metadata))
     if apply_metadata_filtering:
         facts = facts.join(candidates.select("candidate_id", *PROFILE), "candidate_id")
-    wide = None if hits.at_most is None else FACT_WIDTH * hits.at_most
-    jobs = hydrate(facts, postings, wide)
+    jobs = hydrate(facts, postings)
     if apply_metadata_filtering:
         jobs = compatible_jobs(jobs)
     window = Window.partitionBy("candidate_id").orderBy(

@@ -59,7 +59,20 @@ def parse_search_pages(pages: DataFrame) -> DataFrame:
         "page_no",
         "total",
         urn_id(F.col("card")["jobCardUnion"]["*jobPostingCard"]).alias("job_id"),
+    ).where(F.col("job_id").isNotNull())
+
+
+def rejected_search_pages(pages: DataFrame) -> DataFrame:
+    """``page_no, reason, payload`` of pages that are not readable or hold a
+    posting card without an id."""
+    parsed = computed_once(pages, "page", F.from_json("payload", SEARCH_PAGE))
+    nameless = F.exists(
+        "page.data.elements",
+        lambda card: F.contains(card["$type"], F.lit(CARD_TYPE))
+        & urn_id(card["jobCardUnion"]["*jobPostingCard"]).isNull(),
     )
+    reason = F.when(F.col("page.data").isNull(), "not readable").when(nameless, "card without id")
+    return parsed.select("page_no", reason.alias("reason"), "payload").where(F.col("reason").isNotNull())
 
 
 class Parsed(NamedTuple):

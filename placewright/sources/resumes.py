@@ -29,10 +29,13 @@ def load_candidates(
 ) -> DataFrame:
     """One candidate per text file, read whole.
 
-    ``id_pattern`` has one group that picks the candidate id from the path.
+    ``id_pattern`` has one group that picks the candidate id from the path,
+    which is decoded first: a blank is a blank, not ``%20``.
     """
+    # a plus sign is itself in a path
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).alias("candidate_id"),
+        F.regexp_extract(path, id_pattern, 1).alias("candidate_id"),
         F.col("value").alias("resume_text"),
     )
     return with_default_profile(files)

@@ -43,16 +43,6 @@ def materialized(rows: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
-def spread_few_files(table: DataFrame) -> DataFrame:
-    """A table in fewer files than there are cores, dealt out to all cores.
-
-    For inputs of work that costs far more per row than moving the row. A
-    table in many files is returned as it is, without a shuffle.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
-
-
 def write_artifacts(files: DataFrame, path: str) -> None:
     """Write prepared documents, a folder per document kind.
 

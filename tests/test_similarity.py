@@ -3,7 +3,7 @@ import pytest
 
 from placewright import schemas
 from placewright.operators import similarity
-from placewright.operators.similarity import best_rows, search, topk_similar
+from placewright.operators.similarity import best_rows, topk_similar
 from placewright.plans.match import match_resumes
 
 DIM = 16
@@ -44,7 +44,7 @@ def as_set(frame):
 
 
 @pytest.mark.parametrize("k", [1, 7, 20])
-def test_shipped_candidates_equal_brute_force(tables, k):
+def test_candidates_equal_brute_force(tables, k):
     people, jobs, c, j = tables
     assert as_set(topk_similar(c, j, k)) == brute(people, jobs, k)
 
@@ -62,19 +62,25 @@ def test_small_blocks_equal_brute_force(tables, monkeypatch):
     assert {(f"c{w}", n) for w, n in zip(best.who, best.job)} == want
 
 
-def test_blocked_way_gives_the_same(tables, monkeypatch):
+def test_small_byte_blocks_give_the_same(tables, monkeypatch):
     people, jobs, c, j = tables
-    monkeypatch.setattr(similarity, "BLOCK_CANDIDATES", 8)
-    monkeypatch.setattr(similarity, "BLOCK_VECTORS", 150)
-    found = search(c, j, 7, broadcast_rows=10)
-    assert found.at_most is None
-    assert as_set(found.rows) == brute(people, jobs, 7)
-    assert search(c, j, 7).at_most == 23 * 7
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 8 * 4 * DIM)
+    monkeypatch.setattr(similarity, "MERGE_ROWS", 100)
+    assert as_set(topk_similar(c, j, 7)) == brute(people, jobs, 7)
+
+
+def test_floor_keeps_ties(spark, monkeypatch):
+    """Equal vectors in all cells: the floor is every score."""
+    same = [1.0] + [0.0] * (DIM - 1)
+    c = spark.createDataFrame([("c0", same)], "candidate_id string, resume_embedding array<float>")
+    j = spark.createDataFrame([(str(n), same) for n in range(300)], "job_id string, embedding array<float>")
+    got = [r.job_id for r in topk_similar(c, j, 5).orderBy("rank").collect()]
+    assert got == sorted(map(str, range(300)))[:5]
 
 
 def test_merge_in_pieces_gives_the_same(tables):
     people, jobs, c, j = tables
-    hits = search(c, j, 12).rows.drop("rank")
+    hits = topk_similar(c, j, 12).drop("rank")
     for pieces in (1, 4):
         assert as_set(best_rows(hits, 5, pieces)) == brute(people, jobs, 5)
 

@@ -309,3 +309,58 @@ def test_ordered_lines(spark):
         [(1, "9", "applied", None), (1, "42", "skipped", "why")], "candidate_id int, job_id string, status string, notes string"
     )
     assert [r.line for r in reports.status_report(statuses).collect()] == ["42: skipped — why", "9: applied"]
+
+
+def _vectors_of(size):
+    return lambda: lambda texts: [[float(size)] + [0.0] * (size - 1) for _ in texts]
+
+
+def test_each_loader_gets_its_own_result(spark):
+    """Two closures of one factory, and two lambdas of one module, in one session."""
+    from placewright.operators.inference import embed_postings, extract_with_retry, reviewed_drafts
+
+    rows = spark.createDataFrame([("1", "text")], "job_id string, description string")
+    sizes = [len(embed_postings(rows, _vectors_of(n)).first().embedding) for n in (2, 5)]
+    assert sizes == [2, 5]
+    prompts = spark.createDataFrame([("1", "p")], "job_id string, prompt string")
+    replies = [
+        extract_with_retry(prompts, loader, lambda reply: None).first().reply
+        for loader in (lambda: lambda prompt: "one", lambda: lambda prompt: "two")
+    ]
+    assert replies == ["one", "two"]
+    jobs = spark.createDataFrame(
+        [(1, "j", "text", "cv")], "candidate_id int, job_id string, description string, resume_text string"
+    )
+
+    def judge():
+        return lambda *_: (True, [])
+
+    drafts = [
+        reviewed_drafts(jobs, "letter", loader, judge).first().draft
+        for loader in (lambda: lambda *_: "first", lambda: lambda *_: "second")
+    ]
+    assert drafts == ["first", "second"]
+
+
+def test_a_failing_call_gives_a_row(spark):
+    from placewright.operators.inference import reviewed_drafts
+
+    jobs = spark.createDataFrame(
+        [(1, "bad", "text", "cv"), (1, "good", "text two", "cv")],
+        "candidate_id int, job_id string, description string, resume_text string",
+    )
+
+    def drafter():
+        def draft(kind, description, *_):
+            if description == "text":
+                raise RuntimeError("no answer")
+            return "draft"
+
+        return draft
+
+    def judge():
+        return lambda *_: (True, [])
+
+    got = {r.job_id: r for r in reviewed_drafts(jobs, "letter", drafter, judge).collect()}
+    assert got["good"].approved and got["good"].draft == "draft"
+    assert not got["bad"].approved and got["bad"].draft is None and got["bad"].issues == ["failed: no answer"]
