@@ -44,9 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .agg(F.min(F.struct("slot", "place")).alias("mixed_at"))
     )
     return (
-        docs.join(slots, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-        .repartitionByRange(F.col("mixed_at"), F.col("doc_id"))
-        .sortWithinPartitions("mixed_at", "doc_id")
+        docs.join(slots, docs["doc_id"].eqNullSafe(slots["mixed_id"]))
+        .repartitionByRange(slots["mixed_at"], docs["doc_id"])
+        .sortWithinPartitions(slots["mixed_at"], docs["doc_id"])
         .select(*(docs[c] for c in docs.columns))
     )
 
