@@ -283,14 +283,24 @@ SELECT job_id,
 FROM texts""",
     "texts",
 )
+def parted(column: str) -> str:
+    for pattern, between in rules.CLAUSE_ENDS:
+        kept = "'\\1' || chr(10) || '\\2'" if "$" in between else "chr(10)"
+        column = f"regexp_replace({column}, {text(pattern)}, {kept}, 'g')"
+    return column
+
+
 view(
     "sentences",
     f"""
-SELECT job_id, pos, trim(piece) AS s FROM (
-  SELECT job_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
-  FROM (SELECT job_id, regexp_extract_all(description, {text(rules.SENTENCE)}) AS pieces
-    FROM ads))
-WHERE trim(piece) <> ''""",
+SELECT job_id, pos * 1000 + nth AS pos, trim(clause) AS s FROM (
+  SELECT job_id, pos, unnest(clauses) AS clause, generate_subscripts(clauses, 1) AS nth FROM (
+    SELECT job_id, pos, string_split({parted('piece')}, chr(10)) AS clauses FROM (
+      SELECT job_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
+      FROM (SELECT job_id, regexp_extract_all(description, {text(rules.SENTENCE)}) AS pieces
+        FROM ads))
+    WHERE NOT regexp_matches(piece, {text(rules.QUESTION)})))
+WHERE trim(clause) <> ''""",
     "ads",
 )
 
@@ -303,7 +313,7 @@ view(
     "stated_years",
     f"""
 SELECT job_id, pos, s, min(y) AS years FROM (
-  SELECT job_id, pos, s, coalesce(try_cast(token AS INTEGER),
+  SELECT job_id, pos, s, coalesce(CAST(floor(try_cast(token AS DOUBLE)) AS INTEGER),
     list_position({list(rules.NUMBER_WORDS)}, lower(token))) AS y
   FROM (SELECT job_id, pos, s, unnest(regexp_extract_all(s, {text(rules.YEARS)}, 1)) AS token
     FROM sentences WHERE {says(rules.YEARS)} AND {says(rules.EXPERIENCE_CONTEXT)}))
@@ -372,7 +382,8 @@ SELECT job_id, pos, nth, s, language, nullif(regexp_extract(s, {text(rules.LEVEL
 FROM (
   SELECT job_id, pos, s, language, min(i) AS nth FROM (
     SELECT job_id, pos, s, unnest(found) AS language, generate_subscripts(found, 1) AS i
-    FROM (SELECT job_id, pos, s, regexp_extract_all(s, {text(rules.LANGUAGE)}, 1) AS found
+    FROM (SELECT job_id, pos, s, list_transform(regexp_extract_all(s, {text(rules.LANGUAGE)}, 1),
+        lambda x: upper(x[1]) || lower(x[2:])) AS found
       FROM sentences WHERE {says(rules.LANGUAGE)}))
   GROUP BY job_id, pos, s, language)""",
     "sentences",

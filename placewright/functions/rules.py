@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 from placewright import schemas
 
-SENTENCE = r"[^.!?\n]+[.!?]*"
+#: A full stop with a letter or digit right after it, or a small letter after a
+#: blank, is part of a number or an abbreviation and ends no sentence. (The
+#: number of such stops is bounded because the JVM's matcher recurses on groups.)
+SENTENCE = r"[^.!?\n]+(?:\.(?:[A-Za-z0-9]|\s[a-z])[^.!?\n]*){0,20}[.!?]*"
 
 # The vocabulary of the rules.
 NUMBER_WORDS = (
     "one", "two", "three", "four", "five", "six",
     "seven", "eight", "nine", "ten", "eleven", "twelve",
+    "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen",
+    "nineteen", "twenty",
 )
 LANGUAGE_NAMES = (
     "Arabic", "Chinese", "Czech", "Danish", "Dutch", "English", "Finnish",
@@ -29,16 +34,16 @@ LANGUAGE_NAMES = (
     "Romanian", "Russian", "Spanish", "Swedish", "Turkish", "Ukrainian",
 )
 YEARS = (
-    r"(?i)\b(\d{1,2}|" + "|".join(NUMBER_WORDS) + r")"
-    r"\s*(?:\+|(?:-|–|—|to)\s*\d{1,2}\s*\+?)?\s*(?:years?|yrs?)\b"
+    r"(?i)\b(\d{1,2}(?:\.\d+)?|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")"
+    r"\s*(?:\+|(?:-|–|—|to)\s*\d{1,2}(?:\.\d+)?\s*\+?)?\s*(?:years?|yrs?)\b"
 )
-EXPERIENCE_CONTEXT = r"(?i)experience|minimum|at least|required"
-ADVANCED = r"(?i)\b(?:master'?s?|masters|msc|phd|doctorate)\b"
-BACHELOR = r"(?i)\b(?:bachelor'?s?|bachelors|bsc)\b"
+EXPERIENCE_CONTEXT = r"(?i)experience|minimum|at least|(?:years?|yrs?)\s+(?:is\s+|are\s+)?required"
+ADVANCED = r"(?i)\b(?:master'?s?|masters|msc|m\.sc|phd|ph\.\s?d|doctorate)\b"
+BACHELOR = r"(?i)\b(?:bachelor'?s?|bachelors|bsc|b\.sc)\b"
 OPTIONAL = r"(?i)\b(?:plus|preferred|optional|desirable|nice to have|advantage|bonus)\b"
 MANDATORY = r"(?i)\b(?:required|must|mandatory|essential|needed)\b"
 NOT_NEEDED = r"(?i)\bnot (?:required|necessary|needed)\b"
-LANGUAGE = r"\b(" + "|".join(LANGUAGE_NAMES) + r")\b"
+LANGUAGE = r"(?i)\b(" + "|".join(LANGUAGE_NAMES) + r")\b"
 LEVEL = r"(?i)\b(A1|A2|B1|B2|C1|C2|fluent|native|professional|conversational)\b"
 SPONSORSHIP = r"(?i)\b(?:sponsorship|sponsor|visa support)\b"
 RELOCATION = r"(?i)\brelocation\b"
@@ -48,10 +53,28 @@ HYBRID = r"(?i)\bhybrid\b"
 REMOTE = r"(?i)\bremote\b|\bwork from anywhere\b|\bwork from home\b"
 NOT_REMOTE = r"(?i)\b(?:no|not) remote\b"
 ONSITE = r"(?i)\bon-?site\b|\bin-office\b"
+#: Where a sentence holds two statements: a contrast, a list of statements that
+#: each say how firm they are, two languages with a level each. $1 and $2 stay.
+FIRM = (
+    r"(?:required|must|mandatory|essential|needed|plus|preferred|optional|desirable|nice to have"
+    r"|advantage|bonus|available|unavailable|provided?|offered)"
+)
+CLAUSE_ENDS = (
+    (r"(?i)(;|,)?\s+(?:but|while|whereas|however)\s+", "\n"),
+    (r";\s+", "\n"),
+    (r"(?i)(\b" + FIRM + r"\b[^,;.!?\n]*),\s+([^,;.!?\n]*\b" + FIRM + r"\b)", "$1\n$2"),
+    (
+        r"(?i)(\b(?:A1|A2|B1|B2|C1|C2|fluent|native|professional|conversational)\s+\w+)\s+and\s+"
+        r"((?:A1|A2|B1|B2|C1|C2|fluent|native|professional|conversational)\b)",
+        "$1\n$2",
+    ),
+)
+#: A question states nothing.
+QUESTION = r"\?\s*$"
 #: Any sentence a rule can have an opinion on contains one of these.
 #: (lower case; all but "years" can only start where no letter precedes)
 MENTION = (
-    r"year|yr|(?<![a-z])(?:master|msc|phd|doctorate|bachelor|bsc|sponsor|visa support"
+    r"year|yr|(?<![a-z])(?:master|msc|m\.sc|phd|ph\.\s?d|doctorate|bachelor|bsc|b\.sc|sponsor|visa support"
     r"|relocation|hybrid|remote|work from|on-?site|in-office|"
     + "|".join(name.lower() for name in LANGUAGE_NAMES)
     + ")"
@@ -59,15 +82,25 @@ MENTION = (
 
 
 def sentences(text: Column) -> Column:
-    """The sentences any rule could use, verbatim, in text order.
+    """The statements any rule could use, verbatim, in text order.
 
-    A text is cut at sentence ends and line breaks. Most sentences mention
+    A text is cut at sentence ends and line breaks, and a sentence where it
+    changes from one statement to another; questions are left out. Most sentences mention
     nothing of interest; one pattern drops them here, so that the rules see
     a handful of sentences and not the whole text again and again.
     """
     pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    telling = F.filter(pieces, lambda s: F.rlike(F.lower(s), F.lit(MENTION)))
-    return F.transform(telling, lambda s: F.trim(s))
+    telling = F.filter(
+        pieces, lambda s: F.rlike(F.lower(s), F.lit(MENTION)) & ~F.rlike(s, F.lit(QUESTION))
+    )
+    clauses = F.flatten(F.transform(telling, lambda s: F.split(_parted(s), "\n")))
+    return F.filter(F.transform(clauses, lambda s: F.trim(s)), lambda s: s != "")
+
+
+def _parted(sentence: Column) -> Column:
+    for pattern, between in CLAUSE_ENDS:
+        sentence = F.regexp_replace(sentence, pattern, between)
+    return sentence
 
 
 def _numbers(sentence: Column) -> Column:
@@ -76,7 +109,8 @@ def _numbers(sentence: Column) -> Column:
     return F.transform(
         tokens,
         lambda t: F.coalesce(
-            t.try_cast("int"),
+            # three and a half years ask for three at least
+            F.floor(t.try_cast("double")).cast("int"),
             F.nullif(F.array_position(words, F.lower(t)), F.lit(0)).cast("int"),
         ),
     )
@@ -163,7 +197,9 @@ def languages(parts: Column) -> Column:
     per_sentence = F.transform(
         naming,
         lambda s: F.transform(
-            F.array_distinct(F.regexp_extract_all(s, F.lit(LANGUAGE), F.lit(1))),
+            F.array_distinct(
+                F.transform(F.regexp_extract_all(s, F.lit(LANGUAGE), F.lit(1)), lambda x: F.initcap(x))
+            ),
             lambda name: F.struct(
                 name.alias("language"),
                 F.nullif(F.regexp_extract(s, LEVEL, 1), F.lit("")).alias("level"),
