@@ -60,43 +60,43 @@ def profile(candidate_id: Column) -> list[Column]:
 
 
 YEARS_TEXT = [
-    "Minimum 3 years experience.",
-    "5+ years of experience.",
-    "2–4 years experience required.",
-    "At least seven years in industry.",
-    "A decade in industry is welcome.",
+    "You bring a minimum of 3 years with comparable systems.",
+    "We look for 5+ years of hands-on experience.",
+    "Experience of 2–4 years with similar tools is expected.",
+    "At least seven years spent in the trade.",
+    "Roughly a decade in the trade would be welcome.",
     None,
 ]
 YEARS_TRUTH = [3, 5, 2, 7, 10, None]
 DEGREE_TEXT = [
-    "Master's degree required.",
-    "PhD preferred.",
-    "Bachelor's or Master's degree.",
-    "Bachelor's degree required.",
+    "A completed Master's degree is required for this role.",
+    "A PhD would be preferred by the team.",
+    "Either a Bachelor's or a Master's degree will do.",
+    "A Bachelor's degree is required here.",
     None,
 ]
 DEGREE_TRUTH = [True, False, False, False, None]
 LANGUAGE_TEXT = [
-    "Fluent Dutch required.",
-    "German is a plus.",
-    "You will work with German clients.",
-    "English required, C1 or better.",
-    "Fluent English required. Must speak German.",
+    "Fluent Dutch is required in the shop.",
+    "Some German is a plus.",
+    "Most of our clients speak German.",
+    "English is required, at C1 or above.",
+    "Fluent English is required. You must also speak German.",
     "Spanish is not required.",
     None,
 ]
 ENGLISH_TRUTH = [False, None, None, True, False, None, None]
-VISA_TEXT = ["Visa sponsorship available.", "No sponsorship provided.", None]
+VISA_TEXT = ["Visa sponsorship is available for this post.", "We offer no sponsorship.", None]
 MOVE_TEXT = [
-    "Relocation package provided.",
-    "No relocation support available.",
+    "A relocation package is provided on arrival.",
+    "There is no relocation support available.",
     None,
     None,
 ]
 MODE_TEXT = [
-    "Work from anywhere.",
-    "Hybrid role in Berlin.",
-    "This is an onsite role.",
+    "You can work from anywhere.",
+    "A hybrid role near our Berlin office.",
+    "This job is onsite only.",
     None,
 ]
 

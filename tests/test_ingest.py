@@ -88,12 +88,12 @@ def test_constraint_audit(spark):
 def payload(**changes):
     data = {
         "description": {"text": " Build \n things "},
-        "title": "ML Engineer",
+        "title": "Turbine Planner",
         "formattedLocation": "Berlin, Germany",
         "originalListedAt": 0,
         "jobState": "LISTED",
         "applyMethod": {"companyApplyUrl": "https://a"},
-        "companyDetails": {"companyName": "Acme"},
+        "companyDetails": {"companyName": "Nordwerk"},
     }
     included = changes.pop("included", [])
     data.update(changes)
@@ -106,9 +106,9 @@ COMPANY = {"$type": payloads.COMPANY_TYPE, "name": "From included"}
 @pytest.mark.parametrize(
     "text, want",
     [
-        (payload(), ("Acme", "https://a")),
-        (payload(applyMethod={"companyApplyUrl": "", "easyApplyUrl": "https://e"}), ("Acme", "https://e")),
-        (payload(applyMethod="drop"), ("Acme", "")),
+        (payload(), ("Nordwerk", "https://a")),
+        (payload(applyMethod={"companyApplyUrl": "", "easyApplyUrl": "https://e"}), ("Nordwerk", "https://e")),
+        (payload(applyMethod="drop"), ("Nordwerk", "")),
         (payload(companyDetails={}, included=[{"$type": "x"}, COMPANY]), ("From included", "https://a")),
         (payload(companyDetails="drop"), (None, "https://a")),
         (payload(description={}), "no description"),

@@ -117,7 +117,7 @@ def test_match_limits_before_it_filters(spark):
         "open_to_relocation boolean, requires_visa_sponsorship boolean",
     )
     postings = spark.createDataFrame(
-        [(j, None if j == "a" else f"T{j}", "Acme", "text", None, None, None) for j in ("phd", "a", "b", "c")],
+        [(j, None if j == "a" else f"T{j}", "Nordwerk", "text", None, None, None) for j in ("phd", "a", "b", "c")],
         "job_id string, title string, company string, description string, "
         "location string, country string, application_url string",
     )

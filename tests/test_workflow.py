@@ -16,8 +16,8 @@ MATCH = (
 
 def match(job="42", metadata=None, **more):
     return {
-        "candidate_id": 1, "job_id": job, "title": "ML Engineer", "company": "Acme",
-        "similarity_score": 0.87, "description": "Build ML systems with Python.",
+        "candidate_id": 1, "job_id": job, "title": "Turbine Planner", "company": "Nordwerk",
+        "similarity_score": 0.64, "description": "Plan turbine service with Python.",
         "metadata": metadata, "must_have_skills": [], "preferred_locations": [], **more,
     }
 
@@ -36,8 +36,8 @@ EXP5 = (None, (5, "5+ years required"), None, None)
 def test_fit_report_years_and_skills(spark):
     text = report(spark, metadata=EXP5, experience_years=3, must_have_skills=["Python", "Kubernetes"])
     assert text.split("\n") == [
-        "Fit report for ML Engineer at Acme (job 42):",
-        "- resume similarity score: 0.87",
+        "Fit report for Turbine Planner at Nordwerk (job 42):",
+        "- resume similarity score: 0.64",
         "- experience: requires 5+ years; candidate has 3 (short by 2)",
         "- education: requirement not stated",
         "- work mode / visa: not stated",
@@ -77,7 +77,7 @@ def test_asked_report_and_posting_text(spark):
     m = matches(spark, match(), match("43", description="", location="Pune"))
     asked = spark.createDataFrame([(1, "42"), (1, "43"), (1, "zzz")], "candidate_id int, job_id string")
     text = {r.job_id: r.posting_text for r in reports.posting_text(asked, m).collect()}
-    assert text["42"] == "ML Engineer at Acme (location unknown):\n\nBuild ML systems with Python."
+    assert text["42"] == "Turbine Planner at Nordwerk (location unknown):\n\nPlan turbine service with Python."
     assert text["43"] == "Job 43 has no stored description."
     assert text["zzz"] == "No shortlisted job with job_id=zzz."
     got = {r.job_id: r.report for r in reports.asked_fit_report(asked, m).collect()}
@@ -93,8 +93,8 @@ def test_shortlist_text(spark):
     )
     text = {r.candidate_id: r.text for r in reports.shortlist_text(people, m).collect()}
     assert text[1] == (
-        "Shortlisted jobs:\n1. [42] ML Engineer at Acme — score 0.87\n"
-        "2. [43] ML Engineer at Acme — score 0.50 — Pune — 2y exp — remote"
+        "Shortlisted jobs:\n1. [42] Turbine Planner at Nordwerk — score 0.64\n"
+        "2. [43] Turbine Planner at Nordwerk — score 0.50 — Pune — 2y exp — remote"
     )
     assert text[2] == "No matching jobs were found for this resume."
 
@@ -110,22 +110,22 @@ def test_decisions_of_unknown_jobs_are_rejected(spark):
 
 
 def test_decision_events(spark):
-    rows = spark.createDataFrame([(1, "42", 1, "false", "too senior"), (1, "42", 2, "1", "ok")], DECISION)
+    rows = spark.createDataFrame([(1, "42", 1, "false", "other field"), (1, "42", 2, "1", "ok")], DECISION)
     valid = review.check_decisions(rows, matches(spark)).valid
     got = {r.seq: (r.pursue, r.status, r.notes) for r in review.decision_events(valid).collect()}
-    assert got == {1: (False, "skipped", "screened out: too senior"), 2: (True, None, None)}
+    assert got == {1: (False, "skipped", "screened out: other field"), 2: (True, None, None)}
 
 
 def test_handoff_shows_pursued_only(spark):
     people = spark.createDataFrame([(1,), (2,)], "candidate_id int")
     rows = spark.createDataFrame(
-        [(1, "42", 1, True, "strong fit"), (1, "43", 2, False, "poor fit"), (1, "9", 3, True, "lost")],
+        [(1, "42", 1, True, "close match"), (1, "43", 2, False, "weak match"), (1, "9", 3, True, "lost")],
         "candidate_id int, job_id string, seq int, pursue boolean, reason string",
     )
     text = {r.candidate_id: r.text for r in reports.handoff_text(people, rows, matches(spark)).collect()}
     assert text[1] == (
         "Jobs selected for application preparation:\n"
-        "- [42] ML Engineer at Acme — screener's reason: strong fit\n"
+        "- [42] Turbine Planner at Nordwerk — screener's reason: close match\n"
         "- [9] (job details missing) — screener's reason: lost"
     )
     assert text[2] == "No jobs were selected by the screener."
@@ -263,7 +263,7 @@ def stubborn_drafter():
 
 
 def picky_judge():
-    return lambda kind, draft, text, resume: (draft.startswith("fixed"), [] if draft.startswith("fixed") else ["invented a PhD"])
+    return lambda kind, draft, text, resume: (draft.startswith("fixed"), [] if draft.startswith("fixed") else ["claims a doctorate"])
 
 
 JOBS = "candidate_id int, job_id string, description string, resume_text string"
@@ -272,14 +272,14 @@ JOBS = "candidate_id int, job_id string, description string, resume_text string"
 def test_drafts_are_revised_with_the_issues(spark):
     rows = spark.createDataFrame([(1, "42", "jd", "r"), (1, "43", "", "r"), (1, "44", None, "r")], JOBS)
     got = {r.job_id: r for r in inference.reviewed_drafts(rows, "k", revising_drafter, picky_judge).collect()}
-    assert (got["42"].draft, got["42"].approved, got["42"].rounds) == ("fixed: invented a PhD", True, 1)
+    assert (got["42"].draft, got["42"].approved, got["42"].rounds) == ("fixed: claims a doctorate", True, 1)
     assert got["43"].rejected and got["43"].draft is None and got["44"].rejected
 
 
 def test_drafting_gives_up(spark):
     rows = spark.createDataFrame([(1, "42", "jd", "r")], JOBS)
     row = inference.reviewed_drafts(rows, "k", stubborn_drafter, picky_judge).first()
-    assert (row.draft, row.approved, row.rounds, row.issues) == ("still bad", False, 2, ["invented a PhD"])
+    assert (row.draft, row.approved, row.rounds, row.issues) == ("still bad", False, 2, ["claims a doctorate"])
 
 
 def test_drafts_become_events(spark):
@@ -289,7 +289,7 @@ def test_drafts_become_events(spark):
     row = out.artifacts.first()
     assert (row.job_id, row.tailored_resume, row.cover_letter) == ("42", None, "still bad")
     assert [(r.job_id, r.status) for r in out.statuses.collect()] == [("42", "tailored")]
-    assert out.notes.first().note == "review still flags issues after revision: invented a PhD"
+    assert out.notes.first().note == "review still flags issues after revision: claims a doctorate"
 
 
 def test_expired_statuses(spark):
