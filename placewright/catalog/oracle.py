@@ -1056,7 +1056,7 @@ def ok_int(path: str) -> str:
     return (
         f"({jmissing(path)} OR {jtype(path)} = 'BOOLEAN' OR ({jtype(path)} IN {NUMBERS} "
         f"OR {jtype(path)} = 'VARCHAR') AND regexp_matches({jtext(path)}, "
-        f"{text(INTEGER_TEXT)}))"
+        f"{text(INTEGER_TEXT)}) AND try_cast(regexp_replace(trim({jtext(path)}), '\\.0+$', '') AS INTEGER) IS NOT NULL)"
     )
 
 

@@ -98,8 +98,15 @@ def is_number(type_name: Column) -> Column:
     return F.coalesce(type_name.isin("BIGINT", "DECIMAL", "DOUBLE"), F.lit(False))
 
 
+def _whole(value: Column) -> Column:
+    return F.regexp_replace(blank_trim(value), r"\.0+$", "").try_cast("int")
+
+
 def bad_integer(p: Column) -> Column:
-    spelled = F.coalesce(F.rlike(p["text"], F.lit(INTEGER_TEXT)), F.lit(False))
+    # a whole number beyond 32 bits is invalid, not missing
+    spelled = F.coalesce(
+        F.rlike(p["text"], F.lit(INTEGER_TEXT)) & _whole(p["text"]).isNotNull(), F.lit(False)
+    )
     return ~(
         missing(p["type"])
         | is_boolean(p["type"])
@@ -110,7 +117,7 @@ def bad_integer(p: Column) -> Column:
 def read_integer(p: Column) -> Column:
     return (
         F.when(is_boolean(p["type"]), (p["text"] == "true").cast("int"))
-        .otherwise(F.regexp_replace(blank_trim(p["text"]), r"\.0+$", "").try_cast("int"))
+        .otherwise(_whole(p["text"]))
     )
 
 

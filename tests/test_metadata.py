@@ -94,6 +94,8 @@ REPLIES = [
     ("{}", None, []),
     ('{"experience_requirement":{"min_years_experience":5.5,"experience_requirement_evidence":"e"}}', None,
      ["experience_requirement.min_years_experience: invalid"]),
+    ('{"experience_requirement":{"min_years_experience":99999999999,"experience_requirement_evidence":"e"}}', None,
+     ["experience_requirement.min_years_experience: invalid"]),
     ('{"experience_requirement":{"min_years_experience":"five","experience_requirement_evidence":7}}', None,
      ["experience_requirement.min_years_experience: invalid",
       "experience_requirement.experience_requirement_evidence: invalid"]),
