@@ -231,6 +231,11 @@ class Encoder:
 
     def block(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, as unsigned 32-bit integers."""
+        if sum(map(len, texts)) <= 2 * BLOCK_BYTES:
+            return self._block(texts)
+        return [np.concatenate([self._block([part])[0] for part in _parts(text)]) for text in texts]
+
+    def _block(self, texts: list[str]) -> list[np.ndarray]:
         whole = "".join(texts)
         data = np.frombuffer(whole.encode("utf-8"), np.uint8)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
@@ -274,6 +279,21 @@ def merges_of(rank_file: bytes) -> Merges:
     return Merges(rank_file)
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A very long text in parts of about ``BLOCK_BYTES``, cut before blanks that
+    follow another sign than white space: there a piece always ends."""
+    start = 0
+    while len(text) - start > BLOCK_BYTES:
+        at = text.find(" ", start + BLOCK_BYTES)
+        while at > 0 and text[at - 1].isspace():
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        yield text[start:at]
+        start = at
+    yield text[start:]
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     start, size = 0, 0
     for k, text in enumerate(texts):

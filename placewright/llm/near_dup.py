@@ -17,7 +17,8 @@ signature of 128 MinHash bytes decides there which pairs are aligned.
 
 Nulls and edges: a null or wordless text is in a group of its own (never a
 duplicate); texts under five words are one shingle; rows with a null ``doc_id``
-are kept as groups of their own; rows repeating a ``doc_id`` get one row each.
+are kept as groups of their own; rows repeating a ``doc_id`` get one row each, and if
+their texts differ, one of the texts stands for the id in comparisons.
 Only ``doc_id`` and ``text`` of the input are read.
 """
 

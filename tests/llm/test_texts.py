@@ -59,6 +59,15 @@ def test_tokens_equal_the_library():
         assert ids.tolist() == LIBRARY.encode_ordinary(text), text[:50]
 
 
+def test_long_texts_are_cut_where_pieces_end(monkeypatch):
+    draw = random.Random(3)
+    text = "".join(draw.choices(["ab", " ", "  ", "\n", " \n", "é", "1", "'s", "!"], k=4_000))
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 50)
+    assert len(list(bpe._parts(text))) > 20 and "".join(bpe._parts(text)) == text
+    got = bpe.Encoder(bpe.Merges(RAW)).block([text, "", "a b"])
+    assert [ids.tolist() for ids in got] == [LIBRARY.encode_ordinary(t) for t in (text, "", "a b")]
+
+
 def test_round_trip_of_odd_rows(odd, none):
     got = bpe.round_trip(odd, RAW, ["doc_id", "kept"], with_ids=True).collect()
     texts = collections.Counter((r[0], r[1] or "") for r in rows())
