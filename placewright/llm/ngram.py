@@ -33,6 +33,8 @@ FILTER_BYTES = 64 << 20
 BITS_AN_ENTRY = 10
 PROBES = 3
 SEGMENT_ROWS = 500_000
+#: Tokens that a task counts together before it hands counts on.
+COUNTED_TOKENS = 1_500_000
 FREQUENT = 1_000_000
 #: Weight of the unigrams in the smoothing of bigrams, in counts.
 SMOOTHING = 50.0
@@ -62,21 +64,30 @@ def bigrams(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         return mixed(before * np.uint64(0x9E3779B97F4A7C15) + values)
 
 
+def _counted(size: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    found, count = np.unique(np.concatenate(parts), return_counts=True)
+    for start in range(0, len(found), 250_000):
+        h = found[start : start + 250_000].view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(h), size, np.int8)), pa.array(h), pa.array(count[start : start + 250_000])],
+            ["size", "h", "n"],
+        )
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        singles, pairs = [], []
+        singles, pairs, held = [], [], 0
         for _, values, cuts in tokens(batch.column("text")):
             singles.append(values)
             pairs.append(bigrams(values, cuts))
-        for size, parts in ((1, singles), (2, pairs)):
-            if parts:
-                found, count = np.unique(np.concatenate(parts), return_counts=True)
-                for start in range(0, len(found), 500_000):
-                    h = found[start : start + 500_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(h), size, np.int8)), pa.array(h), pa.array(count[start : start + 500_000])],
-                        ["size", "h", "n"],
-                    )
+            held += len(values)
+            if held >= COUNTED_TOKENS:
+                yield from _counted(1, singles)
+                yield from _counted(2, pairs)
+                singles, pairs, held = [], [], 0
+        if singles:
+            yield from _counted(1, singles)
+            yield from _counted(2, pairs)
 
 
 def _positions(h: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray | int) -> np.ndarray:
