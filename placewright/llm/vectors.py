@@ -51,7 +51,10 @@ def pass_count(largest: int, window: int = WINDOW, similar: float = SIMILAR, mis
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors that can link, as bytes of doubles, with a key that equal ones share."""
+    """Vectors that can link, as bytes, with a key that equal ones share.
+
+    A vector of single precision is kept and sent in four bytes a component.
+    """
     for batch in batches:
         out = []
         for vec_id, label, vector in zip(*(batch.column(k) for k in ("vec_id", "label", "embedding"))):
@@ -60,8 +63,8 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = vector.values.to_numpy().astype(np.float64)
             if not len(values) or not np.isfinite(values).all() or not values.any():
                 continue
-            scaled = values / np.abs(values).max()
-            raw = (scaled / np.sqrt((scaled**2).sum())).tobytes()
+            narrow = values.astype(np.float32)
+            raw = (narrow if (narrow == values).all() else values).tobytes()
             key = hashlib.blake2b(repr((label.as_py(), len(values))).encode() + (values + 0.0).tobytes(), digest_size=16).digest()
             out.append((vec_id.as_py(), label.as_py(), len(values), key, raw))
         if out:
@@ -72,6 +75,18 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _units(raw: list[bytes], dims: int) -> np.ndarray:
+    """Stored vectors scaled to length one, in double precision."""
+    kinds = {4 * dims: np.float32, 8 * dims: np.float64}
+    if len({len(r) for r in raw}) == 1:
+        values = np.frombuffer(b"".join(raw), kinds[len(raw[0])]).reshape(-1, dims).astype(np.float64)
+    else:
+        values = np.stack([np.frombuffer(r, kinds[len(r)]).astype(np.float64) for r in raw])
+    # the largest component first, so that no square overflows
+    values /= np.abs(values).max(axis=1, keepdims=True)
+    return values / np.sqrt((values**2).sum(axis=1, keepdims=True))
+
+
 def _turns(passes: int):
     """Every vector once per pass, with its sort key of that pass."""
 
@@ -80,7 +95,7 @@ def _turns(passes: int):
             dims = batch.column("dims").to_numpy()
             for size in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == size))
-                unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float64).reshape(-1, size)
+                unit = _units(part.column("unit").to_pylist(), size)
                 for turn in range(passes):
                     bits = np.packbits(unit @ _planes(size, turn) > 0, axis=1)
                     yield pa.RecordBatch.from_arrays(
@@ -132,8 +147,7 @@ def _window_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names = part.column("cls").to_numpy()
             for size in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == size)
-                units = part.column("unit").take(pa.array(at)).to_pylist()
-                unit = np.frombuffer(b"".join(units), np.float64).reshape(-1, size)
+                unit = _units(part.column("unit").take(pa.array(at)).to_pylist(), size)
                 for back in range(1, min(WINDOW, len(at) - 1) + 1):
                     one, two = at[:-back], at[back:]
                     near = (turns[one] == turns[two]) & (labels[one] == labels[two]) & (two >= fresh)
@@ -151,7 +165,7 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Links of the vectors of one component block with those of another, or among themselves."""
     for cell in runs(batches, ["root", "i", "j"]):
         size = cell.column("dims")[0].as_py()
-        unit = np.frombuffer(b"".join(cell.column("unit").to_pylist()), np.float64).reshape(-1, size)
+        unit = _units(cell.column("unit").to_pylist(), size)
         copies = cell.column("copies").to_numpy()
         left = cell.column("left").to_numpy()
         if cell.column("i")[0].as_py() == cell.column("j")[0].as_py():
