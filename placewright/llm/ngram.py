@@ -1,9 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Unigram and bigram counts of the training documents are quantised to ``q = floor(log2 count)``;
-the filter holds the pairs (n-gram, 1) to (n-gram, q). A worker finds a count again by
-probing levels until one is missing. Counts of one are level zero: they take no room and are
-smoothed like unseen ones. Scores are log10 probabilities under bigrams with Dirichlet smoothing over
+Unigram and bigram counts of the training documents are quantised to ``q = 1 + floor(log2 count)``;
+the filter holds the pairs (n-gram, 1) to (n-gram, q) of every n-gram, those seen once as well. A worker finds a count
+again by probing levels until one is missing; level zero is an n-gram never seen. Scores are log10 probabilities under bigrams with Dirichlet smoothing over
 unigrams, a document boundary before the first and after the last word.
 
 The filter grows with the corpus up to ``FILTER_BYTES``; beyond that it gets fewer bits an entry, so more false
@@ -141,8 +140,8 @@ class CountFilter:
 
 
 def expected_count(levels: np.ndarray, none: float) -> np.ndarray:
-    """Middle of the counts of a level; ``none`` for level zero."""
-    return np.where(levels > 0, 1.5 * np.exp2(levels.astype(float)) - 0.5, none)
+    """Middle of the counts of a level, one for level one; ``none`` for level zero."""
+    return np.where(levels > 0, 1.5 * np.exp2(levels - 1.0) - 0.5, none)
 
 
 SCORED = (
@@ -162,7 +161,7 @@ def _scores(model, total: int, distinct: int):
                 size = len(cuts) - 1
                 owner = np.repeat(np.arange(size), np.diff(cuts))
                 distinct_words, place = np.unique(values, return_inverse=True)
-                single = expected_count(held.levels(distinct_words), 0.5)
+                single = expected_count(held.levels(distinct_words), 0.0)
                 one = (single + 1) / room
                 distinct_pairs, at = np.unique(bigrams(values, cuts), return_inverse=True)
                 pair = expected_count(held.levels(distinct_pairs), 0.0)[at]
@@ -214,12 +213,10 @@ def score_documents(documents: DataFrame, folds: int = 7, fold: int = 2) -> Data
         F.col("text").cast("string").alias("text"),
     )
     grams = rows.where("not held_out").select("text").mapInArrow(_gram_counts, "size tinyint, h bigint, n bigint")
-    counts = stored.table(
-        grams.groupBy("size", "h").agg(F.sum("n").alias("n")).where("size = 1 or n > 1"), "counts"
-    )
+    counts = stored.table(grams.groupBy("size", "h").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("size = 1")
     total, distinct = words.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    levels = counts.where("n > 1").select("h", F.floor(F.log2("n")).cast("int").alias("q"))
+    levels = counts.select("h", F.length(F.bin("n")).alias("q"))
     entries, kept = levels.select(F.coalesce(F.sum("q"), F.lit(0)), F.count(F.lit(1))).first()
     count = max(1, -(-kept // SEGMENT_ROWS))
     bits = min(float(BITS_AN_ENTRY), FILTER_BYTES * 8 / max(1, entries))

@@ -157,6 +157,28 @@ def test_scores_equal_brute_force(odd, none, monkeypatch):
     assert ngram.score_documents(none).count() == 0
 
 
+def test_scores_equal_a_model_of_quantised_counts(odd, monkeypatch):
+    monkeypatch.setattr(ngram, "BITS_AN_ENTRY", 400)  # so that no level is found by chance
+    fold = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None]
+    held = {r[0]: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows()}
+    trained = [fold(r[1]) for r in rows() if not held[r[0]]]
+    ones = collections.Counter(w for words in trained for w in words)
+    twos = collections.Counter(pair for words in trained for pair in zip([None, *words], words))
+    middle = lambda n: 1.5 * 2 ** (n.bit_length() - 1) - 0.5 if n else 0.0
+    room = sum(ones.values()) + len(ones) + 1
+    assert sum(n == 1 for n in twos.values()) > 1_000
+    got = {r["doc_id"]: r["score"] for r in ngram.score_documents(odd).collect()}
+    for doc_id, text, *_ in rows():
+        if doc_id is not None:
+            want, before = 0.0, None
+            for word in fold(text):
+                pair = middle(twos[before, word])
+                context = max(middle(ones[before]), pair)
+                chance = (pair + ngram.SMOOTHING * (middle(ones[word]) + 1) / room) / (context + ngram.SMOOTHING)
+                want, before = want + math.log10(min(chance, 1.0)), word
+            assert abs(got[doc_id] - want) < 1e-6 * max(1, abs(want)), doc_id
+
+
 def test_filter_returns_levels():
     h = np.random.default_rng(1).integers(0, 1 << 63, 5_000, dtype=np.uint64)
     q = np.arange(5_000) % 6
