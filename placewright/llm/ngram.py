@@ -5,8 +5,10 @@ the filter holds the pairs (n-gram, 1) to (n-gram, q) of every n-gram, those see
 again by probing levels until one is missing; level zero is an n-gram never seen. Scores are log10 probabilities under bigrams with Dirichlet smoothing over
 unigrams, a document boundary before the first and after the last word.
 
-The filter grows with the corpus up to ``FILTER_BYTES``; beyond that it gets fewer bits an entry, so more false
-levels, and stays a broadcast of proven size. It is built in segments of bounded size by hash of the n-gram.
+The filter grows with the corpus: bits an entry are fixed, so the chance of a false level is the same at every size. It is
+built in segments of bounded size by hash of the n-gram and never put together in one place. Documents are held in
+pieces of about ``PIECE_BYTES``; the different n-grams of a piece go to their segments by a shuffle, the levels found go back
+to the piece, in the order in which they were asked.
 
 The base score uses exact counts. The words of most counts (``FREQUENT`` of them at most, 16 bytes each) go to every
 worker; all other words of a document are joined with the table of counts.
@@ -23,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.llm.common import Stored, hashed_words, mixed, runs
 
-FILTER_BYTES = 64 << 20
+PIECE_BYTES = 1 << 20
 BITS_AN_ENTRY = 10
 PROBES = 3
 SEGMENT_ROWS = 500_000
@@ -37,6 +40,8 @@ COUNTED_TOKENS = 1_500_000
 FREQUENT = 1_000_000
 #: Weight of the unigrams in the smoothing of bigrams, in counts.
 SMOOTHING = 50.0
+#: Bytes of a hash that are sent to its segment.
+KEY_BYTES = 5
 #: Hash of the end of a document, which is also the context of its first word.
 END = np.uint64(0x0B5E55ED0DDBA115)
 
@@ -89,16 +94,36 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _counted(2, pairs)
 
 
-def _positions(h: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray | int) -> np.ndarray:
+def _segment(h: np.ndarray, count: int) -> np.ndarray:
+    return h.view(np.int64) % count
+
+
+def _key(h: np.ndarray) -> np.ndarray:
+    """What a segment knows of an n-gram: the upper ``KEY_BYTES`` of its hash, as the lower ones choose the segment."""
+    return h >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys, first all lowest bytes and so on up: the upper ones then hardly change and compress."""
+    return np.ascontiguousarray(keys).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(KEY_BYTES, -1).T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _positions(key: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        key = h + np.uint64(0xD6E8FEB86659FD93) * (np.asarray(level).astype(np.uint64) * np.uint64(8) + np.uint64(probe + 1))
+        key = key + np.uint64(0xD6E8FEB86659FD93) * (np.asarray(level).astype(np.uint64) * np.uint64(8) + np.uint64(probe + 1))
     return mixed(key) % np.asarray(size).astype(np.uint64)
 
 
 def _segments(bits_an_entry: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, ["seg"]):
-            h = part.column("h").to_numpy().astype(np.int64).view(np.uint64)
+            h = _key(part.column("h").to_numpy().astype(np.int64).view(np.uint64))
             q = part.column("q").to_numpy()
             size = max(64, int(q.sum() * bits_an_entry) // 8 * 8)
             bits = np.zeros(size, bool)
@@ -117,22 +142,25 @@ def _segments(bits_an_entry: float):
 class CountFilter:
     """Segments of the filter as one array, and the way to ask it."""
 
-    def __init__(self, segments: dict[int, bytes], count: int):
+    def __init__(self, segments: dict[int, bytes], count: int, greatest: int = 63):
         sizes = np.array([len(segments.get(s, b"")) for s in range(count)], np.int64)
         self.bits = np.frombuffer(b"".join(segments.get(s, b"") for s in range(count)), np.uint8)
         self.size, self.start = sizes * 8, np.cumsum(sizes * 8) - sizes * 8
+        self.greatest = greatest
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The highest level of each n-gram, by probing from one upwards until a miss."""
-        found = np.zeros(len(h), np.int64)
+        """The highest level of each n-gram, by probing from one upwards until a miss or the greatest stored level."""
+        return self.probed(_segment(h, len(self.size)), _key(h))
+
+    def probed(self, seg: np.ndarray, key: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(key), np.int64)
         if not len(self.bits):
             return found
-        seg = (h.view(np.int64) % len(self.size)).astype(np.int64)
         left = np.flatnonzero(self.size[seg] > 0)
         level = 1
-        while len(left):
+        while len(left) and level <= self.greatest:
             for probe in range(PROBES):
-                at = self.start[seg[left]] + _positions(h[left], level, probe, self.size[seg[left]]).astype(np.int64)
+                at = self.start[seg[left]] + _positions(key[left], level, probe, self.size[seg[left]]).astype(np.int64)
                 left = left[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
             found[left] = level
             level += 1
@@ -150,59 +178,151 @@ SCORED = (
 )
 
 
-def _scores(model, total: int, distinct: int):
-    """Scores of documents; words that are not among the frequent ones are handed on."""
+PIECES = "piece bigint, doc_id array<bigint>, held_out array<boolean>, text array<string>"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents put together up to about ``PIECE_BYTES``, and a longer one for itself."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        row = 0
+        while row < batch.num_rows:
+            before = ends[row - 1] if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+            cuts = pa.array([0, stop - row], pa.int32())
+            part = batch.slice(row, stop - row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.frombuffer(os.urandom(8), np.int64)),
+                    *(pa.ListArray.from_arrays(cuts, pa.concat_arrays([part.column(k)])) for k in ("doc_id", "held_out", "text")),
+                ],
+                ["piece", "doc_id", "held_out", "text"],
+            )
+            row = stop
+
+
+def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a piece, their bigrams, and where its documents begin and end."""
+    values, pairs, cuts = [], [], [np.zeros(1, np.int64)]
+    for _, found, ends in tokens(texts):
+        values.append(found)
+        pairs.append(bigrams(found, ends))
+        cuts.append(ends[1:] + cuts[-1][-1])
+    return np.concatenate(values), np.concatenate(pairs), np.concatenate(cuts)
+
+
+def _questions(grams: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which sorted n-grams of a piece are asked, and the segments in that order."""
+    seg = _segment(grams, count)
+    order = np.argsort(seg, kind="stable")
+    return order, seg[order]
+
+
+def _asked(count: int):
+    """What a piece asks of every segment: the keys of its different n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, frequent, counts = model.value
-        room = float(total + distinct + 1)
         for batch in batches:
-            for row, values, cuts in tokens(batch.column("text")):
-                size = len(cuts) - 1
-                owner = np.repeat(np.arange(size), np.diff(cuts))
-                distinct_words, place = np.unique(values, return_inverse=True)
-                single = expected_count(held.levels(distinct_words), 0.0)
-                one = (single + 1) / room
-                distinct_pairs, at = np.unique(bigrams(values, cuts), return_inverse=True)
-                pair = expected_count(held.levels(distinct_pairs), 0.0)[at]
-                context = np.empty(len(values), np.int64)
-                context[1:] = place[:-1]
-                end = np.searchsorted(distinct_words, END)
-                context[cuts[:-1]] = end
-                # a pair is never more frequent than its first word
-                before = np.maximum(single[context], pair)
-                chance = (pair + SMOOTHING * one[place]) / (before + SMOOTHING)
-                score = np.bincount(owner, np.log10(np.minimum(chance, 1.0)), minlength=size)
-                spot = np.minimum(np.searchsorted(frequent, distinct_words), max(len(frequent) - 1, 0))
-                sure = frequent[spot] == distinct_words if len(frequent) else np.zeros(len(distinct_words), bool)
-                exact = np.where(sure, counts[spot], 0) if len(frequent) else np.zeros(len(distinct_words))
-                # END is counted in training whenever anything is
-                logs = np.log10((exact + 1) / room)
-                mine = sure[place]
-                base = np.bincount(owner, np.where(mine, logs[place], 0.0), minlength=size)
-                known = np.bincount(owner, mine & (exact[place] > 0), minlength=size).astype(np.int64)
-                rest = np.flatnonzero(~mine)
-                order = rest[np.lexsort([values[rest], owner[rest]])]
-                fresh = np.append(True, (values[order][1:] != values[order][:-1]) | (owner[order][1:] != owner[order][:-1]))[: len(order)]
-                begin = np.flatnonzero(fresh)
-                n = np.diff(np.append(begin, len(order))).astype(np.int32)
-                listed = np.concatenate([[0], np.cumsum(np.bincount(owner[order[begin]], minlength=size))]).astype(np.int32)
-                rare = pa.ListArray.from_arrays(
-                    listed,
-                    pa.StructArray.from_arrays([pa.array(values[order[begin]].view(np.int64)), pa.array(n)], ["h", "n"]),
+            for k in range(batch.num_rows):
+                values, pairs, _ = _read(batch.column("text")[k].values)
+                grams = np.unique(np.concatenate([np.unique(values), pairs]))
+                order, seg = _questions(grams, count)
+                keys = _key(grams[order])
+                begin = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+                raw = [_packed(keys[a:b]) for a, b in zip(begin, np.append(begin[1:], len(seg)))]
+                piece = np.full(len(begin), batch.column("piece")[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seg[begin]), pa.array(piece), pa.array(raw, pa.binary())], ["seg", "piece", "keys"]
                 )
-                keys = np.frombuffer(os.urandom(8 * size), np.int64)
+
+    return run
+
+
+def _answered(greatest: int):
+    """Levels of the keys that pieces ask; the bits of a segment come before its questions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg, none = None, CountFilter({}, 1)
+        held = none
+        for batch in batches:
+            asked, answers = [], []
+            for k, at in enumerate(batch.column("seg").to_pylist()):
+                if at != seg:
+                    seg, held = at, none
+                if batch.column("piece")[k].as_py() is None:
+                    held = CountFilter({0: batch.column("bits")[k].as_py()}, 1, greatest)
+                    continue
+                keys = _unpacked(batch.column("keys")[k].as_py())
+                asked.append(k)
+                answers.append(held.probed(np.zeros(len(keys), np.int64), keys).astype(np.uint8).tobytes())
+            if asked:
+                rows = pa.array(asked)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys), batch.column("doc_id").slice(row, size), batch.column("held_out").slice(row, size),
-                        pa.array(np.diff(cuts).astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), rare,
-                    ],
-                    ["row_key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                    [batch.column("piece").take(rows), batch.column("seg").take(rows), pa.array(answers, pa.binary())],
+                    ["piece", "seg", "levels"],
                 )
 
     return run
 
 
+def _scores(model, count: int, total: int, distinct: int):
+    """Scores of documents; words that are not among the frequent ones are handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = model.value
+        room = float(total + distinct + 1)
+        for part in runs(batches, ["piece"]):
+            # the documents of a piece first, then its answers by segment
+            documents, answers = (part.column(k) for k in ("text", "levels"))
+            values, pairs, cuts = _read(documents[0].values)
+            grams = np.unique(np.concatenate([np.unique(values), pairs]))
+            order, _ = _questions(grams, count)
+            level = np.empty(len(grams), np.uint8)
+            level[order] = np.frombuffer(b"".join(answers[1:].to_pylist()), np.uint8)
+            size = len(cuts) - 1
+            owner = np.repeat(np.arange(size), np.diff(cuts))
+            distinct_words, place = np.unique(values, return_inverse=True)
+            single = expected_count(level[np.searchsorted(grams, distinct_words)].astype(np.int64), 0.0)
+            one = (single + 1) / room
+            pair = expected_count(level[np.searchsorted(grams, pairs)].astype(np.int64), 0.0)
+            context = np.empty(len(values), np.int64)
+            context[1:] = place[:-1]
+            end = np.searchsorted(distinct_words, END)
+            context[cuts[:-1]] = end
+            # a pair is never more frequent than its first word
+            before = np.maximum(single[context], pair)
+            chance = (pair + SMOOTHING * one[place]) / (before + SMOOTHING)
+            score = np.bincount(owner, np.log10(np.minimum(chance, 1.0)), minlength=size)
+            spot = np.minimum(np.searchsorted(frequent, distinct_words), max(len(frequent) - 1, 0))
+            sure = frequent[spot] == distinct_words if len(frequent) else np.zeros(len(distinct_words), bool)
+            exact = np.where(sure, counts[spot], 0) if len(frequent) else np.zeros(len(distinct_words))
+            # END is counted in training whenever anything is
+            logs = np.log10((exact + 1) / room)
+            mine = sure[place]
+            base = np.bincount(owner, np.where(mine, logs[place], 0.0), minlength=size)
+            known = np.bincount(owner, mine & (exact[place] > 0), minlength=size).astype(np.int64)
+            rest = np.flatnonzero(~mine)
+            order = rest[np.lexsort([values[rest], owner[rest]])]
+            fresh = np.append(True, (values[order][1:] != values[order][:-1]) | (owner[order][1:] != owner[order][:-1]))[: len(order)]
+            begin = np.flatnonzero(fresh)
+            n = np.diff(np.append(begin, len(order))).astype(np.int32)
+            listed = np.concatenate([[0], np.cumsum(np.bincount(owner[order[begin]], minlength=size))]).astype(np.int32)
+            rare = pa.ListArray.from_arrays(
+                listed,
+                pa.StructArray.from_arrays([pa.array(values[order[begin]].view(np.int64)), pa.array(n)], ["h", "n"]),
+            )
+            keys = np.frombuffer(os.urandom(8 * size), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys), part.column("doc_id")[0].values, part.column("held_out")[0].values,
+                    pa.array(np.diff(cuts).astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), rare,
+                ],
+                ["row_key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+            )
+
+    return run
+
+
 def score_documents(documents: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document."""
     spark = documents.sparkSession
@@ -217,23 +337,35 @@ def score_documents(documents: DataFrame, folds: int = 7, fold: int = 2) -> Data
     words = counts.where("size = 1")
     total, distinct = words.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     levels = counts.select("h", F.length(F.bin("n")).alias("q"))
-    entries, kept = levels.select(F.coalesce(F.sum("q"), F.lit(0)), F.count(F.lit(1))).first()
+    kept, greatest = levels.select(F.count(F.lit(1)), F.coalesce(F.max("q"), F.lit(0))).first()
     count = max(1, -(-kept // SEGMENT_ROWS))
-    bits = min(float(BITS_AN_ENTRY), FILTER_BYTES * 8 / max(1, entries))
     built = (
         levels.withColumn("seg", F.pmod("h", F.lit(count)))
         .repartition(count, "seg")
         .sortWithinPartitions("seg")
-        .mapInArrow(_segments(bits), "seg bigint, bits binary")
-        .collect()  # FILTER_BYTES at most, and 8 bytes a segment
+        .mapInArrow(_segments(BITS_AN_ENTRY), "seg bigint, bits binary")
+    )
+    pieces = stored.table(rows.mapInArrow(_pieces, PIECES), "pieces")
+    asked = pieces.select("piece", "text").mapInArrow(_asked(count), "seg bigint, piece bigint, keys binary")
+    answers = (
+        asked.unionByName(stored.table(built, "filter"), allowMissingColumns=True)
+        .repartition("seg")
+        .sortWithinPartitions("seg", F.col("piece").asc_nulls_first())
+        .mapInArrow(_answered(greatest), "piece bigint, seg bigint, levels binary")
     )
-    held = CountFilter({r["seg"]: bytes(r["bits"]) for r in built}, count)
     least = _least_frequent(words)
     top = words.where(F.col("n") >= least).select("h", "n").toArrow()  # FREQUENT rows at most
     h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    model = spark.sparkContext.broadcast((held, h[order], top.column("n").to_numpy()[order].astype(np.int64)))
-    scored = stored.table(rows.mapInArrow(_scores(model, total, distinct), SCORED), "scored")
+    model = spark.sparkContext.broadcast((h[order], top.column("n").to_numpy()[order].astype(np.int64)))
+    scored = stored.table(
+        pieces.withColumn("seg", F.lit(-1).cast("long"))
+        .unionByName(answers, allowMissingColumns=True)
+        .repartition("piece")
+        .sortWithinPartitions("piece", "seg")
+        .mapInArrow(_scores(model, count, total, distinct), SCORED),
+        "scored",
+    )
     rare = (
         scored.select("row_key", F.explode("rare").alias("r"))
         .select("row_key", F.col("r.h").alias("h"), F.col("r.n").alias("n"))

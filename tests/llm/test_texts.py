@@ -179,6 +179,24 @@ def test_scores_equal_a_model_of_quantised_counts(odd, monkeypatch):
             assert abs(got[doc_id] - want) < 1e-6 * max(1, abs(want)), doc_id
 
 
+def test_filter_has_the_same_bits_an_entry_at_every_size(odd, monkeypatch):
+    want = {r["doc_id"]: r["score"] for r in ngram.score_documents(odd).collect()}
+    monkeypatch.setattr(ngram, "FILTER_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(ngram, "PIECE_BYTES", 1 << 12, raising=False)
+    got = {r["doc_id"]: r["score"] for r in ngram.score_documents(odd).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-6 * max(1, abs(want[k])) for k in want)
+
+
+def test_probing_stops_at_the_greatest_level():
+    h = np.random.default_rng(2).integers(0, 1 << 63, 100, dtype=np.uint64)
+    assert (ngram.CountFilter({0: b"\xff" * 64}, 1, 5).levels(h) == 5).all()
+
+
+def test_keys_are_sent_whole():
+    keys = ngram._key(np.sort(np.random.default_rng(3).integers(0, 1 << 63, 1_000, dtype=np.uint64) * np.uint64(2)))
+    assert (ngram._unpacked(ngram._packed(keys)) == keys).all()
+
+
 def test_filter_returns_levels():
     h = np.random.default_rng(1).integers(0, 1 << 63, 5_000, dtype=np.uint64)
     q = np.arange(5_000) % 6
