@@ -4,8 +4,8 @@ A text is the list of its words (case kept), its shingles are all runs of five
 words, each labelled with its occurrence number. A sketch takes, for each of
 ``BANDS`` hash functions, the ``TAKEN`` shingles of least hash *in the order
 of the text*: two texts share a band if they share those shingles in that order. Candidate pairs are then
-aligned: common labelled shingles within a diagonal band, longest increasing
-run of them; the similarity is aligned / (all shingles of both - aligned), and
+aligned: the longest common subsequence of their shingles, occurrence numbers left
+out, so a passage that one text has twice and the other once meets its like wherever it stands; the similarity is aligned / (all shingles of both - aligned), and
 0.8 or more is a link. Groups are the connected components of links.
 
 Equal word lists are one class from the start, so copies are never paired.
@@ -54,13 +54,14 @@ _ADD = _RANDOM.integers(0, 1 << 32, SIGNATURE, dtype=np.uint64).astype(np.uint32
 SKETCH = "doc_id bigint, text_key binary, n_shingles int, bands array<bigint>, signature binary"
 
 
-def text_shingles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row number, word hashes and labelled shingles of every text that has a word."""
+def text_shingles(texts: pa.Array, labels: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row number, word hashes and shingles of every text that has a word, labelled or as they are."""
     for first, hashes, cuts, _, _ in hashed_words(texts):
         for k in range(len(cuts) - 1):
             words = hashes[cuts[k] : cuts[k + 1]]
             if len(words):
-                yield first + k, words, labelled(shingles(words, WIDTH))
+                found = shingles(words, WIDTH)
+                yield first + k, words, labelled(found) if labels else found
 
 
 def sketch(values: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -115,34 +116,77 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _common(one: np.ndarray, two: np.ndarray) -> int:
+    """Length of the longest common subsequence, a machine word of places at a time.
+
+    The time is the product of both lengths over the word size, however often a shingle is repeated.
+    """
+    places = np.argsort(two, kind="stable")
+    ranked = two[places]
+    begin, end = np.searchsorted(ranked, one, "left").tolist(), np.searchsorted(ranked, one, "right").tolist()
+    whole = (1 << len(two)) - 1
+    row = whole
+    bits = np.zeros(len(two) // 8 + 1, np.uint8)
+    often: dict[int, int] = {}
+    for a, b in zip(begin, end):
+        # masks are kept for at most 256 shingles: those of all would take the square of the length
+        if b - a == 1:
+            at = 1 << int(places[a])
+        elif a in often:
+            at = often[a]
+        else:
+            bits[:] = 0
+            spots = places[a:b]
+            np.bitwise_or.at(bits, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
+            at = int.from_bytes(bits.tobytes(), "little")
+            if 256 * (b - a) >= len(two):
+                often[a] = at
+        met = row & at
+        if met:
+            row = ((row + met) | (row - met)) & whole
+    return len(two) - row.bit_count()
+
+
 def similarity(one: np.ndarray, two: np.ndarray, at_least: float = SIMILAR) -> float:
-    """Similarity by banded alignment of labelled shingles; 0 if below ``at_least``.
+    """Similarity by alignment of shingles; 0 if below ``at_least``.
 
-    Aligned pairs of texts that reach ``at_least`` leave at most
-    ``(1 - s) / (1 + s)`` of all shingles unmatched, so no aligned shingle lies
-    further off the diagonal than that: the band loses nothing.
+    Where neither text repeats a shingle that both have, the alignment is the longest increasing run of
+    the places of one in the order of the other.
     """
     total = len(one) + len(two)
     needed = at_least * total / (1 + at_least) - 1e-9
     if min(len(one), len(two)) < needed:
         return 0.0
-    _, at_one, at_two = np.intersect1d(one, two, assume_unique=True, return_indices=True)
-    inside = np.abs(at_one - at_two) <= total * (1 - at_least) / (1 + at_least) + 1e-9
-    at_one, at_two = at_one[inside], at_two[inside]
-    if len(at_one) < needed:
+    # equal ends are part of some best alignment
+    short = min(len(one), len(two))
+    differs = np.flatnonzero(one[:short] != two[:short])
+    head = int(differs[0]) if len(differs) else short
+    one, two, short = one[head:], two[head:], short - head
+    differs = np.flatnonzero(one[len(one) - short :][::-1] != two[len(two) - short :][::-1])
+    tail = int(differs[0]) if len(differs) else short
+    one, two = one[: len(one) - tail], two[: len(two) - tail]
+    ends = head + tail
+    _, in_one, in_two = np.intersect1d(one, two, return_indices=True)
+    held_one, held_two = np.isin(one, one[in_one]), np.isin(two, two[in_two])
+    one, two = one[held_one], two[held_two]
+    if ends + min(len(one), len(two)) < needed:
         return 0.0
-    path = at_two[np.argsort(at_one)]
-    if len(path) > 1 and (np.diff(path) < 0).any():
-        tails: list[int] = []
-        for spot in path.tolist():
-            where = bisect.bisect_left(tails, spot)
-            if where == len(tails):
-                tails.append(spot)
-            else:
-                tails[where] = spot
-        aligned = len(tails)
+    if len(one) == len(in_one) and len(two) == len(in_two):
+        _, at_one, at_two = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+        path = at_two[np.argsort(at_one)]
+        if len(path) > 1 and (np.diff(path) < 0).any():
+            tails: list[int] = []
+            for spot in path.tolist():
+                where = bisect.bisect_left(tails, spot)
+                if where == len(tails):
+                    tails.append(spot)
+                else:
+                    tails[where] = spot
+            aligned = ends + len(tails)
+        else:
+            aligned = ends + len(path)
     else:
-        aligned = len(path)
+        aligned = ends + _common(one, two)
     found = aligned / (total - aligned)
     return found if found >= at_least - 1e-12 else 0.0
 
@@ -151,10 +195,10 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            ones = dict((row, values) for row, _, values in text_shingles(part.column("text_a")))
+            ones = dict((row, values) for row, _, values in text_shingles(part.column("text_a"), labels=False))
             found = [
                 (row, similarity(ones[row], values))
-                for row, _, values in text_shingles(part.column("text_b"))
+                for row, _, values in text_shingles(part.column("text_b"), labels=False)
             ]
             links = [(row, value) for row, value in found if value]
             if links:
@@ -209,7 +253,9 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a cell that join components; at most one less than it has rows."""
     for cell in runs(batches, ["bucket", "i", "j"]):
-        values = [found for _, _, found in text_shingles(cell.column("text").combine_chunks())]
+        plain = [found for _, _, found in text_shingles(cell.column("text").combine_chunks(), labels=False)]
+        # shared labelled shingles count what can be aligned at most
+        values = [labelled(found) for found in plain]
         count = np.array([len(v) for v in values])
         starts = np.cumsum(count) - count
         _, number = np.unique(np.concatenate(values), return_inverse=True)
@@ -234,7 +280,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = near[shared >= SIMILAR * (count[near] + count[k]) / (1 + SIMILAR) - 1e-9]
             for other in near.tolist():
                 one, two = top(roots[k]), top(roots[other])
-                if one != two and similarity(values[k], values[other]):
+                if one != two and similarity(plain[k], plain[other]):
                     parent[max(one, two)] = min(one, two)
                     links.append((min(names[k], names[other]), max(names[k], names[other])))
         if links:

@@ -81,6 +81,32 @@ def test_alignment_is_by_order():
     assert abs(near_dup.similarity(one, moved) - 95 / 105) < 1e-9
 
 
+def test_a_repeated_passage_meets_its_like(spark):
+    p, q = prose(501, 14), prose(502, 80)
+    texts = [(1, f"{p} {q} {p}"), (2, f"{q} {p}"), (3, prose(503, 94))]
+    one, two = (v for _, _, v in near_dup.text_shingles(pa.array([t for _, t in texts[:2]]), labels=False))
+    assert abs(near_dup.similarity(one, two) - 90 / 104) < 1e-9
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["group_id"] for r in near_dup.near_duplicates(frame).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_alignment_equals_a_table_of_all_prefixes():
+    draw = np.random.default_rng(8)
+    for _ in range(200):
+        one = draw.integers(0, int(draw.integers(2, 30)), int(draw.integers(1, 40))).astype(np.uint64)
+        two = np.delete(one, draw.integers(0, len(one), 3)) if len(one) > 6 else one[::-1]
+        row = [0] * (len(two) + 1)
+        for x in one.tolist():
+            above, row = row, [0]
+            for k, y in enumerate(two.tolist()):
+                row.append(above[k] + 1 if x == y else max(above[k + 1], row[k]))
+        want = row[-1] / (len(one) + len(two) - row[-1])
+        got = near_dup.similarity(one, two, 0.1)
+        assert abs(got - (want if want >= 0.1 else 0.0)) < 1e-9
+    many = np.zeros(20_000, np.uint64)
+    assert near_dup.similarity(np.append(many, [1, 2]), np.append([3], many)) > 0.99
+
+
 def test_near_copies_of_odd_rows(odd, none):
     got = collections.defaultdict(list)
     for r in near_dup.near_duplicates(odd).collect():
