@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placewright.llm import bpe, cascade, main_text, mixing, near_dup, ngram, quality, secret_scan, vectors, warc
+from placewright.llm import (
+    bpe,
+    cascade,
+    conversations,
+    main_text,
+    mixing,
+    near_dup,
+    ngram,
+    quality,
+    secret_scan,
+    spelling,
+    suffix_dedup,
+    vectors,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +76,18 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_byte_bpe": byte_pairs,
     "op2_order_minhash": near_duplicates,
@@ -73,6 +99,9 @@ QUERIES = {
     "op8_rule_cascade": rule_cascade,
     "op9_log_frequency_bloom": ngram_scores,
     "op10_projection_passes": projection_passes,
+    "op11_trie_frontier": spelling_variants,
+    "op12_two_stage_suffixes": repeated_strings,
+    "op13_block_tables": repaired_conversations,
 }
 
 #: The other operators have no SQL form; they are tested against brute force in tests/llm.
