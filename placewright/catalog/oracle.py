@@ -733,6 +733,13 @@ SELECT job_id, description FROM texts WHERE job_id NOT IN (SELECT job_id FROM ve
     "texts",
     "vectors",
 )
+oracle(
+    "pending_by_sketch",
+    """
+SELECT job_id, description FROM texts WHERE job_id NOT IN (SELECT job_id FROM vectors)""",
+    "texts",
+    "vectors",
+)
 oracle(
     "processing_state",
     """
@@ -1210,6 +1217,14 @@ UNION ALL SELECT *, 0 FROM metadata WHERE job_id NOT IN (SELECT job_id FROM flat
     "flat",
     "metadata",
 )
+oracle(
+    "bucketed_upsert",
+    """
+SELECT *, 1 AS seq FROM flat
+UNION ALL SELECT *, 0 FROM metadata WHERE job_id NOT IN (SELECT job_id FROM flat)""",
+    "flat",
+    "metadata",
+)
 oracle(
     "rebuild_metadata",
     "SELECT *, has_experience OR has_education OR has_relocation AS has_metadata FROM rebuilt",
@@ -1278,6 +1293,30 @@ UNION ALL SELECT * FROM ruled WHERE job_id NOT IN (SELECT job_id FROM metadata)"
     "metadata",
     "ruled",
 )
+oracle(
+    "extract_batch_model",
+    """
+SELECT job_id, batch, CASE n % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 2 ELSE 3 END AS attempts,
+  CASE WHEN n % 5 = 3 THEN 'failed' ELSE 'processed' END AS outcome,
+  CASE WHEN n % 5 = 3 THEN 'reply: not an object' END AS reason,
+  CASE WHEN n % 5 IN (0, 1, 4) THEN n % 9 END AS min_experience_years,
+  CASE WHEN n % 5 IN (0, 1, 4) THEN 'stated' END AS experience_requirement_text,
+  CASE WHEN n % 5 = 2 THEN 'remote' END AS work_mode,
+  CASE WHEN n % 5 = 2 THEN 'said' END AS relocation_evidence
+FROM (SELECT job_id, length(description) AS n FROM texts
+  WHERE description <> '' AND job_id NOT IN (SELECT job_id FROM metadata)) pending,
+  (VALUES (1), (2)) AS batches(batch) WHERE batch = 1 OR n % 5 = 3""",
+    "texts",
+    "metadata",
+)
+oracle(
+    "extraction_ledger",
+    """
+SELECT job_id, 'processed' AS outcome, CAST(NULL AS VARCHAR) AS reason, 1 AS batch_id
+FROM ruled WHERE job_id NOT IN (SELECT job_id FROM metadata)""",
+    "ruled",
+    "metadata",
+)
 oracle(
     "evidence_grounding",
     """

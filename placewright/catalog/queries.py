@@ -43,14 +43,17 @@ from placewright.operators import (
     review,
     similarity,
 )
+from placewright.plans import rounds
 from placewright.plans.ingest import run_embed_batch, run_extract_batch
 from placewright.plans.match import match_resumes, search_width
 from placewright.session import shared_folder
 from placewright.sources import payloads, resumes, tables
+from placewright.sources.buckets import BucketTable
 from placewright.streaming.incremental import (
     current_status,
     incremental_ingest,
     incremental_status,
+    posting_table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +121,17 @@ def upsert_metadata(v: Views) -> DataFrame:
     return ingest.upsert(old, new)
 
 
+@query
+def bucketed_upsert(v: Views) -> DataFrame:
+    """The same upsert on a bucket table: only buckets of arriving keys are rewritten."""
+    stored = BucketTable(v.spark, shared_folder(v.spark, "metadata"), f"{schemas.METADATA}, seq INT")
+    stored.append(v.metadata.withColumn("seq", F.lit(0)), 0)
+    valid = enrich.validate_replies(v.replies).where("metadata IS NOT NULL")
+    new = enrich.flatten_metadata(valid).withColumn("seq", F.lit(1))
+    stored.merge(new, 1, lambda rows: ingest.latest_rows(rows, ["job_id"], [F.col("seq").desc()]))
+    return stored.read()
+
+
 @query
 def exclude_titles(v: Views) -> DataFrame:
     kept = ingest.exclude_titles(v.postings, TITLE_PATTERNS).kept
@@ -211,9 +225,8 @@ for _rule in ("experience", "degree", "language", "skills", "location", "visa"):
 
 
 def _pairs_with_facts(v: Views) -> DataFrame:
-    """Narrow facts first, posting texts last."""
-    pairs = v.pairs.select("candidate_id", "job_id").join(v.people, "candidate_id")
-    return keyed.hydrate(compat.with_metadata(pairs, v.metadata), v.postings)
+    pairs = v.pairs.select("candidate_id", "job_id")
+    return compat.pairs_with_facts(pairs, v.people, v.postings, v.metadata)
 
 
 @query
@@ -295,6 +308,16 @@ def pending_embed(v: Views) -> DataFrame:
     return keyed.pending(v.texts.select("job_id", "description"), v.vectors)
 
 
+@query
+def pending_by_sketch(v: Views) -> DataFrame:
+    """Pending texts, known keys asked of the key sketches of a bucket table in two batches."""
+    stored = BucketTable(v.spark, shared_folder(v.spark, "vectors"), schemas.VECTORS)
+    odd = F.pmod(F.xxhash64("job_id"), F.lit(2)) == 1
+    stored.append(v.vectors.where(odd), 0)
+    stored.append(v.vectors.where(~odd), 1)
+    return stored.missing(v.texts.select("job_id", "description"))
+
+
 @query
 def processing_state(v: Views) -> DataFrame:
     ids = v.table("part").select(F.col("p_partkey").cast("string").alias("job_id"))
@@ -565,6 +588,29 @@ def extract_batch(v: Views) -> DataFrame:
     return stored.select(*schemas.METADATA_COLUMNS)
 
 
+@query
+def extract_batch_model(v: Views) -> DataFrame:
+    """Two batches of a model that errs: every entry of the ledger, with what was stored in the end."""
+    folder = shared_folder(v.spark, "model")
+    stored = BucketTable(v.spark, f"{folder}/metadata", schemas.METADATA)
+    ledger = BucketTable(v.spark, f"{folder}/ledger", rounds.LEDGER)
+    stored.append(v.metadata, 0)
+    for batch_id in (1, 2):
+        done = rounds.run_model_batch(v.texts, stored, ledger, batch_id, stubs.erring_model, template=stubs.PROMPT)
+    facts = done.metadata.select("job_id", "min_experience_years", "experience_requirement_text", "work_mode", "relocation_evidence")
+    return done.ledger.join(facts, "job_id", "left")
+
+
+@query
+def extraction_ledger(v: Views) -> DataFrame:
+    """Outcomes that extraction by rules leaves behind, an idle batch included."""
+    folder = shared_folder(v.spark, "ledger")
+    tables.write_batch(v.metadata, f"{folder}/metadata", 0)
+    for batch_id in (1, 2):
+        run_extract_batch(v.spark, v.ads, f"{folder}/metadata", batch_id, outcomes=f"{folder}/outcomes")
+    return tables.read_table(v.spark, f"{folder}/outcomes", "job_id STRING, outcome STRING, reason STRING")
+
+
 @query
 def extract_experience(v: Views) -> DataFrame:
     e = F.col("metadata.experience_requirement")
@@ -707,8 +753,8 @@ def incremental_ingest_query(v: Views) -> DataFrame:
             schema,
             [F.col("title")],
         )
-    stored = tables.read_table(v.spark, f"{folder}/postings", schema)
-    return stored.select("job_id", "title", "company", "description")
+    stored = posting_table(v.spark, f"{folder}/postings", schema)
+    return stored.read()
 
 
 @named("incremental_status")

@@ -55,3 +55,30 @@ def judge():
         return False, [f"version {version} claims too much"]
 
     return review
+
+
+def erring_model():
+    """Replies by text length: valid, corrected after one or two errors, after a failed call, or never valid."""
+    years = '{"experience_requirement":{"min_years_experience":%s,"experience_requirement_evidence":"stated"}}'
+    move = (
+        '{"relocation_requirement":{"visa_sponsorship_available":null,"relocation_assistance_provided":null,'
+        '"work_mode":"%s","relocation_evidence":"said"}}'
+    )
+
+    def answer(prompt: str) -> str:
+        text, *notes = prompt.split(_NOTE_START)
+        length, told = len(text) - len("Posting:\n"), "".join(notes)
+        kind = length % 5
+        if kind == 1 and "min_years_experience: invalid" not in told:
+            return years % '"many"'
+        if kind == 2 and "work_mode: invalid" not in told:
+            return move % "beach" if "not JSON" in told else "no idea"
+        if kind == 2:
+            return move % "remote"
+        if kind == 3:
+            return "[]"
+        if kind == 4 and "line is busy" not in told:
+            raise RuntimeError("line is busy")
+        return years % (length % 9)
+
+    return answer

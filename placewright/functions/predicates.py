@@ -82,12 +82,15 @@ def visa_ok(visa_available: Column, needs_visa: Column) -> Column:
 RULES = ("experience", "degree", "language", "skills", "location", "visa")
 
 
-def compatibility(prefs: Mapping[str, Column] | None = None) -> dict[str, Column]:
+def compatibility(
+    prefs: Mapping[str, Column] | None = None, skills: Column | None = None
+) -> dict[str, Column]:
     """All rules over the standard column names.
 
     ``prefs`` overrides the preference columns (``experience_years``,
     ``must_have_skills``, ``preferred_locations``, ``open_to_relocation``,
-    ``requires_visa_sponsorship``), for example with literals.
+    ``requires_visa_sponsorship``), for example with literals. With ``skills``
+    the skill rule is that column, so that no text is needed.
     """
     prefs = dict(prefs or {})
 
@@ -100,7 +103,9 @@ def compatibility(prefs: Mapping[str, Column] | None = None) -> dict[str, Column
         ),
         "degree": degree_ok(F.col("requires_advanced_degree")),
         "language": language_ok(F.col("requires_only_english")),
-        "skills": skills_ok(F.col("description"), pref("must_have_skills")),
+        "skills": skills_ok(F.col("description"), pref("must_have_skills"))
+        if skills is None
+        else skills,
         "location": location_ok(
             F.col("location"),
             F.col("country"),

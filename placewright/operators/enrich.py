@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +30,17 @@ def cut_sentences(postings: DataFrame) -> DataFrame:
     )
 
 
-def validate_replies(replies: DataFrame) -> DataFrame:
-    """``job_id, reply`` -> ``job_id, metadata, errors``; metadata is NULL when
-    any rule is broken."""
+def validate_replies(replies: DataFrame, keep: Sequence[str] = ("job_id",)) -> DataFrame:
+    """``reply`` and the ``keep`` columns -> those, ``metadata, errors``; metadata
+    is NULL when any rule is broken."""
     bare = F.try_parse_json(strip_fences(F.col("reply")))
-    parsed = computed_once(replies, "root", bare).select("job_id", "root")
+    parsed = computed_once(replies, "root", bare).select(*keep, "root")
     looked_up = computed_once(parsed, "probe", validation.probes(F.col("root")))
     checked = computed_once(
-        looked_up.select("job_id", "probe"), "errors", validation.errors(F.col("probe"))
+        looked_up.select(*keep, "probe"), "errors", validation.errors(F.col("probe"))
     )
     return checked.select(
-        "job_id",
+        *keep,
         F.when(F.size("errors") == 0, validation.read(F.col("probe"))).alias("metadata"),
         "errors",
     )

@@ -8,7 +8,7 @@ at most once, not once per hit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POSTING_READ = (
@@ -35,6 +35,38 @@ METADATA_READ = (
 )
 
 
+#: Bits of the map that tells which rows can be wanted: 8 MB, whatever the input.
+WANTED_BITS = 1 << 26
+
+
+def reduced(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted`` (one column).
+
+    A bit map of hashed keys is held by every task, so other rows end where they are
+    read. A few pass by chance: the caller's join on the key tells.
+    """
+    name = wanted.columns[0]
+
+    def place(column: str) -> tuple[Column, Column]:
+        spot = F.pmod(F.xxhash64(column), F.lit(WANTED_BITS)) + 1
+        return F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)
+
+    bucket, position = place(name)
+    maps = (
+        wanted.where(F.col(name).isNotNull())
+        .select(bucket.alias("__bucket"), position.alias("__position"))
+        .groupBy("__bucket")
+        .agg(F.bitmap_construct_agg("__position").alias("__bits"))
+    )
+    bucket, position = place(key)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # the map has WANTED_BITS at most
+    joined = rows.join(F.broadcast(maps), bucket == F.col("__bucket"))
+    return joined.where(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(
+        *(rows[c] for c in rows.columns)
+    )
+
+
 def hydrate(hits: DataFrame, postings: DataFrame) -> DataFrame:
     """Posting columns for every hit; hits without a posting vanish."""
     wanted = [c for c in POSTING_READ if c in postings.columns]

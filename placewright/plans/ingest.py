@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placewright import schemas
 from placewright.operators.enrich import (
@@ -23,7 +24,7 @@ from placewright.operators.ingest import (
 )
 from placewright.operators.keyed import pending
 from placewright.sources.payloads import parse_posting_details
-from placewright.sources.tables import read_table, write_batch
+from placewright.sources.tables import materialized, read_table, write_batch
 
 
 class Loaded(NamedTuple):
@@ -65,14 +66,26 @@ def run_extract_batch(
     table: str,
     batch_id: int,
     extract: Extractor = extract_requirements,
+    outcomes: str | None = None,
 ) -> DataFrame:
     """Extract what the metadata table lacks, append it, return the table.
 
     A batch that is repeated replaces itself; a further batch finds nothing
-    left to do but the failures.
+    left to do but the failures. With ``outcomes`` that table keeps what became
+    of each attempted posting: ``job_id, outcome, reason``.
     """
     stored = read_table(spark, table, schemas.METADATA, before_batch=batch_id)
-    fresh, _ = extract_pending(postings, stored, extract)
+    if outcomes is None:
+        fresh, _ = extract_pending(postings, stored, extract)
+    else:
+        # read for the rows and for the outcomes; an extractor may be costly
+        attempts = materialized(extract(pending(postings, stored)), "attempts")
+        ok = F.col("metadata").isNotNull()
+        told = attempts.select(
+            "job_id", F.when(ok, "processed").otherwise("failed").alias("outcome"), F.when(~ok, F.col("error")).alias("reason")
+        )
+        write_batch(told, outcomes, batch_id)
+        fresh = flatten_metadata(attempts.where(ok))
     write_batch(fresh, table, batch_id)
     return read_table(spark, table, schemas.METADATA).drop("batch_id")
 

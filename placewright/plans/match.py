@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions.metadata import bad_work_mode, rebuild
-from placewright.operators.compatibility import compatible_jobs, with_metadata
-from placewright.operators.keyed import hydrate, metadata_lookup
+from placewright.operators.compatibility import compatible_jobs, pairs_with_facts, with_metadata
+from placewright.operators.keyed import POSTING_READ, metadata_lookup, reduced
 from placewright.operators.similarity import topk_similar
+from placewright.schemas import METADATA_COLUMNS
 from placewright.sources.tables import materialized
 
 PROFILE = (
@@ -56,22 +57,26 @@ def rank_hits(
 ) -> DataFrame:
     """Hydrate, filter and re-rank the hits of a similarity search.
 
-    Requirement rows and profiles are joined to the narrow hits first; the
-    wide posting columns come last, by sending the hits to the postings.
+    Hits are judged and ranked without texts: requirement rows, profiles and the
+    skills found where the postings lie are joined to the narrow hits. Texts are fetched
+    last, for the ranked rows only, from postings cut down by a map of their keys.
     """
     found = hits.select("candidate_id", "job_id", "score")
-    facts = with_metadata(found, metadata_lookup(found, metadata))
+    wanted = metadata_lookup(found, metadata)
     if apply_metadata_filtering:
-        facts = facts.join(candidates.select("candidate_id", *PROFILE), "candidate_id")
-    jobs = hydrate(facts, postings)
-    if apply_metadata_filtering:
-        jobs = compatible_jobs(jobs)
+        people = candidates.select("candidate_id", *PROFILE)
+        jobs = compatible_jobs(pairs_with_facts(found, people, postings, wanted))
+    else:
+        ids = reduced(postings.select("job_id"), "job_id", found.select("job_id"))
+        jobs = with_metadata(found, wanted).join(ids, "job_id")
     window = Window.partitionBy("candidate_id").orderBy(
         F.col("score").desc(), F.col("job_id").asc()
     )
-    ranked = jobs.withColumn("rank", F.row_number().over(window)).where(
-        F.col("rank") <= top_k
-    )
+    best = jobs.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top_k)
+    # read for its keys and for its rows
+    best = materialized(best.select("candidate_id", "rank", "score", *METADATA_COLUMNS), "best")
+    texts = reduced(postings.select(*POSTING_READ), "job_id", best.select("job_id"))
+    ranked = best.join(texts, "job_id")
     return ranked.select(
         "candidate_id",
         "rank",

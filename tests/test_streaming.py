@@ -5,6 +5,7 @@ from placewright.streaming.incremental import (
     current_status,
     incremental_ingest,
     incremental_status,
+    posting_table,
 )
 
 POSTING = "job_id STRING, title STRING, company STRING, description STRING"
@@ -24,7 +25,7 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
             stream, f"{tmp_path}/postings", f"{tmp_path}/rejects", f"{tmp_path}/progress",
             POSTING, [F.col("title")],
         )
-        rows = read_table(spark, f"{tmp_path}/postings", POSTING).collect()
+        rows = posting_table(spark, f"{tmp_path}/postings", POSTING).read().collect()
         return sorted((r.job_id, r.title) for r in rows)
 
     land(spark, landed, [("1", "b", "c", "d"), ("1", "a", "c", "d"), ("2", "x", None, "d")], POSTING)
