@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -40,6 +41,14 @@ class Stored:
         return self.spark.read.schema(rows.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker is used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

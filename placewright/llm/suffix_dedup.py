@@ -30,20 +30,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import Stored, in_map, key_map, mixed, ragged, range_hashes
+from placewright.llm.common import Stored, in_map, key_map, mixed, ragged, range_hashes, release_memory
 
 WINDOW = 100
 GRAM = 32
 #: Grams of a window.
 SPAN = WINDOW - GRAM + 1
-SLICE = 1 << 20
+SLICE = 256 << 10
 #: Keys that a task counts together.
 COUNTED = 400_000
 #: Bits of the map of repeated keys: 32 a key, within these bounds (128 MB at most).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 #: Pieces of a key that go to one task, and bytes sorted together.
 WIDE = 4_096
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 _LETTER = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _OTHER = np.random.default_rng(12).permutation(256).astype(np.uint8)
 _BASE = 0xD1342543DE82EF95
@@ -129,6 +129,7 @@ def _joined(held: list, rows: list, shifts: list) -> tuple:
 
 
 def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_memory()
     held, size = [], 0
 
     def counted() -> pa.RecordBatch:
@@ -173,6 +174,7 @@ def _wanted(held: Broadcast, bits: int):
     """The pieces whose key is in the map, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             doc, row_key = (batch.column(k).to_numpy() for k in ("doc", "row_key"))
             for data, starts, lengths, rows, shifts in _slices(batch.column("text")):
@@ -403,6 +405,7 @@ def _compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, part), put together into blocks that end with a group."""
+    release_memory()
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -471,6 +474,7 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of texts without their spans."""
+    release_memory()
     for batch in batches:
         rows = []
         for text, spans in zip(batch.column("text"), batch.column("spans")):
