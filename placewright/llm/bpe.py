@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewright.llm.common import extended, ragged, range_hashes
+from placewright.llm.common import extended, ragged, range_hashes, release_memory
 
 #: Bytes of text per block, and distinct pieces a task keeps (memory only).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 KEPT_PIECES = 400_000
 
 # Letters and numbers that Unicode 16 added, for a Python whose tables are older.
@@ -262,11 +262,10 @@ class Encoder:
             tokens, counts = self.merges.replay(ragged(data, starts[take], lengths[take]), lengths[take])
             begin = len(self.tokens) + np.cumsum(counts) - counts
             self.tokens = np.concatenate([self.tokens, tokens.astype(np.int32)])
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known)
-            self.known = known[order]
-            self.starts = np.concatenate([self.starts, begin])[order]
-            self.lengths = np.concatenate([self.lengths, counts])[order]
+            at = np.searchsorted(self.known, distinct[new])
+            self.known = np.insert(self.known, at, distinct[new])
+            self.starts = np.insert(self.starts, at, begin)
+            self.lengths = np.insert(self.lengths, at, counts)
             spot = np.searchsorted(self.known, distinct)
         spot = spot[place]
         counts = self.lengths[spot]
@@ -356,6 +355,7 @@ def round_trip(documents: DataFrame, rank_file: bytes, keep: list[str], with_ids
     fields = extended(rows.select(*keep).schema, ", ".join(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         coder = Encoder(merges_of(ranks.value))
         token = coder.merges.tokens.__getitem__
         for batch in batches:
