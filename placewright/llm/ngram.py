@@ -1,17 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Unigram and bigram counts of the training documents are quantised to ``q = 1 + floor(log2 count)``;
-the filter holds the pairs (n-gram, 1) to (n-gram, q) of every n-gram, those seen once as well. A worker finds a count
-again by probing levels until one is missing; level zero is an n-gram never seen. Scores are log10 probabilities under bigrams with Dirichlet smoothing over
+Bigram counts of the training documents are quantised to ``q = 1 + floor(log2 count)``; the filter holds the pairs
+(bigram, 1) to (bigram, q) of every bigram, those seen once as well. A worker finds a count again by probing levels until one is
+missing; level zero is a bigram never seen. A level stands for its least count, so a pair is never held to be more frequent than its
+first word. Scores are log10 probabilities under bigrams with Dirichlet smoothing over
 unigrams, a document boundary before the first and after the last word.
 
 The filter grows with the corpus: bits an entry are fixed, so the chance of a false level is the same at every size. It is
-built in segments of bounded size by hash of the n-gram and never put together in one place. Documents are held in
-pieces of about ``PIECE_BYTES``; the different n-grams of a piece go to their segments by a shuffle, the levels found go back
-to the piece, in the order in which they were asked.
+built in segments by hash of the bigram. ``FILTER_BYTES`` of segments at a time are broadcast; each such pass reads the texts where they lie and
+scores the tokens whose bigram belongs to these segments. The logarithm of a smoothed probability is a term of the pair and its second word less one of the
+first word, so every token's share is known in one pass, and only sums by row leave a task. A corpus whose filter fits takes one pass.
 
-The base score uses exact counts. The words of most counts (``FREQUENT`` of them at most, 16 bytes each) go to every
-worker; all other words of a document are joined with the table of counts.
+Unigram counts are exact. The words of most counts (``FREQUENT`` of them at most, 16 bytes each) go to every
+worker; the terms of all other words are joined with the table of counts, for the base score and the model alike.
 
 Words are runs of anything but blanks, tabs and line separators, A-Z as a-z, known by 64-bit
 hashes. A null text is an empty one: its only token is the end. Documents without an id train and are not held out.
@@ -20,18 +21,17 @@ Repeated rows each give a row and each count in training. An empty training set
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placewright.llm.common import Stored, hashed_words, mixed, runs
 
-PIECE_BYTES = 1 << 20
+#: Bytes of the filter that a worker holds at a time.
+FILTER_BYTES = 64 << 20
 BITS_AN_ENTRY = 10
 PROBES = 3
 SEGMENT_ROWS = 500_000
@@ -40,8 +40,6 @@ COUNTED_TOKENS = 1_500_000
 FREQUENT = 1_000_000
 #: Weight of the unigrams in the smoothing of bigrams, in counts.
 SMOOTHING = 50.0
-#: Bytes of a hash that are sent to its segment.
-KEY_BYTES = 5
 #: Hash of the end of a document, which is also the context of its first word.
 END = np.uint64(0x0B5E55ED0DDBA115)
 
@@ -98,22 +96,6 @@ def _segment(h: np.ndarray, count: int) -> np.ndarray:
     return h.view(np.int64) % count
 
 
-def _key(h: np.ndarray) -> np.ndarray:
-    """What a segment knows of an n-gram: the upper ``KEY_BYTES`` of its hash, as the lower ones choose the segment."""
-    return h >> np.uint64(64 - 8 * KEY_BYTES)
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys, first all lowest bytes and so on up: the upper ones then hardly change and compress."""
-    return np.ascontiguousarray(keys).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T.tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(KEY_BYTES, -1).T
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 def _positions(key: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
         key = key + np.uint64(0xD6E8FEB86659FD93) * (np.asarray(level).astype(np.uint64) * np.uint64(8) + np.uint64(probe + 1))
@@ -123,7 +105,7 @@ def _positions(key: np.ndarray, level: np.ndarray | int, probe: int, size: np.nd
 def _segments(bits_an_entry: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, ["seg"]):
-            h = _key(part.column("h").to_numpy().astype(np.int64).view(np.uint64))
+            h = part.column("h").to_numpy().astype(np.int64).view(np.uint64)
             q = part.column("q").to_numpy()
             size = max(64, int(q.sum() * bits_an_entry) // 8 * 8)
             bits = np.zeros(size, bool)
@@ -142,15 +124,17 @@ def _segments(bits_an_entry: float):
 class CountFilter:
     """Segments of the filter as one array, and the way to ask it."""
 
-    def __init__(self, segments: dict[int, bytes], count: int, greatest: int = 63):
-        sizes = np.array([len(segments.get(s, b"")) for s in range(count)], np.int64)
-        self.bits = np.frombuffer(b"".join(segments.get(s, b"") for s in range(count)), np.uint8)
+    def __init__(self, segments: dict[int, bytes], count: int, greatest: int = 63, first: int = 0):
+        held = sorted(segments)
+        sizes = np.zeros(count, np.int64)
+        sizes[np.array(held, np.int64) - first] = [len(segments[s]) for s in held]
+        self.bits = np.frombuffer(b"".join(segments[s] for s in held), np.uint8)
         self.size, self.start = sizes * 8, np.cumsum(sizes * 8) - sizes * 8
         self.greatest = greatest
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The highest level of each n-gram, by probing from one upwards until a miss or the greatest stored level."""
-        return self.probed(_segment(h, len(self.size)), _key(h))
+        return self.probed(_segment(h, len(self.size)), h)
 
     def probed(self, seg: np.ndarray, key: np.ndarray) -> np.ndarray:
         found = np.zeros(len(key), np.int64)
@@ -167,162 +151,74 @@ class CountFilter:
         return found
 
 
-def expected_count(levels: np.ndarray, none: float) -> np.ndarray:
-    """Middle of the counts of a level, one for level one; ``none`` for level zero."""
-    return np.where(levels > 0, 1.5 * np.exp2(levels - 1.0) - 0.5, none)
+def least_count(levels: np.ndarray) -> np.ndarray:
+    """The least count of a level; zero for level zero."""
+    return np.where(levels > 0, np.exp2(levels - 1.0), 0.0)
 
 
 SCORED = (
     "row_key bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, "
-    "score double, rare array<struct<h:bigint,n:int>>"
+    "score double, rare array<struct<h:bigint,level:tinyint,n:int>>"
 )
 
 
-PIECES = "piece bigint, doc_id array<bigint>, held_out array<boolean>, text array<string>"
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents put together up to about ``PIECE_BYTES``, and a longer one for itself."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
-        row = 0
-        while row < batch.num_rows:
-            before = ends[row - 1] if row else 0
-            stop = max(row + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
-            cuts = pa.array([0, stop - row], pa.int32())
-            part = batch.slice(row, stop - row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.frombuffer(os.urandom(8), np.int64)),
-                    *(pa.ListArray.from_arrays(cuts, pa.concat_arrays([part.column(k)])) for k in ("doc_id", "held_out", "text")),
-                ],
-                ["piece", "doc_id", "held_out", "text"],
-            )
-            row = stop
-
-
-def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a piece, their bigrams, and where its documents begin and end."""
-    values, pairs, cuts = [], [], [np.zeros(1, np.int64)]
-    for _, found, ends in tokens(texts):
-        values.append(found)
-        pairs.append(bigrams(found, ends))
-        cuts.append(ends[1:] + cuts[-1][-1])
-    return np.concatenate(values), np.concatenate(pairs), np.concatenate(cuts)
-
-
-def _questions(grams: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which sorted n-grams of a piece are asked, and the segments in that order."""
-    seg = _segment(grams, count)
-    order = np.argsort(seg, kind="stable")
-    return order, seg[order]
-
-
-def _asked(count: int):
-    """What a piece asks of every segment: the keys of its different n-grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                values, pairs, _ = _read(batch.column("text")[k].values)
-                grams = np.unique(np.concatenate([np.unique(values), pairs]))
-                order, seg = _questions(grams, count)
-                keys = _key(grams[order])
-                begin = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-                raw = [_packed(keys[a:b]) for a, b in zip(begin, np.append(begin[1:], len(seg)))]
-                piece = np.full(len(begin), batch.column("piece")[k].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seg[begin]), pa.array(piece), pa.array(raw, pa.binary())], ["seg", "piece", "keys"]
-                )
-
-    return run
+def _sums(values: np.ndarray, cuts: np.ndarray, asked: np.ndarray, held: CountFilter, first: int, count: int, words, room: float):
+    """Sums by row over the tokens at ``asked``, and the terms of words that are not among the frequent ones."""
+    frequent, counts = words
+    size = len(cuts) - 1
+    owner = np.repeat(np.arange(size), np.diff(cuts))[asked]
+    grams, place = np.unique(bigrams(values, cuts)[asked], return_inverse=True)
+    level = held.probed(_segment(grams, count) - first, grams)[place]
+    distinct, place = np.unique(values[asked], return_inverse=True)
+    if len(frequent):
+        spot = np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)
+        sure = frequent[spot] == distinct
+        exact = np.where(sure, counts[spot], 0)
+    else:
+        sure, exact = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
+    mine = sure[place]
+    one = (exact + 1) / room
+    # the token's place in its own pair, and what it adds as the word before the next
+    term = np.log10(least_count(level) + SMOOTHING * one[place]) - np.log10(exact + SMOOTHING)[place]
+    total = lambda x: np.bincount(owner, np.where(mine, x, 0.0), minlength=size).astype(float)
+    rest = np.flatnonzero(~mine)
+    word = distinct[place[rest]]
+    by = np.lexsort([level[rest], word, owner[rest]])
+    word, own, lev = word[by], owner[rest][by], level[rest][by]
+    fresh = np.append(True, (word[1:] != word[:-1]) | (own[1:] != own[:-1]) | (lev[1:] != lev[:-1]))[: len(by)]
+    begin = np.flatnonzero(fresh)
+    n = np.diff(np.append(begin, len(by))).astype(np.int32)
+    listed = np.concatenate([[0], np.cumsum(np.bincount(own[begin], minlength=size))]).astype(np.int32)
+    rare = pa.ListArray.from_arrays(
+        listed,
+        pa.StructArray.from_arrays(
+            [pa.array(word[begin].view(np.int64)), pa.array(lev[begin].astype(np.int8)), pa.array(n)], ["h", "level", "n"]
+        ),
+    )
+    tokens_of = np.bincount(owner, minlength=size)
+    known = np.bincount(owner, mine & (exact[place] > 0), minlength=size)
+    return tokens_of, known, total(np.log10(one)[place]), total(term), rare
 
 
-def _answered(greatest: int):
-    """Levels of the keys that pieces ask; the bits of a segment come before its questions."""
+def _scores(part, words, first: int, last: int, count: int, greatest: int, room: float):
+    """Shares of the rows in the tokens whose bigram lies in segments ``first`` to ``last``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg, none = None, CountFilter({}, 1)
-        held = none
+        held = CountFilter(part.value, max(last - first, 1), greatest, first)
         for batch in batches:
-            asked, answers = [], []
-            for k, at in enumerate(batch.column("seg").to_pylist()):
-                if at != seg:
-                    seg, held = at, none
-                if batch.column("piece")[k].as_py() is None:
-                    held = CountFilter({0: batch.column("bits")[k].as_py()}, 1, greatest)
-                    continue
-                keys = _unpacked(batch.column("keys")[k].as_py())
-                asked.append(k)
-                answers.append(held.probed(np.zeros(len(keys), np.int64), keys).astype(np.uint8).tobytes())
-            if asked:
-                rows = pa.array(asked)
+            for row, values, cuts in tokens(batch.column("text")):
+                seg = _segment(bigrams(values, cuts), count)
+                asked = np.flatnonzero((seg >= first) & (seg < last))
+                n, known, base, score, rare = _sums(values, cuts, asked, held, first, count, words.value, room)
+                rows = [batch.column(k).slice(row, len(n)) for k in ("row_key", "doc_id", "held_out")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("piece").take(rows), batch.column("seg").take(rows), pa.array(answers, pa.binary())],
-                    ["piece", "seg", "levels"],
+                    [*rows, pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rare],
+                    ["row_key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
                 )
 
     return run
 
 
-def _scores(model, count: int, total: int, distinct: int):
-    """Scores of documents; words that are not among the frequent ones are handed on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = model.value
-        room = float(total + distinct + 1)
-        for part in runs(batches, ["piece"]):
-            # the documents of a piece first, then its answers by segment
-            documents, answers = (part.column(k) for k in ("text", "levels"))
-            values, pairs, cuts = _read(documents[0].values)
-            grams = np.unique(np.concatenate([np.unique(values), pairs]))
-            order, _ = _questions(grams, count)
-            level = np.empty(len(grams), np.uint8)
-            level[order] = np.frombuffer(b"".join(answers[1:].to_pylist()), np.uint8)
-            size = len(cuts) - 1
-            owner = np.repeat(np.arange(size), np.diff(cuts))
-            distinct_words, place = np.unique(values, return_inverse=True)
-            single = expected_count(level[np.searchsorted(grams, distinct_words)].astype(np.int64), 0.0)
-            one = (single + 1) / room
-            pair = expected_count(level[np.searchsorted(grams, pairs)].astype(np.int64), 0.0)
-            context = np.empty(len(values), np.int64)
-            context[1:] = place[:-1]
-            end = np.searchsorted(distinct_words, END)
-            context[cuts[:-1]] = end
-            # a pair is never more frequent than its first word
-            before = np.maximum(single[context], pair)
-            chance = (pair + SMOOTHING * one[place]) / (before + SMOOTHING)
-            score = np.bincount(owner, np.log10(np.minimum(chance, 1.0)), minlength=size)
-            spot = np.minimum(np.searchsorted(frequent, distinct_words), max(len(frequent) - 1, 0))
-            sure = frequent[spot] == distinct_words if len(frequent) else np.zeros(len(distinct_words), bool)
-            exact = np.where(sure, counts[spot], 0) if len(frequent) else np.zeros(len(distinct_words))
-            # END is counted in training whenever anything is
-            logs = np.log10((exact + 1) / room)
-            mine = sure[place]
-            base = np.bincount(owner, np.where(mine, logs[place], 0.0), minlength=size)
-            known = np.bincount(owner, mine & (exact[place] > 0), minlength=size).astype(np.int64)
-            rest = np.flatnonzero(~mine)
-            order = rest[np.lexsort([values[rest], owner[rest]])]
-            fresh = np.append(True, (values[order][1:] != values[order][:-1]) | (owner[order][1:] != owner[order][:-1]))[: len(order)]
-            begin = np.flatnonzero(fresh)
-            n = np.diff(np.append(begin, len(order))).astype(np.int32)
-            listed = np.concatenate([[0], np.cumsum(np.bincount(owner[order[begin]], minlength=size))]).astype(np.int32)
-            rare = pa.ListArray.from_arrays(
-                listed,
-                pa.StructArray.from_arrays([pa.array(values[order[begin]].view(np.int64)), pa.array(n)], ["h", "n"]),
-            )
-            keys = np.frombuffer(os.urandom(8 * size), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys), part.column("doc_id")[0].values, part.column("held_out")[0].values,
-                    pa.array(np.diff(cuts).astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), rare,
-                ],
-                ["row_key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
-            )
-
-    return run
-
-
 def score_documents(documents: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document."""
     spark = documents.sparkSession
@@ -331,59 +227,68 @@ def score_documents(documents: DataFrame, folds: int = 7, fold: int = 2) -> Data
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
-    )
+    ).withColumn("row_key", F.xxhash64("doc_id", "text"))
     grams = rows.where("not held_out").select("text").mapInArrow(_gram_counts, "size tinyint, h bigint, n bigint")
     counts = stored.table(grams.groupBy("size", "h").agg(F.sum("n").alias("n")), "counts")
-    words = counts.where("size = 1")
-    total, distinct = words.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    levels = counts.select("h", F.length(F.bin("n")).alias("q"))
-    kept, greatest = levels.select(F.count(F.lit(1)), F.coalesce(F.max("q"), F.lit(0))).first()
+    ones = counts.where("size = 1")
+    total, distinct = ones.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    room = float(total + distinct + 1)
+    levels = counts.where("size = 2").select("h", F.length(F.bin("n")).alias("q"))
+    kept, entries, greatest = levels.select(
+        F.count(F.lit(1)), F.coalesce(F.sum("q"), F.lit(0)), F.coalesce(F.max("q"), F.lit(0))
+    ).first()
     count = max(1, -(-kept // SEGMENT_ROWS))
-    built = (
+    built = stored.table(
         levels.withColumn("seg", F.pmod("h", F.lit(count)))
         .repartition(count, "seg")
         .sortWithinPartitions("seg")
-        .mapInArrow(_segments(BITS_AN_ENTRY), "seg bigint, bits binary")
-    )
-    pieces = stored.table(rows.mapInArrow(_pieces, PIECES), "pieces")
-    asked = pieces.select("piece", "text").mapInArrow(_asked(count), "seg bigint, piece bigint, keys binary")
-    answers = (
-        asked.unionByName(stored.table(built, "filter"), allowMissingColumns=True)
-        .repartition("seg")
-        .sortWithinPartitions("seg", F.col("piece").asc_nulls_first())
-        .mapInArrow(_answered(greatest), "piece bigint, seg bigint, levels binary")
+        .mapInArrow(_segments(BITS_AN_ENTRY), "seg bigint, bits binary"),
+        "filter",
     )
-    least = _least_frequent(words)
-    top = words.where(F.col("n") >= least).select("h", "n").toArrow()  # FREQUENT rows at most
+    least = _least_frequent(ones)
+    top = ones.where(F.col("n") >= least).select("h", "n").toArrow()  # FREQUENT rows at most
     h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    model = spark.sparkContext.broadcast((h[order], top.column("n").to_numpy()[order].astype(np.int64)))
-    scored = stored.table(
-        pieces.withColumn("seg", F.lit(-1).cast("long"))
-        .unionByName(answers, allowMissingColumns=True)
-        .repartition("piece")
-        .sortWithinPartitions("piece", "seg")
-        .mapInArrow(_scores(model, count, total, distinct), SCORED),
-        "scored",
-    )
+    words = spark.sparkContext.broadcast((h[order], top.column("n").to_numpy()[order].astype(np.int64)))
+    step = max(1, int(count * FILTER_BYTES // max(entries * BITS_AN_ENTRY // 8, 1)))
+    shares, passes = None, range(0, count, step)
+    for first in passes:
+        last = min(first + step, count)
+        # about FILTER_BYTES at a time
+        part = {r["seg"]: bytes(r["bits"]) for r in built.where((F.col("seg") >= first) & (F.col("seg") < last)).toLocalIterator()}
+        held = spark.sparkContext.broadcast(part)
+        found = stored.table(rows.mapInArrow(_scores(held, words, first, last, count, greatest, room), SCORED), "shares")
+        shares = found if shares is None else shares.unionByName(found)
+        held.unpersist()
+    term = F.log10(
+        F.when(F.col("level") > 0, F.pow(F.lit(2.0), F.col("level") - 1)).otherwise(0.0) + SMOOTHING * (F.col("c") + 1) / room
+    ) - F.log10(F.col("c") + SMOOTHING)
+    # equal rows share a key and have equal sums, so copies are counted and divided out
+    keys = ["row_key", "doc_id", "held_out"]
     rare = (
-        scored.select("row_key", F.explode("rare").alias("r"))
-        .select("row_key", F.col("r.h").alias("h"), F.col("r.n").alias("n"))
-        .join(words.where(F.col("n") < least).select(F.col("h").alias("w"), F.col("n").alias("c")), F.col("h") == F.col("w"), "left")
-        .groupBy("row_key")
-        .agg(
-            F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))).alias("more"),
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"),
-        )
-        .withColumnRenamed("row_key", "k")
+        shares.select(*keys, F.explode("rare").alias("r"))
+        .select(*keys, F.col("r.h").alias("h"), F.col("r.level").alias("level"), F.col("r.n").alias("n"))
+        .join(ones.where(F.col("n") < least).select(F.col("h").alias("w"), F.col("n").alias("c0")), F.col("h") == F.col("w"), "left")
+        .withColumn("c", F.coalesce("c0", F.lit(0)))
+        .select(
+            *keys, F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"),
+            F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known"),
+            (F.col("n") * F.log10((F.col("c") + 1) / room)).alias("base"), (F.col("n") * term).alias("score"),
+        )
     )
-    return scored.drop("rare").join(rare, F.col("row_key") == F.col("k"), "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+    summed = (
+        shares.select(*keys, F.lit(1).cast("long").alias("rows"), "n_tokens", "known", "base", "score")
+        .unionByName(rare)
+        .groupBy(*keys)
+        .agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "score")))
+        .withColumn("copies", (F.col("rows") / len(passes)).cast("int"))
     )
+    return summed.select(
+        "doc_id", "held_out", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
+        (F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
+        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+    ).drop("copy")
 
 
 def _least_frequent(words: DataFrame) -> int:
