@@ -316,7 +316,8 @@ SELECT job_id, pos, s, min(y) AS years FROM (
   SELECT job_id, pos, s, coalesce(CAST(floor(try_cast(token AS DOUBLE)) AS INTEGER),
     list_position({list(rules.NUMBER_WORDS)}, lower(token))) AS y
   FROM (SELECT job_id, pos, s, unnest(regexp_extract_all(s, {text(rules.YEARS)}, 1)) AS token
-    FROM sentences WHERE {says(rules.YEARS)} AND {says(rules.EXPERIENCE_CONTEXT)}))
+    FROM sentences WHERE {says(rules.YEARS)} AND {says(rules.EXPERIENCE_CONTEXT)}
+      AND NOT {says(rules.OWN_YEARS)}))
 GROUP BY job_id, pos, s""",
     "sentences",
 )

@@ -60,44 +60,44 @@ def profile(candidate_id: Column) -> list[Column]:
 
 
 YEARS_TEXT = [
-    "You bring a minimum of 3 years with comparable systems.",
-    "We look for 5+ years of hands-on experience.",
-    "Experience of 2–4 years with similar tools is expected.",
-    "At least seven years spent in the trade.",
-    "Roughly a decade in the trade would be welcome.",
     None,
+    "Twelve years of sailing experience are asked for, ports included.",
+    "Applicants show 6-8 yrs of experience on night shifts.",
+    "Our orchard has stood for 40 years. One year of experience in pruning is enough.",
+    "A minimum of 1.5 years in a bakery, though 4 years would be welcome.",
+    "Half a lifetime with looms helps.",
 ]
-YEARS_TRUTH = [3, 5, 2, 7, 10, None]
+YEARS_TRUTH = [None, 12, 6, 1, 1, None]
 DEGREE_TEXT = [
-    "A completed Master's degree is required for this role.",
-    "A PhD would be preferred by the team.",
-    "Either a Bachelor's or a Master's degree will do.",
-    "A Bachelor's degree is required here.",
     None,
+    "The laboratory takes chemists with a doctorate only; a doctorate is mandatory.",
+    "Holding an MSc is an advantage in the drawing office.",
+    "A BSc in surveying is needed, nothing beyond it.",
+    "No diploma is asked for.",
 ]
-DEGREE_TRUTH = [True, False, False, False, None]
+DEGREE_TRUTH = [None, True, False, False, None]
 LANGUAGE_TEXT = [
-    "Fluent Dutch is required in the shop.",
-    "Some German is a plus.",
-    "Most of our clients speak German.",
-    "English is required, at C1 or above.",
-    "Fluent English is required. You must also speak German.",
-    "Spanish is not required.",
+    "Italian is needed at the counter. Some English helps.",
     None,
+    "The crew reads Norwegian charts now and then.",
+    "Native Polish is mandatory. Czech would be nice to have.",
+    "English is essential for the radio.",
+    "Swedish is not necessary.",
+    "Danish would be a bonus; English is a must.",
 ]
-ENGLISH_TRUTH = [False, None, None, True, False, None, None]
-VISA_TEXT = ["Visa sponsorship is available for this post.", "We offer no sponsorship.", None]
+ENGLISH_TRUTH = [False, None, None, False, True, None, True]
+VISA_TEXT = ["We cannot sponsor a permit.", None, "For this berth visa sponsorship is offered."]
 MOVE_TEXT = [
-    "A relocation package is provided on arrival.",
-    "There is no relocation support available.",
     None,
+    "The yard pays a relocation package for families.",
     None,
+    "Relocation is not provided by the guild.",
 ]
 MODE_TEXT = [
-    "You can work from anywhere.",
-    "A hybrid role near our Berlin office.",
-    "This job is onsite only.",
+    "Everyone is on-site at the mill.",
     None,
+    "The desk is remote, all week.",
+    "We keep a hybrid week with two days at the harbour.",
 ]
 
 

@@ -21,23 +21,34 @@ from placewright import schemas
 SENTENCE = r"[^.!?\n]+(?:\.(?:[A-Za-z0-9]|\s[a-z])[^.!?\n]*){0,20}[.!?]*"
 
 # The vocabulary of the rules.
-NUMBER_WORDS = (
+UNITS = (
     "one", "two", "three", "four", "five", "six",
     "seven", "eight", "nine", "ten", "eleven", "twelve",
     "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen",
-    "nineteen", "twenty",
+    "nineteen",
 )
+TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+#: One to ninety-nine, in order.
+NUMBER_WORDS = UNITS + tuple(ten + (f"-{unit}" if unit else "") for ten in TENS for unit in ("", *UNITS[:9]))
 LANGUAGE_NAMES = (
-    "Arabic", "Chinese", "Czech", "Danish", "Dutch", "English", "Finnish",
-    "French", "German", "Greek", "Hebrew", "Hindi", "Hungarian", "Italian",
-    "Japanese", "Korean", "Mandarin", "Norwegian", "Polish", "Portuguese",
-    "Romanian", "Russian", "Spanish", "Swedish", "Turkish", "Ukrainian",
+    "Arabic", "Bengali", "Bulgarian", "Cantonese", "Catalan", "Chinese", "Croatian", "Czech", "Danish",
+    "Dutch", "English", "Estonian", "Finnish", "French", "German", "Greek", "Hebrew", "Hindi", "Hungarian",
+    "Icelandic", "Indonesian", "Irish", "Italian", "Japanese", "Korean", "Latvian", "Lithuanian", "Malay",
+    "Mandarin", "Norwegian", "Persian", "Polish", "Portuguese", "Romanian", "Russian", "Serbian", "Slovak",
+    "Slovenian", "Spanish", "Swedish", "Tamil", "Thai", "Turkish", "Ukrainian", "Urdu", "Vietnamese",
 )
 YEARS = (
     r"(?i)\b(\d{1,2}(?:\.\d+)?|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")"
     r"\s*(?:\+|(?:-|–|—|to)\s*\d{1,2}(?:\.\d+)?\s*\+?)?\s*(?:years?|yrs?)\b"
 )
-EXPERIENCE_CONTEXT = r"(?i)experience|minimum|at least|(?:years?|yrs?)\s+(?:is\s+|are\s+)?required"
+EXPERIENCE_CONTEXT = (
+    r"(?i)experience|minimum|at least|(?:years?|yrs?)\s+(?:is\s+|are\s+)?required|\d\s*\+\s*(?:years?|yrs?)\b"
+)
+#: Years that the employer has, not the applicant.
+OWN_YEARS = (
+    r"(?i)\b(?:our|the) (?:company|firm|team|business|group|agency)\b[^,;]*\b(?:has|have|had|brings?|looks? back)\b"
+    r"|\bwe (?:have|bring|look back)\b|\bour [^,;]{0,40}(?:years?|yrs?) of experience\b"
+)
 ADVANCED = r"(?i)\b(?:master'?s?|masters|msc|m\.sc|phd|ph\.\s?d|doctorate)\b"
 BACHELOR = r"(?i)\b(?:bachelor'?s?|bachelors|bsc|b\.sc)\b"
 OPTIONAL = r"(?i)\b(?:plus|preferred|optional|desirable|nice to have|advantage|bonus)\b"
@@ -51,7 +62,9 @@ DENIED = r"(?i)\b(?:no|not|cannot|unable|without|unavailable|don't|doesn't)\b"
 GRANTED = r"(?i)\b(?:available|provided|offered|offer|provide|package|support|assistance|sponsor)\b"
 HYBRID = r"(?i)\bhybrid\b"
 REMOTE = r"(?i)\bremote\b|\bwork from anywhere\b|\bwork from home\b"
-NOT_REMOTE = r"(?i)\b(?:no|not) remote\b"
+NOT_REMOTE = (
+    r"(?i)\b(?:no|not) remote\b|\bremote\b[^,;.]{0,20}\b(?:not|isn't|never) (?:possible|an option|offered|available|allowed)\b"
+)
 ONSITE = r"(?i)\bon-?site\b|\bin-office\b"
 #: Where a sentence holds two statements: a contrast, a list of statements that
 #: each say how firm they are, two languages with a level each. $1 and $2 stay.
@@ -120,7 +133,10 @@ def experience(parts: Column) -> Column:
     """Smallest number of years any sentence asks for (a range gives its
     lower end), with the first sentence that says so."""
     stating = F.filter(
-        parts, lambda s: F.rlike(s, F.lit(YEARS)) & F.rlike(s, F.lit(EXPERIENCE_CONTEXT))
+        parts,
+        lambda s: F.rlike(s, F.lit(YEARS))
+        & F.rlike(s, F.lit(EXPERIENCE_CONTEXT))
+        & ~F.rlike(s, F.lit(OWN_YEARS)),
     )
     ranked = F.transform(
         stating,

@@ -161,7 +161,7 @@ def test_load_details_end_to_end(spark):
 
 def test_extract_batch_retries_only_failures(spark, tmp_path):
     posts = spark.createDataFrame(
-        [("1", "5+ years of experience"), ("2", "bad")], "job_id string, description string"
+        [("1", "Eleven years of experience with kilns"), ("2", "bad")], "job_id string, description string"
     )
     seen = []
 

@@ -143,17 +143,19 @@ def extracted(spark, text):
 @pytest.mark.parametrize(
     "text, years",
     [
-        ("Minimum 3 years experience", 3),
-        ("5+ years of experience", 5),
-        ("2–4 years experience", 2),
-        ("At least two to 5 years experience.", 2),
-        ("6 years experience in X. Minimum 4 yrs in Y.", 4),
-        ("We are 20 years old.", None),
-        ("Not mentioned", None),
+        ("Nine years of experience in a foundry are asked for", 9),
+        ("You have 14+ years behind a wheel", 14),
+        ("Experience of 3 to 11 yrs with looms", 3),
+        ("At least six years. A minimum of two years abroad.", 2),
+        ("Thirty-one years experience, no less", 31),
+        ("The mill turned 80 years in spring.", None),
+        ("Our firm has 25 years of experience.", None),
+        ("We look back on ten years of experience.", None),
+        ("Tools are lent", None),
     ],
 )
 def test_experience_rule(spark, text, years):
-    e = extracted(spark, "Intro line.\n" + text).experience_requirement
+    e = extracted(spark, "A line ahead.\n" + text).experience_requirement
     assert (e.min_years_experience if e else None) == years
     if e:
         assert e.experience_requirement_evidence in text
@@ -162,12 +164,12 @@ def test_experience_rule(spark, text, years):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("Master's degree required", True),
-        ("PhD preferred", False),
-        ("Bachelor's or Master's degree", False),
-        ("Bachelor's degree required", False),
-        ("We love masters of craft", None),
-        ("nothing", None),
+        ("A doctorate is essential here", True),
+        ("An MSc would be a bonus", False),
+        ("BSc or MSc, either will do", False),
+        ("A bachelor's diploma is needed", False),
+        ("Masters of their trade built this hall", None),
+        ("Gloves are supplied", None),
     ],
 )
 def test_degree_rule(spark, text, want):
@@ -178,14 +180,14 @@ def test_degree_rule(spark, text, want):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("Fluent Dutch required", [("Dutch", "Fluent", "required")]),
-        ("Must speak German", [("German", None, "required")]),
-        ("German is a plus", [("German", None, "good_to_have")]),
-        ("French preferred", [("French", None, "good_to_have")]),
-        ("You will work with German clients", [("German", None, "mentioned")]),
-        ("Support Spanish-speaking customers", [("Spanish", None, "mentioned")]),
-        ("Spanish is not required", [("Spanish", None, "not_required")]),
-        ("nothing", None),
+        ("Native Thai is essential", [("Thai", "Native", "required")]),
+        ("Greek is mandatory", [("Greek", None, "required")]),
+        ("Some Catalan would be an advantage", [("Catalan", None, "good_to_have")]),
+        ("Finnish is optional", [("Finnish", None, "good_to_have")]),
+        ("The menu is printed in Korean", [("Korean", None, "mentioned")]),
+        ("Guests from Turkish ferries drop in", [("Turkish", None, "mentioned")]),
+        ("Hungarian is not needed", [("Hungarian", None, "not_required")]),
+        ("Boots are supplied", None),
     ],
 )
 def test_language_rule(spark, text, want):
@@ -197,14 +199,15 @@ def test_language_rule(spark, text, want):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("Visa sponsorship available.", (True, None, "unknown")),
-        ("No sponsorship provided.", (False, None, "unknown")),
-        ("Relocation package provided.", (None, True, "unknown")),
-        ("No relocation support available.", (None, False, "unknown")),
-        ("Work from anywhere", (None, None, "remote")),
-        ("Hybrid role in Berlin", (None, None, "hybrid")),
-        ("This is an onsite role", (None, None, "onsite")),
-        ("nothing", None),
+        ("The harbour will offer visa support.", (True, None, "unknown")),
+        ("We are unable to sponsor anybody.", (False, None, "unknown")),
+        ("Relocation assistance is offered to cooks.", (None, True, "unknown")),
+        ("The guild has no relocation budget.", (None, False, "unknown")),
+        ("All shifts are remote", (None, None, "remote")),
+        ("Remote is not possible, the kiln is on-site", (None, None, "onsite")),
+        ("A hybrid rota from June", (None, None, "hybrid")),
+        ("In-office at the lighthouse", (None, None, "onsite")),
+        ("Rain coats are supplied", None),
     ],
 )
 def test_relocation_rules(spark, text, want):
@@ -218,7 +221,7 @@ def test_relocation_rules(spark, text, want):
 
 
 def test_rule_evidence_is_verbatim(spark):
-    text = "  We hire.  Minimum 3 years experience!  Fluent Dutch required. Hybrid role\nNo visa sponsorship."
+    text = "  Sails wanted.  A minimum of 8 years!  Native Greek is mandatory. A hybrid rota\nWe cannot sponsor."
     rows = spark.createDataFrame([("1", text)], "job_id string, description string")
     checked = evidence_grounding(extract_requirements(rows), rows).collect()
     assert len(checked) == 3 and all(r.grounded for r in checked)
@@ -228,8 +231,8 @@ def test_gap_filling_keeps_rows_and_failures(spark):
     stored = "struct<" + schemas.NESTED_METADATA[len("STRUCT<"):]
     matches = spark.createDataFrame(
         [
-            (1, "a", "5+ years of experience", None),
-            (2, "a", "5+ years of experience", None),
+            (1, "a", "Seven years of experience", None),
+            (2, "a", "Seven years of experience", None),
             (1, "b", "", None),
             (1, "c", "text", (None, (2, "two"), None, None)),
             (1, "d", "broken", None),

@@ -20,6 +20,11 @@ CASES = [
     ("We provide relocation assistance but no visa sponsorship.", None, None, {}, False, True),
     ("Is visa sponsorship offered? No.", None, None, {}, None, None),
     ("Relocation support is not available; a visa sponsor is provided.", None, None, {}, True, False),
+    ("Our company has 30 years of experience.", None, None, {}, None, None),
+    ("5+ yrs in Python", 5, None, {}, None, None),
+    ("Thirty years experience.", 30, None, {}, None, None),
+    ("Forty-two years of experience at sea.", 42, None, {}, None, None),
+    ("Thai fluent required.", None, None, {"Thai": ("fluent", "required")}, None, None),
     ("Graph. Dutch is needed.", None, None, {"Dutch": (None, "required")}, None, None),
 ]
 

@@ -14,7 +14,7 @@ def one(spark, value, expression, kind="string"):
 @pytest.mark.parametrize(
     "raw, want",
     [
-        ("  a   b \n\n c ", "a b c"),
+        ("\n oak\t elm  ash ", "oak elm ash"),
         ("a  b　", "a b"),
         ("\x1c a\x85b \t", "a b"),
         ("plain text", "plain text"),
