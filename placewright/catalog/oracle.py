@@ -941,6 +941,16 @@ oracle(
     "posted_local_time",
     f"SELECT event_id, {stamp('(epoch_us(ts) // 1000) * 1000')} AS posted_at FROM events",
 )
+oracle(
+    "names_of_any_gazetteer",
+    """
+SELECT job_id, CASE WHEN title IS NOT NULL AND country IS NOT NULL AND location IS NOT NULL
+  THEN array_to_string(regexp_extract_all(country || ', ' || location || '; ' || title || ' / ' || country,
+    (SELECT '\\b(' || string_agg(name, '|' ORDER BY length(name) DESC, name) || ')\\b' FROM (
+      SELECT DISTINCT r_name AS name FROM region UNION SELECT n_name FROM nation UNION SELECT p_name FROM part)), 1), ' ') END AS found
+FROM postings""",
+    "postings",
+)
 oracle("country_from_location", "SELECT job_id, country || ' ' || country AS countries FROM postings", "postings")
 oracle(
     "build_prompts",

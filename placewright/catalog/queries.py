@@ -43,6 +43,7 @@ from placewright.operators import (
     review,
     similarity,
 )
+from placewright.operators.gazetteer import with_names
 from placewright.plans import rounds
 from placewright.plans.ingest import run_embed_batch, run_extract_batch
 from placewright.plans.match import match_resumes, search_width
@@ -445,6 +446,18 @@ def country_from_location(v: Views) -> DataFrame:
     return v.postings.select("job_id", names_in_text(place, names).alias("countries"))
 
 
+@query
+def names_of_any_gazetteer(v: Views) -> DataFrame:
+    """The same with the gazetteer as a table: nations, regions and every part name."""
+    names = (
+        v.table("region").select(F.col("r_name").alias("name"))
+        .unionByName(v.table("nation").select(F.col("n_name").alias("name")))
+        .unionByName(v.table("part").select(F.col("p_name").alias("name")))
+    )
+    place = F.concat("country", F.lit(", "), "location", F.lit("; "), "title", F.lit(" / "), "country")
+    return with_names(v.postings.select("job_id", place.alias("place")), "place", names, "found").select("job_id", "found")
+
+
 @named("strip_fences")
 def strip_fences_query(v: Views) -> DataFrame:
     return v.replies.select("job_id", strip_fences(F.col("reply")).alias("bare"))

@@ -37,7 +37,7 @@ class Loaded(NamedTuple):
 def load_details(
     payloads: DataFrame,
     known: DataFrame,
-    countries: list[str],
+    countries: list[str] | DataFrame,
     order: Sequence[Column],
     patterns: Sequence[str] = EXCLUDED_TITLES,
 ) -> Loaded:

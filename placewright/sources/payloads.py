@@ -20,6 +20,7 @@ from placewright.functions.text import (
     names_in_text,
     urn_id,
 )
+from placewright.operators.gazetteer import with_names
 
 # Names inside the payloads.
 CARD_TYPE = "JobCard"
@@ -36,7 +37,7 @@ DETAIL = (
     "companyDetails: STRUCT<companyName: STRING>>, "
     "included ARRAY<STRUCT<`$type`: STRING, name: STRING>>"
 )
-#: Most names a gazetteer may hold; they become part of one pattern.
+#: Most names that become part of one pattern; larger gazetteers stay tables.
 GAZETTEER_LIMIT = 2_000
 
 
@@ -98,8 +99,11 @@ def country_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(name,) for name in names], "name string")
 
 
-def parse_posting_details(payloads: DataFrame, countries: list[str]) -> Parsed:
-    """``job_id, payload`` -> posting rows, and rows that cannot be used."""
+def parse_posting_details(payloads: DataFrame, countries: list[str] | DataFrame) -> Parsed:
+    """``job_id, payload`` -> posting rows, and rows that cannot be used.
+
+    ``countries``: a few names as a list, or a table of any size with a column ``name``.
+    """
     parsed = computed_once(
         payloads.select("job_id", "payload"), "doc", F.from_json("payload", DETAIL)
     )
@@ -130,8 +134,14 @@ def parse_posting_details(payloads: DataFrame, countries: list[str]) -> Parsed:
             data["applyMethod"]["easyApplyUrl"],
             F.lit(""),
         ).alias("application_url"),
-        names_in_text(data["formattedLocation"], countries).alias("country"),
+        *(
+            [names_in_text(data["formattedLocation"], countries).alias("country")]
+            if isinstance(countries, list)
+            else []
+        ),
     )
+    if not isinstance(countries, list):
+        postings = with_names(postings, "location", countries, "country")
     rejected = judged.where(F.col("reason").isNotNull()).select(
         "job_id", "reason", "payload"
     )
