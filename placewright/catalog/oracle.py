@@ -1345,6 +1345,21 @@ JOIN ads ON ads.job_id = e.job_id WHERE evidence <> ''""",
     "rebuilt",
     "ads",
 )
+oracle(
+    "evidence_spans",
+    """
+SELECT job_id, field, evidence, CAST(place - 1 AS INTEGER) AS start, CAST(place - 1 + length(quote) AS INTEGER) AS stop FROM (
+  SELECT e.job_id, field, evidence, regexp_replace(trim(evidence), '[ \\t\\n\\r\\f]+', ' ' || chr(10) || ' ', 'g') AS quote,
+    position(quote IN regexp_replace(description, '[ \\t\\n\\r\\f]+', ' ' || chr(10) || ' ', 'g')) AS place FROM (
+    SELECT job_id, 'language' AS field, s AS evidence FROM named
+    UNION ALL SELECT job_id, 'experience', experience_requirement_text FROM ruled
+    UNION ALL SELECT job_id, 'education', education_requirement_text FROM ruled
+    UNION ALL SELECT job_id, 'relocation', relocation_evidence FROM ruled) e
+  JOIN ads ON ads.job_id = e.job_id WHERE evidence <> '')""",
+    "named",
+    "ruled",
+    "ads",
+)
 oracle(
     "extraction_accuracy",
     """

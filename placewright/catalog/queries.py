@@ -687,6 +687,14 @@ def evidence_grounding(v: Views) -> DataFrame:
     return enrich.evidence_grounding(nested, v.ads)
 
 
+@query
+def evidence_spans(v: Views) -> DataFrame:
+    """Where the evidence of rules stands, in texts whose lines were put together."""
+    found = _rule_metadata(v)
+    flowed = v.ads.select("job_id", F.regexp_replace("description", r"\s+", " \n ").alias("description"))
+    return enrich.evidence_spans(found, flowed)
+
+
 @query
 def extraction_accuracy(v: Views) -> DataFrame:
     flat = enrich.flatten_metadata(_rule_metadata(v))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewright.functions import metadata as meta
@@ -94,6 +94,35 @@ def evidence_grounding(nested: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
+def _loose(evidence: Column) -> Column:
+    """Pattern of a text in which any white space stands for any other."""
+    literal = F.regexp_replace(F.trim(evidence), r"([\\\[\](){}.*+?^$|])", r"\\$1")
+    return F.regexp_replace(literal, r"\s+", r"\\s+")
+
+
+def evidence_spans(nested: DataFrame, postings: DataFrame) -> DataFrame:
+    """``job_id, field, evidence, start, stop``: where each stated evidence stands in the text.
+
+    Line breaks and repeated blanks do not matter, so a quote that a model has
+    put on one line is found as well; ``substring(description, start + 1, stop - start)`` is
+    the text's own wording. Both are NULL where the evidence is not in the text.
+    """
+    stated = nested.where(F.col("metadata").isNotNull()).select(
+        "job_id", F.explode(meta.evidence_pairs(F.col("metadata"))).alias("pair")
+    )
+    found = stated.join(postings.select("job_id", "description"), "job_id").select(
+        "job_id",
+        F.col("pair.field").alias("field"),
+        F.col("pair.evidence").alias("evidence"),
+        F.regexp_instr("description", _loose(F.col("pair.evidence"))).alias("place"),
+        F.regexp_substr("description", _loose(F.col("pair.evidence"))).alias("wording"),
+    )
+    start = F.when((F.col("place") > 0) & (F.trim("evidence") != ""), F.col("place") - 1)
+    return found.select(
+        "job_id", "field", "evidence", start.alias("start"), (start + F.length("wording")).alias("stop")
+    )
+
+
 def attempt_outcomes(attempts: DataFrame) -> DataFrame:
     """``job_id, metadata, errors`` -> ``job_id, outcome, reason``."""
     ok = F.col("metadata").isNotNull()

@@ -45,8 +45,12 @@ def decision_events(valid: DataFrame) -> DataFrame:
 
 
 def approval_queue(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
-    """What a reviewer is shown for each job with prepared documents."""
-    shown = matches.select(*PAIR, "title", "company")
+    """What a reviewer is shown for each job with prepared documents.
+
+    A match that is repeated is shown once, by the least title.
+    """
+    first = F.min(F.struct("title", "company")).alias("first")
+    shown = matches.groupBy(*PAIR).agg(first).select(*PAIR, "first.*")
     unknown = F.lit(wording.UNKNOWN_TITLE)
     return artifacts.join(shown, PAIR, "left").select(
         *PAIR,
@@ -58,11 +62,16 @@ def approval_queue(artifacts: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def review_outcome(artifacts: DataFrame, answers: DataFrame) -> DataFrame:
-    """Status of every prepared job after review; no answer means skip."""
+    """Status of every prepared job after review; no answer means skip.
+
+    Of several answers to one job the first by ``seq`` counts; without that column, one approval.
+    """
+    order = "seq" if "seq" in answers.columns else ~is_approval(F.col("answer"))
+    given = answers.groupBy(*PAIR).agg(F.min_by("answer", order).alias("answer"))
     approved = is_approval(F.col("answer"))
     return (
         artifacts.select(*PAIR)
-        .join(answers.select(*PAIR, "answer"), PAIR, "left")
+        .join(given, PAIR, "left")
         .select(
             *PAIR,
             F.when(approved, "applied").otherwise("skipped").alias("status"),

@@ -127,3 +127,31 @@ def test_reduced_keeps_every_wanted_row(spark):
     got = {r.job_id for r in keyed.reduced(rows, "job_id", wanted).collect()}
     assert {str(k) for k in range(5000) if k % 97 == 3} <= got and len(got) < 80
     assert keyed.reduced(rows, "job_id", wanted.limit(0)).isEmpty()
+
+
+def test_evidence_is_found_across_line_breaks(spark):
+    from placewright.operators.enrich import evidence_spans
+
+    text = "Costs (all) of 3.5\n  years are\tmet. Again 3.5 years are met."
+    quotes = ["3.5 years are met.", "Costs (all)", "no such", "3x5 years", "  ", "years\nare met"]
+    rows = [(str(k), (None, (1, q), None, None)) for k, q in enumerate(quotes)]
+    stored = "struct<" + schemas.NESTED_METADATA[len("STRUCT<"):]
+    nested = spark.createDataFrame(rows, f"job_id string, metadata {stored}")
+    posts = spark.createDataFrame([(str(k), text) for k in range(len(quotes))], TEXT)
+    got = {r.job_id: (r.start, r.stop) for r in evidence_spans(nested, posts).collect()}
+    assert {k: text[a:b] for k, (a, b) in got.items() if a is not None} == {
+        "0": "3.5\n  years are\tmet.", "1": "Costs (all)", "5": "years are\tmet",
+    }
+    assert got["2"] == got["3"] == (None, None)
+
+
+def test_repeated_matches_and_answers_count_once(spark):
+    from placewright.operators import review
+
+    pair = "candidate_id int, job_id string"
+    made = spark.createDataFrame([(1, "a", "cv", None)], pair + ", tailored_resume string, cover_letter string")
+    seen = spark.createDataFrame([(1, "a", "t", "c"), (1, "a", "t", "c")], pair + ", title string, company string")
+    assert review.approval_queue(made, seen).count() == 1
+    answers = spark.createDataFrame([(1, "a", "no", 1), (1, "a", "yes", 2)], pair + ", answer string, seq int")
+    assert [r.status for r in review.review_outcome(made, answers).collect()] == ["skipped"]
+    assert [r.status for r in review.review_outcome(made, answers.drop("seq")).collect()] == ["applied"]
