@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from conftest_rows import prose
@@ -144,8 +145,41 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
-def test_more_passes_for_larger_labels():
-    assert vectors.pass_count(0) <= vectors.pass_count(10_000) < vectors.pass_count(10_000_000)
+def test_more_passes_for_more_bits():
+    assert [vectors.pass_count(k) for k in (0, 7, 13)] == [1, 14, 33]
+
+
+def crowd(draw, count: int, pairs: int, mutual: float, dims: int = 64) -> np.ndarray:
+    """Vectors of a common direction, the last ones near copies of the first at a cosine of 0.935."""
+    centre = draw.standard_normal(dims)
+    centre /= np.linalg.norm(centre)
+    side = draw.standard_normal((count, dims))
+    side -= np.outer(side @ centre, centre)
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    out = np.sqrt(mutual) * centre + np.sqrt(1 - mutual) * side
+    turn = draw.standard_normal((pairs, dims))
+    turn -= (turn * out[:pairs]).sum(axis=1)[:, None] * out[:pairs]
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    return np.concatenate([out, 0.935 * out[:pairs] + np.sqrt(1 - 0.935**2) * turn])
+
+
+@pytest.mark.parametrize("cell", [512, 64])
+def test_no_link_is_lost_where_vectors_share_a_direction(spark, monkeypatch, cell):
+    """Labels spread evenly and not; buckets in one partition and (with small cells) in parts."""
+    monkeypatch.setattr(vectors, "CELL", cell)
+    draw = np.random.default_rng(11)
+    rows, near = [], 0
+    for label, mutual in enumerate((0.0, 0.5, 0.7, 0.8)):
+        unit = crowd(draw, 3_000, 300, mutual)
+        near += int((unit @ unit.T >= 0.93).sum()) - len(unit)
+        rows += [(len(rows) + k, v, label, k) for k, v in enumerate(unit.tolist())]
+    # repeated rows, and a column that the operator makes itself
+    frame = spark.createDataFrame(rows + rows[:1], "vec_id bigint, embedding array<double>, label int, kept int").repartition(5)
+    got = vectors.near_vectors(frame).collect()
+    assert len(got) == len(rows) + 1
+    # both rows of the repeated id link with each other and with the copy of it, which links with both
+    assert sum(r["n_links"] for r in got) == near + 4
+
 
 
 def pages():
