@@ -277,6 +277,46 @@ def test_main_text_of_a_page():
     assert main_text.main_text("<![odd[x]]><p>a &notit; <!-- c --> b") == "a ¬it; b"
 
 
+LONG = "One sentence of the story that is long enough to count as running text, as articles have it."
+MORE = "Another paragraph goes on about the same matter at some length, so that nobody takes it for a menu."
+NAV = "<ul class='menu'><li><a href=a>Home</a><li><a href=b>News</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        # a head that was never closed
+        (f"<html><head><title>t</title><meta x><body>{NAV}<p>{LONG}</p></body>", LONG),
+        (f"<head><style>p {{}}</style><p>{LONG}<p>{MORE}", f"{LONG} {MORE}"),
+        # names of a layout, not of a side block
+        (f"<body><div class='has-sidebar'><p>{LONG}</p><div class='sidebar'>{MORE}</div></div>", LONG),
+        (f"<div class='page with-comments'><article><p>{LONG}</p></article><div id='comments'><article>{MORE}</article></div></div>", LONG),
+        (f"<div id='related-work'><p>{LONG}</p><p>{MORE}</p></div>", f"{LONG} {MORE}"),
+        (f"<p>{LONG}</p><div class='related-posts'><p>{MORE}</p></div>", LONG),
+        # a side name on what holds the page
+        (f"<body>{NAV}<div class='widget'><p>{LONG}</p><p>{MORE}</p></div>", f"{LONG} {MORE}"),
+        (f"<form action=x>{NAV}<main><p>{LONG}</p></main><input name=q></form>", LONG),
+        (f"<div><p>{LONG}</p></div><form><p>{MORE}</p></form>", LONG),
+        # a lead paragraph beside the block of the body; a closing one after main
+        (f"<div class=lead>{LONG}</div><div class=body><p>{MORE}</p><p>{MORE}</p><p>Short.</p><p>{MORE}</p></div>", f"{LONG} {MORE} {MORE} Short. {MORE}"),
+        (f"<main><p>{LONG}</p></main><div><p>{MORE}</p></div>", f"{LONG} {MORE}"),
+        # several articles, none, unclosed and wrongly nested elements
+        (f"<article><p>{LONG}</article><article><p>{MORE}</article><footer>f</footer>", f"{LONG} {MORE}"),
+        (f"<p class=notice>We use cookies.<p>{LONG}<div><b>{MORE}</div></b>", f"{LONG} {MORE}"),
+        (f"<p>{LONG} <span class='ad'>buy <span>now</span> here</span>end</p>", f"{LONG} end"),
+        (f"<div class=comments><p>{MORE}</p><p>{MORE}</p><p>{MORE}</p><p>{MORE}</p></div><p>{LONG}</p>", LONG),
+        ("<div class=menu>only a menu", "only a menu"),
+    ],
+)
+def test_main_text_of_other_shapes(html, want):
+    assert main_text.main_text(html) == want
+
+
+def test_main_text_of_a_very_long_page():
+    page = "<body>" + f"<div><p>{LONG}" * 20_000
+    assert len(main_text.main_text(page)) == 20_000 * (len(LONG) + 1) - 1
+
+
 def test_main_text_of_the_test_pages(spark):
     import html
 
