@@ -8,11 +8,15 @@ units of ``1 / Q`` the schedule repeats every ``Q`` slots, so one frame of ``Q``
 driver from the weights alone, places every block of every source by arithmetic. Until a source runs
 out, every prefix of slots holds each source's share to less than one block.
 
+Given weights are taken as the decimals or fractions they are written as; ``Q`` is the common denominator of their shares, so nothing
+is rounded. Shares without a common denominator up to ``MOST_SLOTS`` are rounded to whole ``MOST_SLOTS``-ths: a source is then
+off by one more block at most in as many slots.
+
 All documents are placed, each once. Slots of a source that has run out stay empty, the rest go on
 in their relative weights; ``in_target`` marks the slots before the first source ran out, where the target
 holds for all sources.
 
-Weights default to shares of the square root of source size; a null source is a source
+Weights default to shares of the square root of source size in whole ``UNITS``-ths; a null source is a source
 of its own. A text that is null or empty takes no room but is placed. A document over several blocks
 sits in the block it begins in. Ties in hash order go by doc_id; repeated rows are placed side by side.
 """
@@ -21,6 +25,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +37,8 @@ from placewright.llm.common import Stored
 BLOCK_CHARS = 65_536
 #: Least number of slots in a frame; there are at least ten for every source.
 UNITS = 1_000
+#: Most slots in a frame of given weights.
+MOST_SLOTS = 1_000_000
 #: Documents of a source that are put in order together, on average.
 SLICE_DOCS = 500
 
@@ -79,7 +87,19 @@ def whole_units(weights: dict[str, float], units: int) -> dict[str, int]:
     return out
 
 
-def mix(documents: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_units(weights: Mapping[str, float | Fraction]) -> dict[str, int]:
+    """Weights as the whole numbers that have their ratios, if these sum to ``MOST_SLOTS`` or less."""
+    parts = {name: weight if isinstance(weight, Fraction) else Fraction(str(weight)) for name, weight in weights.items()}
+    if any(part <= 0 for part in parts.values()):
+        raise ValueError("target weights have to be positive")
+    total = sum(parts.values())
+    slots = math.lcm(*((part / total).denominator for part in parts.values()))
+    if slots > MOST_SLOTS:
+        return whole_units({name: float(part / total) for name, part in parts.items()}, MOST_SLOTS)
+    return {name: int(part / total * slots) for name, part in parts.items()}
+
+
+def mix(documents: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, source, slot, block, place, in_target`` for every document.
 
     ``slot`` orders the mix, ``block`` counts the blocks of the source from 0, ``place`` is where in the source the text
@@ -109,33 +129,31 @@ def mix(documents: DataFrame, weights: dict[str | None, float] | None = None, bl
     sources = {r["source"]: r["held"] for r in totals.groupBy("source").agg(F.sum("held").alias("held")).collect()}
     names = {name: "" if name is None else f"={name}" for name in sources}
     if weights is None:
-        weights = {name: math.sqrt(max(1, held)) for name, held in sources.items()}
-    missing = set(sources) - set(weights)
-    if missing:
-        raise ValueError(f"no target weight for sources: {sorted(map(str, missing))}")
-    units = whole_units({names[n]: weights[n] for n in sources}, max(UNITS, 10 * len(sources))) if sources else {}
+        shares = {names[name]: math.sqrt(max(1, held)) for name, held in sources.items()}
+        units = whole_units(shares, max(UNITS, 10 * len(sources))) if sources else {}
+    else:
+        missing = set(sources) - set(weights)
+        if missing:
+            raise ValueError(f"no target weight for sources: {sorted(map(str, missing))}")
+        units = exact_units({names[name]: weights[name] for name in sources}) if sources else {}
     frame = frame_of(units)
     length = sum(units.values())
     blocks = {names[n]: max(1, -(-held // block_chars)) for n, held in sources.items()}
     ends = [_slot(frame[n], units[n], length, blocks[n]) for n in blocks]
     horizon = min(ends, default=0)
     table = spark.createDataFrame(
-        [(None if not n else n[1:], slots, units[n]) for n, slots in frame.items()],
-        "w string, slots array<int>, units int",
+        [(None if not n else n[1:], slots, units[n], blocks[n] - 1) for n, slots in frame.items()],
+        "w string, slots array<int>, units int, last bigint",
     )
     inside = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     begun = placed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k"))
     )
-    last = F.lit(0) if not blocks else F.element_at(
-        F.create_map(*(F.lit(x) for n, b in blocks.items() for x in (n, b))), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    ) - 1
-    block = F.least(F.floor((F.col("from") + F.col("within")) / block_chars), last)
-    # length of the frame is ten slots a source, so this table is as small as the list of sources
+    # at most MOST_SLOTS numbers, or ten for every source
     return (
         begun.withColumn("place", F.col("from") + F.col("within"))
-        .withColumn("block", block.cast("long"))
         .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("w")))
+        .withColumn("block", F.least(F.floor(F.col("place") / block_chars), F.col("last")).cast("long"))
         .select(
             "doc_id", "source",
             (

@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from conftest_rows import prose
-from placewright.llm import near_dup, secret_scan, vectors, warc
+from placewright.llm import mixing, near_dup, secret_scan, vectors, warc
 from placewright.llm.common import Stored, components
 
 
@@ -242,7 +242,12 @@ def test_pipeline_stages(spark):
             hit = secret_scan.find_secrets(before, ["doc_id"]).where("size(spans) > 0").count()
             assert after.where("text like '%[secret]%'").count() == hit and after.where("n_chars <> length(text)").count() == 0
         before = after
-    tokens = corpus_pipeline.run(spark, folder).select("doc_id", "decoded_sha256").collect()
+    tokens = corpus_pipeline.run(spark, folder).select("doc_id", "source", "mix_position", "decoded_sha256").collect()
+    # positions are the order of the mix, so their prefixes hold what its slots hold
+    tokens.sort(key=lambda r: r["mix_position"])
+    assert [r["mix_position"] for r in tokens] == list(range(len(tokens)))
+    slot = {r["doc_id"]: (r["slot"], r["place"], r["doc_id"]) for r in mixing.mix(before).collect()}
+    assert [r["doc_id"] for r in tokens] == sorted(slot, key=slot.get)
     digest = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in before.collect()}
     assert {r["doc_id"]: r["decoded_sha256"] for r in tokens} == digest
 

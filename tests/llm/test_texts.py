@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -259,6 +260,35 @@ def test_mix_places_every_document(odd, none):
         mixing.mix(odd, {"a": 1.0})
 
 
+@pytest.mark.parametrize(
+    ("weights", "units"),
+    [({"a": 0.6, "b": 0.3994, "c": 0.0006}, (3000, 1997, 3)), ({"a": 1, "b": Fraction(1, 3), "c": Fraction(1, 6)}, (6, 2, 1))],
+)
+def test_mix_equals_a_schedule_made_slot_by_slot(spark, weights, units):
+    docs = [(k, "abc"[k % 3], "x" * (7 * k % 23)) for k in range(3_000)] + [(5, "c", "y" * 7)] * 4
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, source string, text string"), weights, block_chars=10).collect()
+    share = {name: Fraction(u, sum(units)) for name, u in zip("abc", units)}
+    assert mixing.exact_units(weights) == dict(zip("abc", units))
+    done, slot_of = dict.fromkeys("abc", 0), {}
+    last = max(r["slot"] for r in got if r["source"] == "a")
+    for slot in range(last + 1):
+        # released blocks, the earliest deadline first
+        name = min((-(-(done[n] + 1) // share[n]), n) for n in "abc" if done[n] // share[n] <= slot)[1]
+        slot_of[name, done[name]] = slot
+        done[name] += 1
+        assert all(abs(done[n] - share[n] * (slot + 1)) < 1 for n in "abc")
+    seen = [r for r in got if (r["source"], r["block"]) in slot_of]
+    assert len(seen) > 1_000 and all(r["slot"] == slot_of[r["source"], r["block"]] for r in seen)
+    assert len(got) == len(docs)
+
+
+def test_weights_that_cannot_be_met(spark):
+    with pytest.raises(ValueError):
+        mixing.exact_units({"a": 1.0, "b": 0.0})
+    fine = mixing.exact_units({"a": 0.1234567891, "b": 0.7654321})
+    assert sum(fine.values()) == mixing.MOST_SLOTS
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href=/>Site</a></header><div class="cookie-notice">We use cookies</div><nav><ul><li><a href=1>One</a></li></ul></nav>
 <div id="content"><h1>Head &amp; line</h1><p>A first paragraph that is long enough to stand out among the lines of the page.</p><p>Short.
