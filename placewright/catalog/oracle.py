@@ -1419,3 +1419,16 @@ oracle(
     "SELECT candidate_id, job_id, seq, status, notes FROM status",
     "status",
 )
+oracle(
+    "channel_handoffs",
+    """
+WITH staged AS (
+  SELECT *, min(CASE WHEN turn % 4 = 3 THEN turn END) OVER (
+    PARTITION BY conv_id ORDER BY turn RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS handoff_turn
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+)
+SELECT conv_id AS thread_id, handoff_turn,
+  (max(struct_pack(t := turn, x := text)) FILTER (WHERE role = 'assistant' AND text <> '')).x AS summary,
+  count(*) AS messages
+FROM staged WHERE handoff_turn IS NOT NULL GROUP BY conv_id, handoff_turn""",
+)

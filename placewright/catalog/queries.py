@@ -50,6 +50,7 @@ from placewright.plans.match import match_resumes, search_width
 from placewright.session import shared_folder
 from placewright.sources import payloads, resumes, tables
 from placewright.sources.buckets import BucketTable
+from placewright.streaming.channel import HANDOFF, handoffs, incremental_handoffs
 from placewright.streaming.incremental import (
     current_status,
     incremental_ingest,
@@ -790,3 +791,19 @@ def incremental_status_query(v: Views) -> DataFrame:
         )
     return current_status(v.spark, f"{folder}/status")
 
+
+
+@named("channel_handoffs")
+def channel_handoffs_query(v: Views) -> DataFrame:
+    """Every fourth turn hands off; the second run restarts from the checkpoint and adds nothing."""
+    folder = shared_folder(v.spark, "channel")
+    said = F.struct("role", "text")
+    mark = F.struct(F.lit(HANDOFF).alias("role"), F.lit(None).cast("string").alias("text"))
+    turns = (
+        _file_stream(v, "conversations")
+        .withColumn("said", F.explode(F.when(F.col("turn") % 4 == 3, F.array(said, mark)).otherwise(F.array(said))))
+        .select(F.col("conv_id").alias("thread_id"), "turn", "said.role", "said.text")
+    )
+    for _ in range(2):
+        incremental_handoffs(turns, f"{folder}/closed", f"{folder}/progress")
+    return handoffs(v.spark, f"{folder}/closed")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from placewright.sources.tables import read_table
+from placewright.streaming.channel import handoffs, incremental_handoffs, late_turns
 from placewright.streaming.incremental import (
     current_status,
     incremental_ingest,
@@ -54,3 +55,35 @@ def test_status_keeps_the_latest(spark, tmp_path):
     land(spark, landed, [(1, "a", 9, "applied", "ok")], EVENT)
     assert run() == [(1, "a", 9, "applied", "ok"), (2, "a", 1, "skipped", None)]
     assert run() == [(1, "a", 9, "applied", "ok"), (2, "a", 1, "skipped", None)]
+
+
+TURN = "thread_id BIGINT, turn BIGINT, role STRING, text STRING"
+
+
+def test_handoff_hands_on_the_summary_and_clears_the_channel(spark, tmp_path):
+    landed, table = str(tmp_path / "turns"), f"{tmp_path}/closed"
+
+    def run():
+        incremental_handoffs(spark.readStream.schema(TURN).json(landed), table, f"{tmp_path}/progress")
+        return sorted(tuple(r) for r in handoffs(spark, table).collect())
+
+    # no hand-off yet: everything stays in the channel
+    land(spark, landed, [(1, 0, "user", "hello"), (1, 1, "assistant", "first"), (2, 0, "assistant", "")], TURN)
+    assert run() == []
+    # the channel outlives the run; rows of a batch come in any order
+    land(spark, landed, [(1, 3, "handoff", None), (1, 2, "assistant", "second"), (1, 4, "assistant", "of the next stage"), (2, 1, "handoff", None)], TURN)
+    assert run() == [(1, 3, "second", 3), (2, 1, None, 1)]
+    assert run() == [(1, 3, "second", 3), (2, 1, None, 1)]
+    # the next stage knows nothing of the first; a late turn is counted, not mixed in
+    land(spark, landed, [(1, 5, "user", "and?"), (1, 2, "assistant", "late"), (1, 9, "handoff", None), (None, 1, "user", "x"), (3, None, "user", "x")], TURN)
+    assert run() == [(1, 3, "second", 3), (1, 9, "of the next stage", 2), (2, 1, None, 1)]
+    assert [tuple(r) for r in late_turns(spark, table).collect()] == [(1, 1)]
+
+
+def test_many_turns_of_one_thread_and_many_stages(spark, tmp_path):
+    landed, table = str(tmp_path / "turns"), f"{tmp_path}/closed"
+    rows = [(7, t, "assistant" if t % 3 else "user", f"t{t}") for t in range(3_000)] + [(7, t, "handoff", None) for t in range(99, 3_000, 100)]
+    land(spark, landed, rows, TURN)
+    incremental_handoffs(spark.readStream.schema(TURN).json(landed), table, f"{tmp_path}/progress")
+    want = [(7, h, f"t{h if h % 3 else h - 1}", 100) for h in range(99, 3_000, 100)]
+    assert sorted(tuple(r) for r in handoffs(spark, table).collect()) == want
