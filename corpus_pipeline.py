@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.llm import bpe, mixing, near_dup, quality, queries, secret_scan
@@ -54,33 +54,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` read from files with ``__place``: the number of rows before each, by part of the file's name, then row.
+    """``docs`` read from files with ``__place``, which grows with the rows in the order they were written.
 
-    NULL for rows that come from no file. A row is counted per file, so nothing is sorted or moved.
+    It is made of the numbers in the file's name (part, then piece) and of the row's number in the file, so nothing is counted,
+    joined or moved. NULL for rows that come from no file.
     """
     try:
         docs.select("_metadata.file_name")
     except AnalysisException:
         return docs.withColumn("__place", F.lit(None).cast("long"))
     name = F.col("_metadata.file_name")
-    file = F.struct(
-        *(F.regexp_extract(name, pattern, 1).try_cast("long").alias(part) for part, pattern in (("part", r"part-(\d+)"), ("piece", r"\.c(\d+)"))),
-        name.alias("name"),
-    )
-    located = docs.select(*docs.columns, file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    # one row a file
-    counts = located.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumnRenamed("__file", "f").select("f", before.alias("__before"))
-    return located.join(F.broadcast(starts), F.col("__file") == F.col("f")).select(
-        *docs.columns, (F.col("__before") + F.col("__row")).alias("__place")
+    part, piece = (
+        F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+        for pattern in (r"part-(\d+)", r"-c(\d+)")
     )
+    return docs.select(*docs.columns, (F.shiftleft(part, 40) + F.shiftleft(piece, 30) + F.col("_metadata.row_index")).alias("__place"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and of what they decode to.
 
-    ``mix_position`` is the document's place in the mix, from 0.
+    ``mix_position`` orders the documents as the mix does; its values leave gaps between files.
     """
     return bpe.round_trip(placed(docs), queries.rank_file(), ["doc_id", "source", "__place"], with_ids=True).withColumnRenamed(
         "__place", "mix_position"
