@@ -5,7 +5,8 @@ words, each labelled with its occurrence number. A sketch takes, for each of
 ``BANDS`` hash functions, the ``TAKEN`` shingles of least hash *in the order
 of the text*: two texts share a band if they share those shingles in that order. Candidate pairs are then
 aligned: the longest common subsequence of their shingles, occurrence numbers left
-out, so a passage that one text has twice and the other once meets its like wherever it stands; the similarity is aligned / (all shingles of both - aligned), and
+out, so a passage that one text has twice and the other once meets its like wherever it stands. Shingles that may stay unaligned at
+0.8 bound the diagonals that are looked at. The similarity is aligned / (all shingles of both - aligned), and
 0.8 or more is a link. Groups are the connected components of links.
 
 Equal word lists are one class from the start, so copies are never paired.
@@ -116,35 +117,70 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _common(one: np.ndarray, two: np.ndarray) -> int:
-    """Length of the longest common subsequence, a machine word of places at a time.
+def _common(one: np.ndarray, two: np.ndarray, apart: int) -> int:
+    """Length of the longest common subsequence, if it leaves at most ``apart`` shingles of both unaligned.
 
-    The time is the product of both lengths over the word size, however often a shingle is repeated.
+    An alignment that leaves ``d`` shingles out stays within ``d`` diagonals, so a band of that width holds it. Narrow bands come
+    first and a band is wide enough once what it leaves out fits in it: the time is the length times the differences over the
+    machine word, the memory one bit a diagonal. Beyond ``apart`` the result is some smaller number.
+    """
+    shift = len(two) - len(one)
+    apart = min(apart, len(one) + len(two))
+    if abs(shift) > apart:
+        return 0
+    width = min(apart, abs(shift) + 64)
+    while True:
+        found = _in_band(one, two, (width - shift) // 2, (width + shift) // 2)
+        if width >= apart or len(one) + len(two) - 2 * found <= width:
+            return found
+        width = min(apart, 4 * width)
+
+
+def _in_band(one: np.ndarray, two: np.ndarray, below: int, above: int) -> int:
+    """Longest common subsequence over places (i, j), those with -below <= j - i <= above included, bit by bit.
+
+    ``row`` has a zero at every place of the window where the length grows; zeros that leave the window are counted in ``passed``.
+    The window moves on every ``step`` rows and is that much wider than the band.
     """
     places = np.argsort(two, kind="stable")
     ranked = two[places]
     begin, end = np.searchsorted(ranked, one, "left").tolist(), np.searchsorted(ranked, one, "right").tolist()
-    whole = (1 << len(two)) - 1
-    row = whole
-    bits = np.zeros(len(two) // 8 + 1, np.uint8)
+    step = 1 + (below + above) // 16
+    spread = below + above + step
+    whole, entered = (1 << spread) - 1, ((1 << step) - 1) << (spread - step)
+    row, passed, start = whole, 0, -below
     often: dict[int, int] = {}
-    for a, b in zip(begin, end):
-        # masks are kept for at most 256 shingles: those of all would take the square of the length
+    for i, (a, b) in enumerate(zip(begin, end)):
+        if i and i % step == 0:
+            passed += step - (row & ((1 << step) - 1)).bit_count()
+            row = (row >> step) | entered
+            start += step
         if b - a == 1:
-            at = 1 << int(places[a])
-        elif a in often:
-            at = often[a]
+            spot = int(places[a]) - start
+            at = 1 << spot if 0 <= spot < spread else 0
         else:
-            bits[:] = 0
-            spots = places[a:b]
-            np.bitwise_or.at(bits, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
-            at = int.from_bytes(bits.tobytes(), "little")
+            held = places[a:b]
             if 256 * (b - a) >= len(two):
-                often[a] = at
+                # at most 256 shingles are this frequent
+                if a not in often:
+                    often[a] = _mask(held)
+                at = (often[a] >> start if start > 0 else often[a] << -start) & whole
+            else:
+                low, high = np.searchsorted(held, [start, start + spread])
+                at = _mask(held[low:high] - start)
         met = row & at
         if met:
             row = ((row + met) | (row - met)) & whole
-    return len(two) - row.bit_count()
+    return passed + spread - row.bit_count()
+
+
+def _mask(places: np.ndarray) -> int:
+    """An integer with the bits of rising ``places`` set."""
+    if not len(places):
+        return 0
+    bits = np.zeros(int(places[-1]) // 8 + 1, np.uint8)
+    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    return int.from_bytes(bits.tobytes(), "little")
 
 
 def similarity(one: np.ndarray, two: np.ndarray, at_least: float = SIMILAR) -> float:
@@ -186,7 +222,8 @@ def similarity(one: np.ndarray, two: np.ndarray, at_least: float = SIMILAR) -> f
         else:
             aligned = ends + len(path)
     else:
-        aligned = ends + _common(one, two)
+        # the shingles that may stay unaligned bound the band
+        aligned = ends + _common(one, two, int(np.floor(len(one) + len(two) + 2 * ends - 2 * needed)))
     found = aligned / (total - aligned)
     return found if found >= at_least - 1e-12 else 0.0
 

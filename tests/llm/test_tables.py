@@ -108,6 +108,36 @@ def test_alignment_equals_a_table_of_all_prefixes():
     assert near_dup.similarity(np.append(many, [1, 2]), np.append([3], many)) > 0.99
 
 
+def test_banded_alignment_equals_the_whole_table():
+    draw = np.random.default_rng(9)
+    narrow = 0
+    for _ in range(300):
+        one = draw.integers(0, int(draw.integers(2, 60)), int(draw.integers(80, 160)))
+        two = one.tolist()
+        for _ in range(int(draw.integers(0, 30))):
+            spot = int(draw.integers(0, len(two)))
+            two[spot : spot + int(draw.integers(0, 2))] = draw.integers(0, 60, int(draw.integers(0, 2))).tolist()
+        two = np.array(two)
+        row = [0] * (len(two) + 1)
+        for x in one.tolist():
+            above, row = row, [0]
+            for k, y in enumerate(two.tolist()):
+                row.append(above[k] + 1 if x == y else max(above[k + 1], row[k]))
+        left_out = len(one) + len(two) - 2 * row[-1]
+        assert near_dup._common(one, two, left_out) == row[-1]
+        assert near_dup._common(one, two, 1_000) == row[-1]
+        assert near_dup._common(one, two, left_out - 1) <= row[-1]
+        narrow += left_out < 32
+    assert narrow > 100
+    # places far apart in a long text, some shingles repeated: a band of a few hundred diagonals is enough
+    long = draw.integers(0, 1 << 62, 150_000)
+    long[::1_000] = 5
+    other = np.delete(long, draw.integers(0, len(long), 200))
+    lost = len(long) - len(other)
+    assert near_dup.similarity(long, other) == pytest.approx(len(other) / (len(long) + len(other) - len(other)))
+    assert near_dup._common(long, other, lost) == len(other)
+
+
 def test_near_copies_of_odd_rows(odd, none):
     got = collections.defaultdict(list)
     for r in near_dup.near_duplicates(odd).collect():
