@@ -1,16 +1,20 @@
-"""A quality classifier without gold labels.
+"""A quality classifier by weak labels.
 
-Ten overlapping heuristic labellers vote *clean*, *junk*, *abusive* or abstain. Expectation-maximisation
-over the counts of vote patterns (at most ``4 ** 10`` rows, a few hundred in practice) estimates how often each labeller
+Eleven overlapping heuristic labellers vote *clean*, *junk*, *abusive* or abstain. Expectation-maximisation
+over the counts of vote patterns (at most ``4 ** 11`` rows, a few hundred in practice) estimates how often each labeller
 says what in each class, and so a posterior for every pattern. A linear softmax
 scorer on hashed features is then trained on the posteriors of ``SAMPLE``
 documents, and scores every document. The vote patterns and the features come from all of a text.
 
-The training sample is the one bound: the ``SAMPLE`` rows of least hash of
-(doc_id, text length). Votes, posteriors and scores cover all rows.
+Two labellers read a list of abuse in four languages, a third knows nothing of it: its words are learnt from documents that are
+labelled toxic or not (``learn_abuse``). Without such labels it abstains.
+
+Bounds: the scorer's training sample is one row of each of the ``SAMPLE`` ids of least hash, words are learnt from one row of each
+of the ``LABELLED`` labelled ids of least hash. Votes, posteriors and scores cover all rows.
 
 A null, empty or wordless text has no features; it is scored by the intercept alone and
-counts as clean unless the intercept says otherwise. Repeated rows get the same score each. An empty
+counts as clean unless the intercept says otherwise. Repeated rows get the same score each; of rows that repeat an id the samples
+hold the longest text. Labels may be null, repeated (toxic in one row is toxic) or of no document. An empty
 table gives no rows and trains nothing.
 """
 
@@ -22,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +37,39 @@ CLEAN, JUNK, ABUSIVE = range(3)
 ABSTAIN = 3
 #: Documents the scorer is trained on.
 SAMPLE = 4_000
+TRUST = 0.1
 #: Hashed features: two signed buckets a word, and the shape features before them.
 BUCKETS = 1 << 18
 SHAPES = 128
-# Words of abuse, lower case.
-INSULTS = [
-    "clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless",
-]
+#: Labelled documents that words of abuse are learnt from; least share of a word's contexts that are toxic, and the chance
+#: of learning any word where none is abuse.
+LABELLED = 4_000
+TOXIC_SHARE = 0.9
+CHANCE = 1e-6
+# Words of abuse in English, German, French and Spanish, lower case, by the endings they take.
+INSULTS = {
+    ("", "s"): [
+        "asshole", "bastard", "bitch", "clown", "cretin", "dimwit", "dirtbag", "douchebag", "dumbass", "halfwit", "idiot",
+        "imbecile", "jerk", "loser", "moron", "nitwit", "retard", "scumbag", "weirdo",
+        "connard", "connasse", "débile", "imbécile", "minable", "ordure", "pathétique", "salaud", "salope", "stupide",
+        "asquerosa", "asqueroso", "despreciable", "escoria", "estúpida", "estúpido", "gilipollas", "idiota", "patética", "patético",
+        "payaso", "pendejo",
+    ],
+    ("", "ly"): ["brainless", "disgusting", "dumb", "filthy", "gutless", "idiotic", "moronic", "pathetic", "spineless", "stupid", "worthless"],
+    ("", "e", "en", "er", "es"): ["dämlich", "erbärmlich", "widerlich", "wertlos", "mistkerl", "vollidiot"],
+    ("", "en", "n"): ["depp", "idiot", "schlampe", "trottel", "versager", "wichser"],
+    ("", "e", "es", "s"): ["abruti", "crétin", "dégoûtant", "idiot"],
+    ("", "es"): ["imbécil", "inútil", "cabron"],
+    ("",): [
+        "abschaum", "arschloch", "arschlöcher", "basura", "blödmann", "cabrón", "drecksack", "dummkopf", "dummköpfe", "hurensohn",
+        "pourriture", "raclure", "schwachkopf", "scum", "stupidity", "trash",
+    ],
+}
 # Signs that prose hardly uses.
 SIGNS = "#*$%&|<>{}[]\\^~=_"
 LABELLERS = [
     "signs", "capitals", "shouting", "stutter", "same_lines", "letters", "bare_signs", "same_passages", "insults", "insult_rate",
+    "learnt",
 ]
 
 UPPER, LOWER, DIGIT, SIGN, MARK, OTHER = 1, 2, 4, 8, 16, 32
@@ -61,15 +88,28 @@ def _byte_kinds() -> np.ndarray:
 
 @lru_cache(1)
 def _insult_hashes() -> np.ndarray:
-    data = np.frombuffer(" ".join(INSULTS).encode(), np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in INSULTS]) - 1
-    return np.sort(range_hashes(data, ends - [len(w) for w in INSULTS], ends, fold=True))
+    words = [(stem + ending).encode() for endings, stems in INSULTS.items() for stem in stems for ending in endings]
+    length = np.array([len(w) for w in words])
+    ends = np.cumsum(length + 1) - 1
+    return np.unique(range_hashes(np.frombuffer(b" ".join(words), np.uint8), ends - length, ends, fold=True))
+
+
+NOTHING = np.zeros(0, np.uint64)
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each hash is one of ``known``, which rise."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
 class Blocks:
-    """Per-word facts of a block of texts, and sums of them by text."""
+    """Per-word facts of a block of texts, and sums of them by text. ``learnt`` holds hashes of learnt words, rising."""
 
-    def __init__(self, data: np.ndarray, hashes: np.ndarray, cuts: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def __init__(
+        self, data: np.ndarray, hashes: np.ndarray, cuts: np.ndarray, starts: np.ndarray, ends: np.ndarray, learnt: np.ndarray = NOTHING
+    ):
         self.cuts, self.hashes = cuts, hashes
         low = int(starts[0])
         piece = data[low : int(ends[-1])]
@@ -93,8 +133,9 @@ class Blocks:
             left += ~solid[np.minimum(left, len(piece) - 1)] & (left < right - 1)
             right -= ~solid[right - 1] & (right - 1 > left)
         self.bare = range_hashes(piece, left, right, fold=True)
-        known = _insult_hashes()
-        self.insult = known[np.minimum(np.searchsorted(known, self.bare), len(known) - 1)] == self.bare
+        self.insult = _among(self.bare, _insult_hashes())
+        self.taught = len(learnt) > 0
+        self.learnt = _among(self.bare, learnt)
         newline = np.concatenate([[0], np.cumsum(piece == 0x0A)])
         self.line = newline[self.starts]
         self.facts = self._facts()
@@ -131,7 +172,7 @@ class Blocks:
         five = shingles(self.hashes, 5)[whole] if len(whole) else np.zeros(0, np.uint64)
         chars = self._sums(self.chars)
         letters = self._sums(self.upper + self.lower + self.wide)
-        insults = self._sums(self.insult)
+        insults, learnt = self._sums(self.insult), self._sums(self.learnt)
         return {
             "words": n,
             "signs": self._sums(self.signs) / least,
@@ -144,6 +185,9 @@ class Blocks:
             "same_passages": self._repeated(five, owner[whole]),
             "insults": insults,
             "insult_rate": insults / least,
+            # no number where no word is known
+            "learnt": learnt if self.taught else np.full(len(n), -1),
+            "learnt_rate": learnt / least,
         }
 
     def text(self, k: int) -> dict:
@@ -173,8 +217,8 @@ def votes(facts: dict) -> list[int]:
             out.append(CLEAN if facts["words"] < least or value <= clean else JUNK if value >= junk else ABSTAIN)
         elif name == "letters":
             out.append(CLEAN if facts["words"] < 20 or value > 0.75 else JUNK if value < 0.6 else ABSTAIN)
-        elif name == "insults":
-            out.append(ABUSIVE if value >= 1 else CLEAN)
+        elif name in ("insults", "learnt"):
+            out.append(ABSTAIN if value < 0 else ABUSIVE if value >= 1 else CLEAN)
         else:
             out.append(ABUSIVE if value >= 0.005 else CLEAN)
     return out
@@ -191,7 +235,7 @@ def features(block: Blocks, k: int) -> tuple[np.ndarray, np.ndarray]:
     )
     seen = np.bincount(shape, minlength=64) / n
     extra = [facts[x] for x in ("same_lines", "same_passages", "capitals", "bare_signs", "stutter")]
-    extra.append(min(1.0, 20 * facts["insult_rate"]))
+    extra += [min(1.0, 20 * facts[x]) for x in ("insult_rate", "learnt_rate")]
     shapes = np.concatenate([seen, extra])
     used = np.flatnonzero(shapes)
     words, count = np.unique(block.bare[part], return_counts=True)
@@ -206,7 +250,7 @@ def features(block: Blocks, k: int) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def _each_text(texts: pa.Array) -> Iterator[tuple[int, Blocks, int]]:
+def _each_text(texts: pa.Array, learnt: np.ndarray = NOTHING) -> Iterator[tuple[int, Blocks, int]]:
     """Row, block and place in it of every text with a word."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
@@ -214,19 +258,19 @@ def _each_text(texts: pa.Array) -> Iterator[tuple[int, Blocks, int]]:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     for row, hashes, cuts, starts, ends in hashed_words(texts):
         if len(hashes):
-            block = Blocks(data, hashes, cuts, starts, ends)
+            block = Blocks(data, hashes, cuts, starts, ends, learnt)
             for k in range(len(cuts) - 1):
                 if cuts[k + 1] > cuts[k]:
                     yield row + k, block, k
 
 
-def vote_patterns(documents: DataFrame) -> DataFrame:
+def vote_patterns(documents: DataFrame, learnt: Broadcast | None = None) -> DataFrame:
     """``doc_id`` and ``pattern``, the votes as a string of digits (null: no word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[str | None] = [None] * batch.num_rows
-            for row, block, k in _each_text(batch.column("text")):
+            for row, block, k in _each_text(batch.column("text"), learnt.value if learnt else NOTHING):
                 found[row] = "".join(map(str, votes(block.text(k))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "pattern"])
 
@@ -237,17 +281,88 @@ def _plain(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _one_each(plain: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The longest text of every chosen id (ties by hash); ``chosen`` has as many rows as a sample at most."""
+    held = plain.join(F.broadcast(chosen), "doc_id")
+    rank = F.struct(F.length("text"), F.xxhash64("text"))
+    return held.groupBy(*chosen.columns).agg(F.max_by("text", rank).alias("text"))
+
+
+def learn_abuse(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> np.ndarray:
+    """Rising hashes of words that toxic documents use and others do not.
+
+    What counts are a word's different neighbours, the fewer of those before and after it, so copies of a text bear witness once
+    and near copies as often as an edit falls beside the word. A word is learnt if ``TOXIC_SHARE`` of its contexts are toxic ones
+    and if, by Chernoff's bound shared among all words, so many of them would not come by chance. ``labels`` has ``doc_id`` and ``toxic`` (0 or 1).
+    """
+    chosen = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        .where("doc_id is not null and toxic is not null")
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
+        .orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
+        .limit(labelled)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+            for row, block, k in _each_text(batch.column("text")):
+                words = block.bare[block.cuts[k] : block.cuts[k + 1]]
+                around = np.pad(words, 1)
+                found = np.unique(np.stack([words, around[:-2], around[2:]], axis=1), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.ascontiguousarray(found[:, j])) for j in range(3)), pa.array(np.full(len(found), toxic[row], np.int32))],
+                    ["word", "before", "after", "toxic"],
+                )
+
+    contexts = (
+        _one_each(_plain(documents), chosen)
+        .mapInArrow(run, "word bigint, before bigint, after bigint, toxic int")
+        .groupBy("word", "before", "after")
+        .agg(F.max("toxic").alias("toxic"))
+    )
+    # neighbours first, then words: a frequent word is counted in two steps
+    sides = [
+        contexts.groupBy("word", F.col(side).alias("beside")).agg(F.max("toxic").alias("toxic")).groupBy("word")
+        .agg(F.count(F.lit(1)).alias(f"n_{side}"), F.sum("toxic").alias(f"bad_{side}"))
+        for side in ("before", "after")
+    ]
+    counted = sides[0].join(sides[1], "word").select(
+        "word",
+        F.least("bad_before", "bad_after").alias("bad"),
+        F.greatest(F.col("n_before") - F.col("bad_before"), F.col("n_after") - F.col("bad_after")).alias("good"),
+    )
+    counted = counted.select("word", "bad", (F.col("bad") + F.col("good")).alias("n"))
+    counted = Stored(documents.sparkSession, "abuse").table(counted, "words")
+    total = counted.agg(F.sum("n"), F.sum("bad"), F.count(F.lit(1))).first()
+    if not total[1] or total[1] == total[0]:
+        return NOTHING
+    usual, limit = total[1] / total[0], float(np.log(total[2] / CHANCE))
+    share = F.col("bad") / F.col("n")
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - usual))).otherwise(0.0)
+    found = counted.where((share >= max(TOXIC_SHARE, usual)) & (F.col("n") * (share * F.log(share / usual) + rest) >= limit))
+    # at most the words of the sample
+    return np.sort(np.array([r["word"] for r in found.select("word").collect()], np.int64).view(np.uint64))
+
+
 def fit_labels(patterns: list[str], counts: list[int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM of Dawid and Skene: posterior by pattern, class shares, vote rates.
 
     ``rates[l, c, v]`` is how often labeller ``l``, votes ``v`` (3: abstains) in class ``c``. The start is
-    the vote itself: abusive if any labeller says so, else junk if any does.
+    the vote itself: abusive if any labeller says so, else junk if any does. Junk and abuse that no labeller votes for are not
+    believed, so the classes keep their meaning however few votes one has. Labellers of abuse are trusted in advance not to warn
+    of clean documents, as if they had passed ``TRUST`` of all: a lone one would else be neither believed nor doubted.
     """
     seen = np.array([[int(v) for v in p] for p in patterns])
     weight = np.array(counts, float)
     start = np.where((seen == ABUSIVE).any(axis=1), ABUSIVE, np.where((seen == JUNK).any(axis=1), JUNK, CLEAN))
+    possible = np.stack([(seen == c).any(axis=1) | (c == CLEAN) for c in range(3)], axis=1)
     posterior = np.full((len(seen), 3), 0.05)
     posterior[np.arange(len(seen)), start] = 0.9
+    warned = (seen == ABUSIVE).any(axis=0)
+    posterior *= possible
+    posterior /= posterior.sum(axis=1, keepdims=True)
     shares = rates = None
     for _ in range(rounds):
         mass = posterior * weight[:, None]
@@ -258,8 +373,10 @@ def fit_labels(patterns: list[str], counts: list[int], rounds: int = 50) -> tupl
                 for j in range(seen.shape[1])
             ]
         )
+        rates[warned, CLEAN, CLEAN] += TRUST * weight.sum()
         rates /= rates.sum(axis=2, keepdims=True)
         logs = np.log(shares) + sum(np.log(rates[j][:, seen[:, j]]).T for j in range(seen.shape[1]))
+        logs[~possible] = -np.inf
         logs -= logs.max(axis=1, keepdims=True)
         fresh = np.exp(logs)
         fresh /= fresh.sum(axis=1, keepdims=True)
@@ -299,31 +416,33 @@ def fit_scorer(
     return weights(np.arange(size)), bias
 
 
-def classify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classify(documents: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
     """``doc_id, p_clean, p_junk, p_abusive, weak_clean, kept`` for every document.
 
     ``weak_clean`` is the label model's own posterior; ``kept`` says that clean is the
-    scorer's likeliest class.
+    scorer's likeliest class. ``labels`` (``doc_id``, ``toxic``) teaches words of abuse.
     """
-    return _scored(documents, ["doc_id"], sample).select(F.col("row.doc_id").cast("long").alias("doc_id"), "verdict.*")
+    return _scored(documents, ["doc_id"], sample, labels).select(F.col("row.doc_id").cast("long").alias("doc_id"), "verdict.*")
 
 
-def keep_clean(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_clean(documents: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
     """The rows, with all columns, whose likeliest class is clean."""
-    return _scored(documents, documents.columns, sample).where("verdict.kept").select("row.*")
+    return _scored(documents, documents.columns, sample, labels).where("verdict.kept").select("row.*")
 
 
-def _scored(documents: DataFrame, columns: list[str], sample: int) -> DataFrame:
+def _scored(documents: DataFrame, columns: list[str], sample: int, labels: DataFrame | None) -> DataFrame:
     """``row``, the given columns, and ``verdict`` of every document."""
     spark = documents.sparkSession
     stored = Stored(spark, "quality")
-    patterns = stored.table(vote_patterns(documents).select("pattern"), "patterns")
-    # at most 4 ** 10 rows, whatever the number of documents
+    words = learn_abuse(documents, labels) if labels is not None else NOTHING
+    learnt = spark.sparkContext.broadcast(words)
+    patterns = stored.table(vote_patterns(documents, learnt).select("pattern"), "patterns")
+    # at most 4 ** 11 rows, whatever the number of documents
     counted = patterns.where("pattern is not null").groupBy("pattern").count().orderBy("pattern").collect()
     if counted:
         posterior, _, _ = fit_labels([r["pattern"] for r in counted], [r["count"] for r in counted])
         by_pattern = {r["pattern"]: posterior[k] for k, r in enumerate(counted)}
-        weights, bias = fit_scorer(_training_rows(documents, by_pattern, sample))
+        weights, bias = fit_scorer(_training_rows(documents, by_pattern, sample, learnt))
     else:
         by_pattern, weights, bias = {}, np.zeros((SHAPES + BUCKETS, 3)), np.zeros(3)
     model = spark.sparkContext.broadcast((weights.astype(np.float32), bias, by_pattern))  # 3 MB at any size of the input
@@ -339,7 +458,7 @@ def _scored(documents: DataFrame, columns: list[str], sample: int) -> DataFrame:
         for batch in batches:
             scores = np.tile(b, (batch.num_rows, 1))
             belief: list[float | None] = [None] * batch.num_rows
-            for row, block, k in _each_text(batch.column("text")):
+            for row, block, k in _each_text(batch.column("text"), learnt.value):
                 at, value = features(block, k)
                 scores[row] = b + value.astype(float) @ w[at]
                 belief[row] = float(weak["".join(map(str, votes(block.text(k))))][CLEAN])
@@ -357,15 +476,15 @@ def _scored(documents: DataFrame, columns: list[str], sample: int) -> DataFrame:
     return rows.mapInArrow(run, fields)
 
 
-def _training_rows(documents: DataFrame, by_pattern: dict, sample: int) -> list:
-    """Features and posteriors of the ``sample`` documents of least hash."""
+def _training_rows(documents: DataFrame, by_pattern: dict, sample: int, learnt: Broadcast) -> list:
+    """Features and posteriors of one row of each of the ``sample`` ids of least hash."""
     plain = _plain(documents)
     order = F.xxhash64("doc_id", F.lit(4))
     chosen = plain.where("doc_id is not null").select(order.alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, block, k in _each_text(batch.column("text")):
+            for row, block, k in _each_text(batch.column("text"), learnt.value):
                 at, value = features(block, k)
                 pattern = "".join(map(str, votes(block.text(k))))
                 yield pa.RecordBatch.from_arrays(
@@ -377,8 +496,7 @@ def _training_rows(documents: DataFrame, by_pattern: dict, sample: int) -> list:
                 )
 
     held = (
-        plain.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # ``sample`` ids
-        .select("doc_id", "text")
+        _one_each(plain, chosen.select("doc_id"))
         .mapInArrow(run, "doc_id bigint, pattern string, at binary, value binary")
         .collect()
     )

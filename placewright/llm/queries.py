@@ -42,7 +42,7 @@ def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"))
+    return quality.classify(_table(spark, sf_dir, "documents"), labels=_table(spark, sf_dir, "labels"))
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from placewright.llm import bpe, cascade, main_text, mixing, ngram, quality, queries, secret_scan
 from placewright.llm.common import hashed_words, labelled, runs, shingles
@@ -22,6 +23,8 @@ from conftest_rows import prose, rows
 RAW = queries.rank_file()
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, RAW.splitlines())}
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+#: Words of abuse in the test tables.
+ABUSE = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -211,15 +214,53 @@ def test_filter_returns_levels():
 
 def test_classifier_on_labels(spark):
     folder = "/root/testdata/sf0.01"
-    got = quality.classify(spark.read.parquet(f"{folder}/documents.parquet"))
     labels = spark.read.parquet(f"{folder}/labels.parquet")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    got = quality.classify(documents, labels=labels)
     seen = got.join(labels, "doc_id").collect()
     clean = [r for r in seen if r["quality"] == 1 and r["toxic"] == 0]
     junk = [r for r in seen if r["quality"] == 0]
     assert sum(r["kept"] for r in clean) >= 0.99 * len(clean)
+    # a fifth of the documents labelled toxic has no word of abuse, so nothing tells them from clean ones
+    toxic = [r for r in seen if r["toxic"] == 1]
+    insulting = {r["doc_id"] for r in documents.where(F.col("text").rlike(f"(?i)\\b({'|'.join(ABUSE)})\\b")).collect()}
+    plain = [r for r in toxic if r["doc_id"] in insulting]
+    assert len(plain) >= 0.6 * len(toxic) and not any(r["kept"] for r in plain)
     assert sum(not r["kept"] for r in junk) >= 0.95 * len(junk)
 
 
+def test_abuse_outside_the_list_is_learnt(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    # half of the labels teach, the others judge; the listed words are replaced by words that no list holds
+    taught = labels.where("doc_id % 2 = 0")
+    strange = F.col("text")
+    for k, word in enumerate(ABUSE):
+        strange = F.regexp_replace(strange, f"(?i){word}", f"zorb{'klmnprstvx'[k]}ak")
+    changed = documents.select("doc_id", strange.alias("text"))
+    seen = quality.classify(changed, labels=taught).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    clean = [r for r in seen if r["quality"] == 1 and r["toxic"] == 0]
+    insulting = {r["doc_id"] for r in changed.where("text rlike 'zorb[a-z]ak'").select("doc_id").collect()}
+    toxic = [r for r in seen if r["toxic"] == 1 and r["doc_id"] in insulting]
+    assert len(toxic) > 100 and sum(not r["kept"] for r in toxic) >= 0.95 * len(toxic)
+    assert sum(r["kept"] for r in clean) >= 0.99 * len(clean)
+
+
+def test_copies_of_one_text_teach_nothing(spark):
+    prose_rows = [(k, prose(900 + k, 60)) for k in range(300)]
+    copies = [(1_000 + k, f"{prose(1, 20)} blorp {prose(2, 20)}") for k in range(100)]
+    abuse = [(2_000 + k, f"{prose(5_000 + k, 20)} snark! {prose(7_000 + k, 20)}") for k in range(40)]
+    documents = spark.createDataFrame(prose_rows + copies + abuse, "doc_id bigint, text string")
+    labels = spark.createDataFrame(
+        [(k, 0, 9) for k, _ in prose_rows] + [(k, 1, 9) for k, _ in copies + abuse] + [(None, 1, 9), (1, None, 9), (77_777, 1, 9)],
+        "doc_id bigint, toxic int, text int",
+    )
+    known = {word: quality._among(next(quality._each_text(pa.array([word])))[1].bare, quality.learn_abuse(documents, labels))[0] for word in ("snark", "blorp")}
+    assert known == {"snark": True, "blorp": False}
+    assert not len(quality.learn_abuse(documents, labels.limit(0))) and not len(quality.learn_abuse(documents.limit(0), labels))
+
+
 def test_classifier_on_odd_rows(odd, none):
     got = quality.classify(odd).collect()
     assert len(got) == len(rows()) and all(abs(r["p_clean"] + r["p_junk"] + r["p_abusive"] - 1) < 1e-6 for r in got)
