@@ -13,8 +13,14 @@ from placewright.llm.common import Stored, without
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier finds junk or abusive go."""
-    return quality.keep_clean(docs)
+    """Documents that the quality classifier finds junk or abusive go. Words of abuse are learnt with ``labels``, if there are any."""
+    try:
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        labels = None
+    return quality.keep_clean(docs, labels=labels)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
