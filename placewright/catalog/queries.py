@@ -175,7 +175,7 @@ def load_candidates(v: Views) -> DataFrame:
     folder = shared_folder(v.spark, "resumes")
     key = F.concat("thread_id", F.lit("-"), "turn").alias("message")
     files = v.messages.select(key, F.col("text").alias("value"))
-    files.repartition("message").write.partitionBy("message").text(folder)
+    resumes.write_texts(files, folder, "message")
     people = resumes.load_candidates(v.spark, folder, r"message=([^/]+)/")
     return people.select(
         "candidate_id",

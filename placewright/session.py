@@ -58,6 +58,14 @@ def delete_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def mounted_path(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder on the machines' own (or mounted) file system; None on any other."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return None
+    return place.toUri().getPath()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
