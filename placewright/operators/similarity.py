@@ -4,7 +4,9 @@ The score is the inner product of unit vectors. Every candidate meets every
 vector, so the work is candidates x vectors x dimensions whatever the plan;
 what the plan decides is what moves. Both sides are cut into hashed blocks of
 bounded bytes, and each pair of blocks meets in one task (``cogroup``): nothing
-goes through the driver and no task holds more than one pair of blocks.
+goes through the driver and no task holds more than one pair of blocks. Within
+a task, candidates are searched in groups of bounded results, with job ids as
+numbers, so that beside the blocks it holds the rows it hands on and little else.
 
 The first block of vectors is searched first. The ``k``-th score a candidate
 finds there is a floor for its final ``k``-th score; it travels with the
@@ -20,6 +22,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +30,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from placewright.functions.vectors import SCORE_PLACES, similarity
 
-#: Bytes (float32) of a block of either side. A row is sent once per block of the
-#: other side, so larger blocks mean less traffic; a task holds two blocks as doubles.
+#: Bytes (float32) of a block of vectors; candidates come in blocks of half of it, as
+#: they bring ``k`` results each. A row is sent once per block of the other side, so
+#: larger blocks mean less traffic.
 BLOCK_BYTES = 32 * 1024 * 1024
+#: Best rows (candidates x k) kept at once while scanning; four times as many may wait.
+KEPT_AT_ONCE = 100_000
 #: Scores held at once while scanning (8 bytes each).
 SCORES_AT_ONCE = 4_000_000
 #: Partial results of one candidate that are ranked in one piece.
@@ -49,10 +55,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The best ``k`` (score, job_id) of each candidate seen so far.
+    """The best ``k`` (score, job) of each candidate seen so far.
 
-    Rows that can no longer make it are dropped before they are kept: a row
-    must reach the ``k``-th score its candidate already has.
+    Jobs are ids, or numbers in the order of their ids. Rows that can no longer make it
+    are dropped before they are kept: a row must reach the ``k``-th score its candidate already has.
     """
 
     def __init__(self, floor: np.ndarray, k: int) -> None:
@@ -60,7 +66,7 @@ class _Best:
         self.floor = floor
         self.who = np.empty(0, dtype=np.int64)
         self.score = np.empty(0, dtype=np.float64)
-        self.job = np.empty(0, dtype=object)
+        self.job: np.ndarray | None = None
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting_rows = 0
 
@@ -83,11 +89,11 @@ class _Best:
             return
         who = np.concatenate([self.who, *[w[0] for w in self.waiting]])
         score = np.concatenate([self.score, *[w[1] for w in self.waiting]])
-        job = np.concatenate([self.job, *[w[2] for w in self.waiting]])
+        job = np.concatenate([*([] if self.job is None else [self.job]), *[w[2] for w in self.waiting]])
         self.waiting, self.waiting_rows = [], 0
         # code point order, which is how Spark compares strings
-        _, text_rank = np.unique(job.astype(str), return_inverse=True)
-        order = np.lexsort((text_rank, -score, who))
+        place_of = np.unique(job.astype(str), return_inverse=True)[1] if job.dtype == object else job
+        order = np.lexsort((place_of, -score, who))
         who, score, job = who[order], score[order], job[order]
         first = np.searchsorted(who, who, side="left")
         place = np.arange(len(who)) - first
@@ -119,13 +125,10 @@ def _scan(
     return best
 
 
-def _result(best: _Best, candidate_ids: pa.Array) -> pa.RecordBatch:
+def _result(best: _Best, candidate_ids: pa.Array, job_ids: pa.Array) -> pa.RecordBatch:
+    at = np.empty(0, dtype=np.int64) if best.job is None else best.job
     return pa.RecordBatch.from_arrays(
-        [
-            candidate_ids.take(pa.array(best.who)),
-            pa.array(best.job, type=pa.string()),
-            pa.array(best.score, type=pa.float64()),
-        ],
+        [candidate_ids.take(pa.array(best.who)), job_ids.take(pa.array(at)), pa.array(best.score, type=pa.float64())],
         names=["candidate_id", "job_id", "score"],
     )
 
@@ -140,10 +143,28 @@ def _hit_schema(candidates: DataFrame) -> T.StructType:
     )
 
 
-def _blocks_of(rows: DataFrame, vector: str, least: int = 1) -> int:
-    """Number of blocks that keeps each below ``BLOCK_BYTES``."""
+def _blocks_of(rows: DataFrame, vector: str, most: float, least: int = 1) -> int:
+    """Number of blocks that keeps each below ``most`` bytes."""
     held = rows.agg(F.sum(4 * F.size(vector).cast("bigint"))).first()[0] or 0
-    return max(least, math.ceil(held / BLOCK_BYTES))
+    return max(least, math.ceil(held / most))
+
+
+def _search(some: pa.Table, others: pa.Table, k: int) -> pa.Table:
+    """Best ``k`` among ``others`` of each of ``some``."""
+    jobs = others.column("job_id").combine_chunks()
+    # a job's number is the place of its id in text order
+    in_order = pc.array_sort_indices(jobs, null_placement="at_start")
+    numbers = np.empty(len(jobs), dtype=np.int64)
+    numbers[in_order.to_numpy()] = np.arange(len(jobs))
+    jobs, vectors = jobs.take(in_order), _matrix(others.column("embedding"))
+    ids, people = some.column("candidate_id").combine_chunks(), _matrix(some.column("resume_embedding"))
+    floor = some.column("floor").to_numpy().astype(np.float64)
+    floor = np.where(np.isnan(floor), -np.inf, floor)
+    step = max(1, KEPT_AT_ONCE // k)
+    parts = (slice(start, start + step) for start in range(0, len(people), step))
+    return pa.Table.from_batches(
+        [_result(_scan(people[part], [(numbers, vectors)], k, floor[part]), ids[part], jobs) for part in parts]
+    )
 
 
 def _meeting(left: DataFrame, right: DataFrame, k: int, schema: T.StructType) -> DataFrame:
@@ -152,16 +173,7 @@ def _meeting(left: DataFrame, right: DataFrame, k: int, schema: T.StructType) ->
     def meet(some: pa.Table, others: pa.Table) -> pa.Table:
         if not some.num_rows or not others.num_rows:
             return pa.Table.from_batches([], schema=out_schema)
-        jobs = np.asarray(others.column("job_id").to_pylist(), dtype=object)
-        floor = some.column("floor").to_numpy().astype(np.float64)
-        best = _scan(
-            _matrix(some.column("resume_embedding")),
-            [(jobs, _matrix(others.column("embedding")))],
-            k,
-            np.where(np.isnan(floor), -np.inf, floor),
-        )
-        ids = some.column("candidate_id").combine_chunks()
-        return pa.Table.from_batches([_result(best, ids)])
+        return _search(some, others, k)
 
     out_schema = to_arrow_schema(schema)
     return (
@@ -201,10 +213,10 @@ def topk_similar(candidates: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     )
     stored = vectors.select("job_id", "embedding").where(F.col("embedding").isNotNull())
     schema = _hit_schema(candidates)
-    blocks = _blocks_of(people, "resume_embedding")
+    blocks = _blocks_of(people, "resume_embedding", BLOCK_BYTES / 2)
     # enough cells to use all cores where bytes alone would make fewer
     cores = people.sparkSession.sparkContext.defaultParallelism
-    cells = _blocks_of(stored, "embedding", max(2, math.ceil(cores / blocks)))
+    cells = _blocks_of(stored, "embedding", BLOCK_BYTES, max(2, math.ceil(cores / blocks)))
     placed = people.withColumn(
         "block", F.pmod(F.xxhash64(F.col("candidate_id").cast("string")), F.lit(blocks)).cast("int")
     )

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from placewright import schemas
@@ -69,6 +72,29 @@ def test_small_byte_blocks_give_the_same(tables, monkeypatch):
     assert as_set(topk_similar(c, j, 7)) == brute(people, jobs, 7)
 
 
+def test_groups_of_candidates_give_the_same(tables, monkeypatch):
+    people, jobs, c, j = tables
+    monkeypatch.setattr(similarity, "KEPT_AT_ONCE", 21)
+    assert as_set(topk_similar(c, j, 7)) == brute(people, jobs, 7)
+
+
+def test_memory_of_a_search_does_not_grow_with_candidates():
+    """What is held beside the blocks and the rows handed on is bounded."""
+    rng = np.random.default_rng(3)
+    jobs = unit(rng, 4_000)
+    others = pa.table({"job_id": [str(n) for n in range(len(jobs))], "embedding": jobs.tolist()})
+    beside = []
+    for n in (10_000, 40_000):
+        some = pa.table({"candidate_id": np.arange(n), "resume_embedding": unit(rng, n).tolist(), "floor": pa.nulls(n, pa.float64())})
+        tracemalloc.start()
+        found = similarity._search(some, others, 20)
+        beside.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found.num_rows == 20 * n
+    # the inputs of the larger one are 2 MB more, its results 14 MB as arrays
+    assert beside[1] - beside[0] < 40e6
+
+
 def test_floor_keeps_ties(spark, monkeypatch):
     """Equal vectors in all cells: the floor is every score."""
     same = [1.0] + [0.0] * (DIM - 1)
