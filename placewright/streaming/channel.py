@@ -3,9 +3,9 @@
 Turns of a stage are appended to its channel; a hand-off closes the stage: its summary (the last non-empty assistant turn
 of the channel) is handed on and the channel is cleared, so that the next stage starts from typed rows only.
 
-The channel of a thread is dealt by turn over ``PARTS`` state keys and a hand-off goes to all of them, so a
-thread that holds much of a stream is not one task's work. Each part tells what it has of a stage; readers
-fold the parts. Order comes from ``turn``, not from arrival within a batch. A turn that arrives after the hand-off that closed its
+The channel of a thread is dealt by spans of ``SPAN`` turns over ``PARTS`` state keys, so a thread that holds much of a stream
+is not one task's work and one of fewer turns is one key. A hand-off goes to the parts that earlier turns may lie in. Each part
+tells what it has of a stage; readers fold the parts. Order comes from ``turn``, not from arrival within a batch. A turn that arrives after the hand-off that closed its
 stage is no longer in any channel: it is counted as ``late`` for that thread. Rows without a thread or a turn belong to no channel.
 """
 
@@ -24,6 +24,8 @@ from placewright.streaming.incremental import run_available
 
 HANDOFF = "handoff"
 PARTS = 8
+#: Turns in a row that share a part. A checkpoint belongs to the values of PARTS and SPAN it was made with.
+SPAN = 16
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CLOSED = "thread_id BIGINT, handoff_turn BIGINT, spoken_turn BIGINT, spoken STRING, messages BIGINT, late BIGINT"
 
@@ -92,8 +94,10 @@ def incremental_handoffs(stream: DataFrame, table: str, checkpoint: str) -> None
     stream: ``thread_id BIGINT, turn BIGINT, role STRING, text STRING``; a row of role ``HANDOFF`` ends the stage after its turn.
     """
     spark = stream.sparkSession
-    parts = F.when(F.col("role") == HANDOFF, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(
-        F.array(F.pmod("turn", F.lit(PARTS)).cast("int"))
+    # part k has no turn below k * SPAN
+    span = F.floor(F.greatest("turn", F.lit(0)) / SPAN)
+    parts = F.when(F.col("role") == HANDOFF, F.sequence(F.lit(0), F.least(span, F.lit(PARTS - 1)).cast("int"))).otherwise(
+        F.array((span % PARTS).cast("int"))
     )
     closed = (
         stream.where("thread_id IS NOT NULL AND turn IS NOT NULL")

@@ -87,3 +87,30 @@ def test_many_turns_of_one_thread_and_many_stages(spark, tmp_path):
     incremental_handoffs(spark.readStream.schema(TURN).json(landed), table, f"{tmp_path}/progress")
     want = [(7, h, f"t{h if h % 3 else h - 1}", 100) for h in range(99, 3_000, 100)]
     assert sorted(tuple(r) for r in handoffs(spark, table).collect()) == want
+
+
+def test_a_short_thread_is_one_state_key(spark, tmp_path):
+    landed, table = str(tmp_path / "turns"), f"{tmp_path}/closed"
+    land(spark, landed, [(t, n, "user", "x") for t in range(5) for n in range(8)] + [(t, n, "handoff", None) for t in range(5) for n in (3, 7)], TURN)
+    incremental_handoffs(spark.readStream.schema(TURN).json(landed), table, f"{tmp_path}/progress")
+    # every key tells once of every stage it knows of
+    assert read_table(spark, table, "thread_id BIGINT, handoff_turn BIGINT").count() == 10
+
+
+def test_stages_over_all_spans(spark, tmp_path):
+    """Turns below zero, hand-offs far from their turns, and turns left for a later run."""
+    landed, table = str(tmp_path / "turns"), f"{tmp_path}/closed"
+    turns = {5: [*range(-20, 300, 3)], 6: [0, 15, 16, 31, 32, 127, 128, 129, 5_000], 7: [10**17 + n for n in range(40)]}
+    ends = {5: [-1, 0, 100, 101, 290], 6: [16, 128, 4_999], 7: [10**17 + 1, 10**17 + 38]}
+    for run in (0, 1):
+        rows = [(k, t, "assistant", f"t{t}") for k in turns for t in turns[k]] if run == 0 else []
+        rows += [(k, e, "handoff", None) for k in ends for e in (ends[k][:-1], ends[k][-1:])[run]]
+        land(spark, landed, rows, TURN)
+        incremental_handoffs(spark.readStream.schema(TURN).json(landed), table, f"{tmp_path}/progress")
+    want = []
+    for k in turns:
+        for before, end in zip([-(10**18), *ends[k]], ends[k]):
+            of_stage = [t for t in turns[k] if before < t <= end]
+            want.append((k, end, f"t{of_stage[-1]}" if of_stage else None, len(of_stage)))
+    assert sorted(tuple(r) for r in handoffs(spark, table).collect()) == sorted(want)
+    assert late_turns(spark, table).count() == 0
