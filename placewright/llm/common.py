@@ -61,8 +61,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return v
 
 
-#: A text is hashed in pieces of about so many bytes, cut between words.
-PIECE = 1 << 20
+#: A text is hashed in pieces of about so many bytes, cut between words. A worker holds some 100 bytes for each.
+PIECE = 1 << 18
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -149,6 +149,7 @@ def hashed_words(texts: pa.Array, fold: bool = False) -> Iterator[tuple[int, np.
             none = np.zeros(0, np.int64)
             yield row, none.astype(np.uint64), np.zeros(stop - row + 1, np.int64), none, none
         row = stop
+    release_memory()
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:

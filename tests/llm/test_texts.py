@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -43,6 +44,16 @@ def test_words_are_cut_and_hashed_alike():
     assert len(set(by_word.values())) == len(by_word)
 
 
+def test_hashing_holds_little_beside_its_texts():
+    texts = pa.array(["word " * 400 + str(n) for n in range(2_000)])
+    tracemalloc.start()
+    rows_seen = sum(len(cuts) - 1 for _, _, cuts, _, _ in hashed_words(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows_seen == 2_000
+    assert peak < 30e6  # 4 MB of texts
+
+
 def test_labels_make_repeats_distinct():
     values = shingles(np.array([1, 2, 1, 2, 1, 2], np.uint64), 2)
     assert len(set(values.tolist())) == 2 and len(set(labelled(values).tolist())) == 5
