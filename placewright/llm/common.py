@@ -282,21 +282,21 @@ def components(edges: DataFrame, stored: Stored) -> DataFrame:
     """``node, root`` for every node of ``edges (a, b)``; root is the smallest node.
 
     Alternating large and small stars: every round hangs the neighbours of a node on
-    their smallest member. The rounds grow with the logarithm of the longest
+    their smallest member, until all links are stars; a round costs four tables, the look at
+    the links only one aggregation. The rounds grow with the logarithm of the longest
     path. Edges stay distributed, and a hub is one row per task in the
     aggregation and a splittable side in the join.
     """
     a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     links = stored.table(edges.where("a <> b").select(a, b).distinct(), "links")
 
-    def state(edges: DataFrame) -> tuple:
-        """Equal counts and hash sums: no edge has moved."""
-        return edges.select(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
+    def loose(links: DataFrame) -> int:
+        """Nodes that hang on two others, or hang on one and carry some: none if all links are stars."""
+        ends = F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("hangs")), F.struct(F.col("b").alias("node"), F.lit(1).alias("hangs")))
+        nodes = links.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.count(F.lit(1)).alias("n"), F.max("e.hangs").alias("hangs"))
+        return nodes.where("hangs = 1 and n > 1").agg(F.count(F.lit(1))).first()[0]
 
-    before = state(links)
-    while True:
+    while loose(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = (
@@ -315,10 +315,7 @@ def components(edges: DataFrame, stored: Stored) -> DataFrame:
             ).alias("e")
         )
         links = stored.table(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
-        after = state(links)
-        if after == before:
-            break
-        before = after
-    return links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(
+    # in stars every node that is no centre hangs on one
+    return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
         links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     )

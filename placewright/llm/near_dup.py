@@ -288,7 +288,7 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a cell that join components; at most one less than it has rows."""
+    """Components of a cell that its links join, each with the least of them; at most one less than it has rows."""
     for cell in runs(batches, ["bucket", "i", "j"]):
         plain = [found for _, _, found in text_shingles(cell.column("text").combine_chunks(), labels=False)]
         # shared labelled shingles count what can be aligned at most
@@ -298,7 +298,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, number = np.unique(np.concatenate(values), return_inverse=True)
         own = np.zeros(number.max() + 1, bool)
         roots = cell.column("root").to_pylist()
-        names = cell.column("cls").to_pylist()
         parent: dict[int, int] = {}
 
         def top(node: int) -> int:
@@ -307,7 +306,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node = parent[node]
             return node
 
-        links = []
         for k, near in _candidates(cell):
             mine = number[starts[k] : starts[k] + count[k]]
             own[mine] = True
@@ -319,10 +317,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one, two = top(roots[k]), top(roots[other])
                 if one != two and similarity(plain[k], plain[other]):
                     parent[max(one, two)] = min(one, two)
-                    links.append((min(names[k], names[other]), max(names[k], names[other])))
-        if links:
-            a, b = zip(*links)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if parent:
+            joined = [top(root) for root in parent]
+            yield pa.RecordBatch.from_arrays([pa.array(joined, pa.int64()), pa.array(list(parent), pa.int64())], ["a", "b"])
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -374,12 +371,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .where(alike)
         .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
     )
-    links = stored.table(_verified(first.distinct(), texts, stored), "links-first")
-    roots = stored.table(components(links, stored), "roots-first")
-    more = stored.table(_open(shared, heads, roots, texts, stored), "links-second")
-    groups = stored.table(components(links.select("a", "b").unionByName(more), stored), "groups")
-    named = classes.join(groups, F.col("cls") == F.col("node"), "left").select(
-        F.col("text_key").alias("k"), "cls", F.coalesce("root", "cls").alias("group_id"), "copies"
+    roots = stored.table(components(_verified(first.distinct(), texts, stored), stored), "roots")
+    # the second links join whole components, so only their roots are grouped again
+    groups = components(_open(shared, heads, roots, texts, stored), stored).select(F.col("node").alias("r"), F.col("root").alias("g"))
+    placed = classes.join(roots, F.col("cls") == F.col("node"), "left").select(
+        "text_key", "cls", F.coalesce("root", "cls").alias("root"), "copies"
+    )
+    named = placed.join(groups, F.col("root") == F.col("r"), "left").select(
+        F.col("text_key").alias("k"), "cls", F.coalesce("g", "root").alias("group_id"), "copies"
     )
     members = sketches.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("k")).select(
         "doc_id", F.col("cls").alias("class_id"), "group_id", F.col("copies").alias("class_size")
@@ -410,7 +409,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, stored: Stored) -> DataFrame:
 
 
 def _open(shared: DataFrame, heads: DataFrame, roots: DataFrame, texts: DataFrame, stored: Stored) -> DataFrame:
-    """Links within buckets that hold more than one component.
+    """Links between components within buckets that hold more than one, as pairs of roots.
 
     Classes outside a bucket's main component are compared with all of the bucket, in cells of
     about ``BLOCK`` classes a side at most. Cells first go through on signatures; texts follow for
@@ -452,7 +451,7 @@ def _open(shared: DataFrame, heads: DataFrame, roots: DataFrame, texts: DataFram
         F.col("text").rlike(r"[^\x20\x09-\x0D]")
     )
     with_text = wanted.join(held.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "d"), F.col("cls") == F.col("d"))
-    return _by_cell(with_text, "text").mapInArrow(_linked, "a bigint, b bigint").distinct()
+    return _by_cell(with_text, "text").mapInArrow(_linked, "a bigint, b bigint")
 
 
 def _by_cell(rows: DataFrame, *more: str) -> DataFrame:

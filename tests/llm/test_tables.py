@@ -38,6 +38,48 @@ def test_components(spark):
     assert got == {n: r for n, r in want.items()}
 
 
+def test_components_end_with_the_stars(spark):
+    class Counted(Stored):
+        tables = 0
+
+        def table(self, rows, name):
+            self.tables += 1
+            return super().table(rows, name)
+
+    # stars need no round, a path of three nodes one, and neither a further one that changes nothing
+    for links, tables in [([(1, k) for k in range(2, 9)] + [(20, 21)], 1), ([(1, 2), (2, 3), (7, 8)], 5), ([], 1)]:
+        stored = Counted(spark, "test")
+        frame = spark.createDataFrame(links + links[:1], "a bigint, b bigint")
+        got = sorted((r["node"], r["root"]) for r in components(frame, stored).collect())
+        assert got == sorted(groups(links, {n for link in links for n in link}).items())
+        assert stored.tables == tables
+
+
+def test_second_links_join_whole_components(spark, monkeypatch):
+    def edited(seed, *places):
+        words = prose(5, 100).split()[:100]
+        for k in places:
+            words[k] = f"edit{seed}x{k}"
+        return " ".join(words)
+
+    # twelve texts of three copies lead most buckets and are like no other; the last six are like each other
+    texts = {3 * k + copy: edited(f"lead{k}", 6 + k, 36 + k, 66 + k) for k in range(12) for copy in range(3)}
+    texts.update({100 + k: edited(k, 10 + 14 * k) for k in range(6)})
+    calls = []
+
+    def seen(edges, stored):
+        out = components(edges, stored)
+        calls.append(({r[c] for r in edges.collect() for c in ("a", "b")}, {r["node"]: r["root"] for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(near_dup, "components", seen)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["group_id"] for r in near_dup.near_duplicates(frame).collect()}
+    assert got == {k: 100 if k >= 100 else k - k % 3 for k in texts}
+    (_, first), (again, _) = calls
+    assert first and again and all(first.get(node, node) == node for node in again)
+
+
 def test_near_copies_equal_brute_force(spark):
     draw = random.Random(6)
     texts = {}
